@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import blank, tokens
+from lexgrove.functions.text import blank, let, tokens
 from lexgrove.scale import fits, top_per_group
+from lexgrove.session import cut_lineage
 
 # English stop words of the Snowball project.
 STOP_WORDS = """
@@ -27,6 +28,9 @@ MAX_OR_TOKENS = 8
 # Question terms are broadcast up to this many rows (a few dozen bytes each).
 MAX_BROADCAST_TERMS = 500_000
 TERM_SALTS = 16
+# AND matches are sent to the text scan up to this many rows.
+MAX_BROADCAST_PAIRS = 100_000
+FOUND = ["question_id", "section_id", "policy_version_id", "policy_id"]
 SCOPE = ["tenant_id", "policy_id", "policy_version_id", "is_current", "fts_policy_type"]
 
 
@@ -80,11 +84,11 @@ def save_postings(postings: DataFrame, table: str, buckets: int = 1024) -> None:
     postings.write.mode("overwrite").bucketBy(buckets, "section_id").sortBy("section_id", "token").saveAsTable(table)
 
 
-def in_scope(questions: DataFrame, type_col: str, prefix: str = "") -> Column:
+def in_scope(questions: DataFrame, type_col: str) -> Column:
     """Tenant, current-only, policy and type scope of a question against a section row."""
     c = {name: F.col(name) for name in ("is_current", "policy_id", type_col)}
     ok = F.lit(True)
-    if "tenant_id" in questions.columns:
+    if "q_tenant_id" in questions.columns:
         ok = ok & (F.col("tenant_id") == F.col("q_tenant_id"))
     if "only_current" in questions.columns:
         ok = ok & (~F.coalesce("only_current", F.lit(True)) | c["is_current"])
@@ -102,7 +106,7 @@ def in_scope(questions: DataFrame, type_col: str, prefix: str = "") -> Column:
 def word_score(n: Column) -> Column:
     """Score of one word that occurs ``n`` times, before division by the query size."""
     squares = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / (j * j))
-    return F.lit(WEIGHT) * squares / F.lit(SQUARES)
+    return F.lit(WEIGHT) * F.when(n == 1, F.lit(1.0)).otherwise(squares) / F.lit(SQUARES)
 
 
 def pair_miss(left: Column, right: Column) -> Column:
@@ -132,6 +136,34 @@ def closeness_rank(words: Column) -> Column:
     return F.lit(1.0) - miss
 
 
+def pair_scores(terms: DataFrame, counted: DataFrame, small: bool) -> DataFrame:
+    """Matched words and score sums per question and section that share a word in scope.
+
+    ``counted``: one row per section and word with its score ``w``. Few terms are sent to every
+    task; many are joined on (word, salt), since one word may occur in a third of all sections.
+    """
+    scope = in_scope(terms, "fts_policy_type")
+    if small:
+        hits = counted.join(F.broadcast(terms), "token").where(scope)
+    else:
+        salted = counted.withColumn("_salt", F.pmod(F.xxhash64("section_id"), F.lit(TERM_SALTS)).cast("int"))
+        each = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+        hits = salted.join(each, ["token", "_salt"]).where(scope).drop("_salt")
+    return hits.groupBy(*FOUND, "n_and", "n_or").agg(
+        F.count_if("in_and").alias("matched"),
+        F.count_if("in_or").alias("or_matched"),
+        F.sum(F.when(F.col("in_or"), F.col("w")).otherwise(0.0)).alias("or_sum"),
+        F.sum(F.when(F.col("in_and"), F.col("w")).otherwise(0.0)).alias("and_sum"),
+    )
+
+
+def word_positions(text: Column, words: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Positions (from 1) of each of ``words`` in ``text``, as one array per word."""
+    at = lambda ts, w: F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: F.element_at(ts, i) == w)
+    found = F.transform(tokens(text), stem) if stem else tokens(text)
+    return let(found, lambda ts: F.transform(words, lambda w: at(ts, w)))
+
+
 def fts_topk(
     questions: DataFrame,
     sections: DataFrame,
@@ -142,8 +174,10 @@ def fts_topk(
 ) -> DataFrame:
     """Best ``k`` sections per question: (question_id, section_id, policy_version_id, policy_id, score, rank).
 
-    ``postings`` is a stored posting table; without it the words of ``sections`` are matched
-    directly, keeping only words that some question asks for before anything is shuffled.
+    ``postings`` is a stored posting table; without it the words of ``sections`` are counted,
+    keeping only words that some question asks for before anything is shuffled. One pass yields
+    all AND matches and the best ``k`` OR matches per question; the texts of AND matches of several
+    words are then read again for the word distances.
     """
     terms = question_terms(questions, stem)
     if "tenant_id" in terms.columns:
@@ -153,35 +187,29 @@ def fts_topk(
         words = section_tokens(sections, stem)
         if small:
             words = words.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
-        postings = build_postings(words)
-    scope = in_scope(questions, "fts_policy_type")
-    if small:
-        hits = postings.join(F.broadcast(terms), "token").where(scope)
+        counted = words.groupBy("section_id", "token", *SCOPE).agg(F.count(F.lit(1)).cast("int").alias("n"))
     else:
-        spread = postings.withColumn("_salt", F.pmod(F.xxhash64("section_id"), F.lit(TERM_SALTS)).cast("int"))
-        each = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        hits = spread.join(each, ["token", "_salt"]).where(scope).drop("_salt")
-    found = ["question_id", "section_id", "policy_version_id", "policy_id"]
-    scores = hits.groupBy(*found, "n_and", "n_or").agg(
-        F.count_if("in_and").alias("matched"),
-        F.count_if("in_or").alias("or_matched"),
-        F.sum(F.when(F.col("in_or"), word_score(F.size("positions"))).otherwise(0.0)).alias("or_sum"),
-        F.sum(F.when(F.col("in_and"), word_score(F.size("positions"))).otherwise(0.0)).alias("and_sum"),
-    )
-    full = scores.where((F.col("n_and") > 0) & (F.col("matched") == F.col("n_and")))
-    single = full.where(F.col("n_and") == 1).select(*found, F.col("and_sum").alias("score"))
-    several = full.where(F.col("n_and") > 1).select("question_id", "section_id")
-    positions = (
-        hits.where(F.col("in_and") & (F.col("n_and") > 1))
-        .join(several, ["question_id", "section_id"], "left_semi")
-        .groupBy(*found)
-        .agg(closeness_rank(F.collect_list("positions")).alias("score"))
-    )
-    answered = full.select("question_id").distinct()
-    either = (
-        scores.where(F.col("or_matched") > 0)
-        .join(answered, "question_id", "left_anti")
-        .select(*found, (F.col("or_sum") / F.col("n_or")).alias("score"))
-    )
-    ranked = single.unionByName(positions).unionByName(either).withColumn("score", F.round("score", digits))
-    return top_per_group(ranked, ["question_id"], [F.col("score").desc(), F.col("section_id")], k)
+        counted = postings.withColumn("n", F.size("positions"))
+    pairs = pair_scores(terms, counted.withColumn("w", word_score(F.col("n"))), small)
+    full = (F.col("n_and") > 0) & (F.col("matched") == F.col("n_and"))
+    pairs = pairs.withColumn("is_full", full).where(F.col("is_full") | (F.col("or_matched") > 0))
+    score = F.when(F.col("is_full"), F.col("and_sum")).otherwise(F.col("or_sum") / F.col("n_or"))
+    pairs = pairs.withColumn("score", F.round(score, digits))
+    # Every AND match is a group of its own and stays; OR matches are limited before the shuffle.
+    pairs = pairs.withColumn("_own", F.when(F.col("is_full"), F.col("section_id")))
+    order = [F.col("score").desc(), F.col("section_id")]
+    kept = cut_lineage(top_per_group(pairs, ["question_id", "_own"], order, k).select(*FOUND, "n_and", "is_full", "score"))
+
+    answered = Window.partitionBy("question_id")
+    kept = kept.withColumn("_and", F.max("is_full").over(answered)).where(F.col("is_full") == F.col("_and"))
+    several = kept.where(F.col("is_full") & (F.col("n_and") > 1)).select(*FOUND)
+    ranked = kept.where(~(F.col("is_full") & (F.col("n_and") > 1))).select(*FOUND, "score")
+    if not several.isEmpty():
+        asked = terms.where("in_and").groupBy("question_id").agg(F.array_sort(F.collect_list("token")).alias("words"))
+        wanted = several.join(asked, "question_id")
+        wanted = F.broadcast(wanted) if fits(several, MAX_BROADCAST_PAIRS) else wanted
+        near = sections.select("section_id", "text").join(wanted, "section_id")
+        rank = closeness_rank(word_positions(F.col("text"), F.col("words"), stem))
+        ranked = ranked.unionByName(near.select(*FOUND, F.round(rank, digits).alias("score")))
+    return top_per_group(ranked, ["question_id"], order, k)
+

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.text import chunks, clean_text, strip_nul
 from lexgrove.operators.versions import current_versions, mark_current, number_versions
+from lexgrove.scale import dimension_join, spread
 
 DEPARTMENTS = ["all", "operations", "claims_ops", "compliance"]
 KINDS = ["general", "reference", "guide"]
@@ -80,7 +81,7 @@ def current_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sections of all documents: ids, offsets, text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     s = d.select(
         version_id(F.col("doc_id")).alias("policy_version_id"), F.col("source").alias("policy_id"),
         F.posexplode(chunks(clean_text(strip_nul(F.col("text"))))).alias("section_index", "c"),
@@ -91,12 +92,15 @@ def raw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections joined to their version and policy (the searchable corpus)."""
     v = current_flags(spark, sf_dir).select(
-        "policy_version_id", "parse_status", "is_current", "effective_date", "metadata_json"
+        "policy_version_id", "policy_id", "parse_status", "is_current", "effective_date", "metadata_json"
     )
     p = policies(spark, sf_dir).select(
         "policy_id", "tenant_id", F.col("name").alias("policy_name"), "department_scope", "authority_level", "policy_type"
     )
-    s = raw_sections(spark, sf_dir).join(v, "policy_version_id").join(p, "policy_id")
+    # Facts are put together per version, so that texts are shuffled once, by version.
+    v = dimension_join(v, p, ["policy_id"], "policy_version_id")
+    # The slim side is hashed, so texts need no sort.
+    s = raw_sections(spark, sf_dir).drop("policy_id").join(v.hint("shuffle_hash"), "policy_version_id")
     meta = lambda key: F.get_json_object("metadata_json", f"$.{key}")
     return s.withColumn("fts_policy_type", F.coalesce("policy_type", meta("policy_type"), meta("type"))).withColumn(
         "public_url", F.coalesce(meta("source_url"), meta("public_url"), meta("url"))
@@ -107,7 +111,7 @@ def section_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version and policy columns by version, for joins that need no text."""
     v = current_flags(spark, sf_dir).select("policy_version_id", "policy_id", "parse_status", "is_current", "effective_date")
     p = policies(spark, sf_dir).select("policy_id", "tenant_id", "department_scope", "authority_level", "policy_type")
-    return v.join(p, "policy_id")
+    return dimension_join(v, p, ["policy_id"], "policy_version_id")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Building blocks that keep hot keys and unbounded sides out of single tasks.
 
 ``fits``           size check in front of every explicit broadcast
+``spread``         all cores for heavy per-row work on few input splits
+``dimension_join`` small side by broadcast when its size was checked, by salt otherwise
 ``salted_lookup``  join back to a per-key aggregate when one key may hold a third of the rows
 ``bucketed_scan``  running number / running sum / previous value per group, split inside a group
 """
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Dimensions up to this many rows are broadcast (some hundred bytes each).
+MAX_DIM_ROWS = 100_000
+DIM_SALTS = 16
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -24,6 +29,29 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work all cores when the input has fewer splits than that.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def dimension_join(rows: DataFrame, dim: DataFrame, keys: Sequence[str], row_id: str, how: str = "inner") -> DataFrame:
+    """Join a dimension whose keys may be very uneven on the row side.
+
+    A dimension of checked size is broadcast; a larger one is repeated over ``DIM_SALTS`` so that
+    the rows of one key are spread over as many tasks.
+    """
+    keys = list(keys)
+    if fits(dim, MAX_DIM_ROWS):
+        return rows.join(F.broadcast(dim), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(DIM_SALTS)).cast("int"))
+    each = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DIM_SALTS - 1))))
+    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def salted_lookup(
     rows: DataFrame,
     per_key: DataFrame,
