@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import non_blank, strip
+from lexgrove.functions.text import let, non_blank, strip
 
 # Link patterns.
 PDF_URL = r"(?i)\.pdf(\?.*)?$"
@@ -189,18 +189,31 @@ BLOCKED_V4 = [
 ]
 
 
-def url_rejection(url: Column) -> Column:
-    """Why a URL may not be fetched; null when its scheme and literal host are fine."""
-    host = url_host(url)
-    mapped = F.regexp_extract(host, r"^(?:0*:)*:?ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    number = _ipv4_number(F.coalesce(F.nullif(mapped, F.lit("")), host))
-    reason = F.when(~url_scheme(url).isin("http", "https"), "scheme").when(host == "", "host")
+def _blocked_range(number: Column) -> Column:
+    ranges = []
     for network, bits, name in BLOCKED_V4:
         a, b, c, d = (int(x) for x in network.split("."))
         low = ((a * 256 + b) * 256 + c) * 256 + d
-        reason = reason.when(number.between(low, low + (1 << (32 - bits)) - 1), name)
-    reason = reason.when(host.isin("::1", "0:0:0:0:0:0:0:1"), "loopback").when(host == "::", "private")
-    return reason.when(host.rlike("^fe[89ab][0-9a-f]?:"), "link_local").when(host.rlike("^f[cd][0-9a-f]*:"), "private").when(
-        host.rlike("^ff[0-9a-f]*:"), "multicast"
+        ranges.append(F.struct(F.lit(low).cast("long").alias("low"), F.lit(low + (1 << (32 - bits)) - 1).cast("long").alias("high"), F.lit(name).alias("name")))
+    return let(number, lambda n: F.get(F.filter(F.array(*ranges), lambda r: n.between(r["low"], r["high"])), F.lit(0))["name"])
+
+
+def _blocked_v6(host: Column) -> Column:
+    return (
+        F.when(host.isin("::1", "0:0:0:0:0:0:0:1"), "loopback")
+        .when(host == "::", "private")
+        .when(host.rlike("^fe[89ab][0-9a-f]?:"), "link_local")
+        .when(host.rlike("^f[cd][0-9a-f]*:"), "private")
+        .when(host.rlike("^ff[0-9a-f]*:"), "multicast")
     )
 
+
+def url_rejection(url: Column) -> Column:
+    """Why a URL may not be fetched; null when its scheme and literal host are fine."""
+
+    def of_host(host: Column) -> Column:
+        mapped = F.regexp_extract(host, r"^(?:0*:)*:?ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+        number = _ipv4_number(F.coalesce(F.nullif(mapped, F.lit("")), host))
+        return F.when(host == "", "host").otherwise(F.coalesce(_blocked_range(number), _blocked_v6(host)))
+
+    return F.when(~url_scheme(url).isin("http", "https"), "scheme").otherwise(let(url_host(url), of_host))

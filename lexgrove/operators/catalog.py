@@ -75,9 +75,9 @@ def parameter_map(params: Column) -> Column:
             .when(F.size(p["values"]) > 0, listed).otherwise(UNNAMED_PARAM)
         )
 
-    entries = F.transform(params, lambda p: F.struct(F.coalesce(p["id"], F.lit("")).alias("k"), text(p).alias("v")))
+    entries = F.transform(params, lambda p: F.named_struct(F.lit("k"), F.coalesce(p["id"], F.lit("")), F.lit("v"), text(p)))
     # The last of several parameters with one id counts.
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+    last = let(entries, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["k"] == e["k"])))
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 

@@ -209,7 +209,7 @@ def fts_topk(
         wanted = several.join(asked, "question_id")
         wanted = F.broadcast(wanted) if fits(several, MAX_BROADCAST_PAIRS) else wanted
         near = sections.select("section_id", "text").join(wanted, "section_id")
-        rank = closeness_rank(word_positions(F.col("text"), F.col("words"), stem))
+        rank = let(word_positions(F.col("text"), F.col("words"), stem), closeness_rank)
         ranked = ranked.unionByName(near.select(*FOUND, F.round(rank, digits).alias("score")))
     return top_per_group(ranked, ["question_id"], order, k)
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lexgrove.operators.embedding import Embedder
 from lexgrove.plans.ingest import parse_messages, process_versions
 from lexgrove.session import cut_lineage
-from lexgrove.sources.sinks import replace_versions
+from lexgrove.sources.sinks import BUCKETS, replace_versions
 
 
 def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
@@ -22,6 +22,7 @@ def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFra
 def start_ingest_stream(
     spark: SparkSession, messages: str, versions: DataFrame, texts: DataFrame, policies: DataFrame, out: str, checkpoint: str,
     embedder: Embedder | None = None, model: str = "default", horizon: str = "1 hour", max_files: int = 8,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Process requested versions per micro-batch.
 
@@ -45,7 +46,7 @@ def start_ingest_stream(
                     rows = rows.withColumnRenamed("source_policy_version_id", "policy_version_id")
                 if name == "status":
                     rows = rows.withColumn("batch_id", F.lit(batch_id))
-                replace_versions(rows, wanted, f"{out}/{name}")
+                replace_versions(rows, wanted, f"{out}/{name}", buckets)
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
