@@ -33,7 +33,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "documents").select("source").distinct().withColumn("idx", idx)
     return p.select(
         F.col("source").alias("policy_id"), "idx", tenant_of(F.col("idx")).alias("tenant_id"), F.col("source").alias("external_id"),
-        F.concat(F.lit("Src "), F.col("idx").cast("string"), F.lit(" Policy")).alias("name"), F.lit("active").alias("status"),
+        F.concat(F.lit("Src S"), F.col("idx").cast("string"), F.lit(" Policy")).alias("name"), F.lit("active").alias("status"),
         (F.col("idx") * 5).alias("authority_level"), _cycle(DEPARTMENTS, F.col("idx")).alias("department_scope"),
         _cycle(KINDS, F.col("idx")).alias("policy_type"),
         F.timestamp_add("DAY", F.col("idx"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"),

@@ -364,7 +364,7 @@ def _referring(spark, sf):
     p = corpus.policies(spark, sf).select("policy_id", "tenant_id", F.col("idx").alias("p_idx"))
     other = F.pmod(n * 7 + F.length("text"), F.lit(40)).cast("string")
     suffix = F.concat(
-        F.lit(" See Section "), (n % 7 + 1).cast("string"), F.lit(" and pursuant to the Src "), other, F.lit(" Policy; 45 CFR §164."), (n % 600).cast("string"),
+        F.lit(" See Section "), (n % 7 + 1).cast("string"), F.lit(" and pursuant to the Src S"), other, F.lit(" Policy; 45 CFR §164."), (n % 600).cast("string"),
         F.lit(". HIPAA applies, https://x.example.org/"), n.cast("string"), F.lit("."),
     )
     d = corpus.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("policy_id"))

@@ -27,7 +27,7 @@ def ctes(*parts: str) -> str:
 
 
 POLICIES = """policies AS (
-  SELECT source policy_id, idx, 'tenant-'||(idx%2) tenant_id, 'Src '||idx||' Policy' AS name, idx*5 authority_level,
+  SELECT source policy_id, idx, 'tenant-'||(idx%2) tenant_id, 'Src S'||idx||' Policy' AS name, idx*5 authority_level,
     (['all','operations','claims_ops','compliance'])[idx%4+1] department_scope, (['general','reference','guide'])[idx%3+1] policy_type
   FROM (SELECT DISTINCT source, CAST(regexp_extract(source,'(\\d+)$',1) AS INT) idx FROM documents))"""
 FACTS = """facts AS (
@@ -115,7 +115,7 @@ HYBRID = f"""{vector_hits(20, SCOPE)},
   v AS (SELECT *, score/max(score) OVER (PARTITION BY question_id) norm FROM vec WHERE score>=0.2),
   f AS (SELECT *, score/max(score) OVER (PARTITION BY question_id) norm FROM fts WHERE score>=0.05),
   m AS (SELECT coalesce(v.question_id,f.question_id) question_id, coalesce(v.section_id,f.section_id) section_id,
-      coalesce(least(1,v.norm),0) vector_score, coalesce(least(1,f.norm),0) fts_score, coalesce(v.rank, 1000000+f.rank) ord
+      least(1,coalesce(v.norm,0)) vector_score, least(1,coalesce(f.norm,0)) fts_score, coalesce(v.rank, 1000000+f.rank) ord
     FROM v FULL JOIN f ON v.question_id=f.question_id AND v.section_id=f.section_id),
   mc AS (SELECT m.*, c.* EXCLUDE (section_id), q.department user_department, epoch(c.effective_date::TIMESTAMP) ts FROM m JOIN corpus c USING (section_id) JOIN questions q USING (question_id)),
   mw AS (SELECT *, authority_level/greatest(1.0, max(authority_level) OVER w) authority_weight,
@@ -185,12 +185,12 @@ DOWN = f"""mp AS (SELECT page_id, regexp_replace(url,'[?#].*$','') source_url, C
       CASE WHEN strlen(html)%7<>0 THEN strlen(html) END content_length FROM m1),
   dl AS (SELECT *, status NOT IN ('cached_unchanged','ok') skipped, CASE WHEN status='cached_unchanged' THEN sha256('old') WHEN status='ok' THEN sha256(html) END sha FROM down)"""
 
-SUFFIX = "' See Section '||(doc_id%7+1)||' and pursuant to the Src '||((doc_id*7+length(text))%40)||' Policy; 45 CFR §164.'||(doc_id%600)||'. HIPAA applies, https://x.example.org/'||doc_id||'.'"
+SUFFIX = "' See Section '||(doc_id%7+1)||' and pursuant to the Src S'||((doc_id*7+length(text))%40)||' Policy; 45 CFR §164.'||(doc_id%600)||'. HIPAA applies, https://x.example.org/'||doc_id||'.'"
 REFS = f"""rt AS (SELECT doc_id, source policy_id, length(text) n, {SUFFIX} sfx, 'v'||doc_id||':0' section_id, (doc_id*7+length(text))%40 other FROM documents),
   refs AS (
     SELECT section_id, policy_id, doc_id, 'internal_section' reference_type, 'Section '||(doc_id%7+1) matched_text, n+5 match_offset, ''||(doc_id%7+1) parsed_section_path, NULL external_uri, NULL external_label, 1.0::DOUBLE confidence FROM rt
     UNION ALL SELECT section_id, policy_id, doc_id, 'internal_section', '§164.'||(doc_id%600), n+strpos(sfx,'§164')-1, '164.'||(doc_id%600), NULL, NULL, 1.0 FROM rt
-    UNION ALL SELECT section_id, policy_id, doc_id, 'cross_policy', 'Src '||other||' Policy', n+strpos(sfx,'Src ')-1, NULL, NULL, NULL, 1.0 FROM rt
+    UNION ALL SELECT section_id, policy_id, doc_id, 'cross_policy', 'Src S'||other||' Policy', n+strpos(sfx,'Src S')-1, NULL, NULL, NULL, 1.0 FROM rt
     UNION ALL SELECT section_id, policy_id, doc_id, 'external_authority', '45 CFR §164.'||(doc_id%600), n+strpos(sfx,'45 CFR')-1, NULL, NULL, '45 CFR §164.'||(doc_id%600), 1.0 FROM rt
     UNION ALL SELECT section_id, policy_id, doc_id, 'external_authority', 'HIPAA', n+strpos(sfx,'HIPAA')-1, NULL, NULL, 'HIPAA', 0.85 FROM rt
     UNION ALL SELECT section_id, policy_id, doc_id, 'external_authority', 'https://x.example.org/'||doc_id, n+strpos(sfx,'https')-1, NULL, 'https://x.example.org/'||doc_id, 'https://x.example.org/'||doc_id, 1.0 FROM rt)"""
@@ -279,7 +279,7 @@ FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.tu
   FROM edges JOIN policies p ON p.policy_id=target_policy_id LEFT JOIN sections s ON s.section_id=target_section_id GROUP BY ALL""",
     "name_similarity": f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(regexp_extract_all(text,'[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: t NOT IN {NAME_STOPS})) s FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN len(a.s)=0 OR len(b.s)=0 THEN 0 ELSE len(list_intersect(a.s,b.s))/greatest(len(a.s),len(b.s)) END,6) score FROM w a JOIN w b ON a.conv_id=b.conv_id AND b.turn=a.turn+1""",
-    "reference_backfill": ctes(POLICIES, FACTS, REFS) + """SELECT policy_version_id, 3 + 1 + CASE WHEN p.policy_id=rt.policy_id THEN 0 ELSE 1 END + CASE WHEN doc_id%7=0 THEN 0 ELSE 1 END n_edges
+    "reference_backfill": ctes(POLICIES, FACTS, REFS) + """SELECT policy_version_id, CAST(3 + 1 + CASE WHEN p.policy_id=rt.policy_id THEN 0 ELSE 1 END + CASE WHEN doc_id%7=0 THEN 0 ELSE 1 END AS BIGINT) n_edges
   FROM rt JOIN facts USING (doc_id) LEFT JOIN policies o ON o.policy_id=rt.policy_id LEFT JOIN policies p ON p.idx=rt.other AND p.tenant_id=o.tenant_id WHERE parse_status='ready' AND (rt.n+length(sfx))%2<>0""",
     "page_text": f"""SELECT page_id, length(t) n_chars, sha256(t) sha256 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace({UNESCAPED.format(c="regexp_replace(regexp_replace(regexp_replace(" + HTML_TEXT + ",'(?i)<br\\s*/?>'," + NL + ",'g'),'(?i)</p\\s*>'," + NL + "||" + NL + ",'g'),'<[^>]+>',' ','g')")},chr(13),''),'\\n{{3,}}',{NL}||{NL},'g'),'[ \\t]{{2,}}',' ','g'),{WS}) t FROM pages)""",
     "page_links": ctes(LINKS) + "SELECT page_id, pos, href, anchor_text, link FROM links",
