@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.functions.text import non_blank, strip
 
@@ -46,7 +47,7 @@ def external_id(url: Column, title: Column) -> Column:
     return F.concat(prefix, F.lit("-"), F.substring(F.sha1(F.encode(url, "UTF-8")), 1, 12))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """Sorted keys, no spaces, UTF-8; null counts as an empty object."""
 
@@ -57,7 +58,7 @@ def canonical_json(raw: pd.Series) -> pd.Series:
     return raw.map(one, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def metadata_hash(raw: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form, with the first filled URL key copied to ``source_url``."""
 

@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.functions.text import let, non_blank, strip
 
@@ -21,12 +22,12 @@ HIDDEN = r"(?is)<(script|style|noscript)\b.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(c: pd.Series) -> pd.Series:
     return c.map(html_lib.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute URL of a link on a page."""
 

@@ -65,6 +65,12 @@ def question_terms(questions: DataFrame, stem: Callable[[Column], Column] | None
     )
 
 
+def section_words(sections: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Section words without positions."""
+    out = sections.select("section_id", *SCOPE, F.explode(tokens(F.col("text"))).alias("token")).where(~stop_word(F.col("token")))
+    return out.withColumn("token", stem(F.col("token"))) if stem else out
+
+
 def section_tokens(sections: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """Section words with their positions; positions count stop words, stop words have no rows."""
     out = sections.select("section_id", *SCOPE, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
@@ -184,7 +190,7 @@ def fts_topk(
         terms = terms.withColumnRenamed("tenant_id", "q_tenant_id")
     small = fits(terms, MAX_BROADCAST_TERMS)
     if postings is None:
-        words = section_tokens(sections, stem)
+        words = section_words(sections, stem)
         if small:
             words = words.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
         counted = words.groupBy("section_id", "token", *SCOPE).agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -7,8 +7,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.scale import top_per_group
+from lexgrove.session import cut_lineage
 
 EXTRACTOR = "regex-v1"
 # Reference patterns as (type, pattern, group that is the match, confidence).
@@ -32,9 +34,15 @@ PATTERNS = [
 NAME_STOP = ["the", "a", "an", "of", "and", "policy", "sop", "procedure", "guideline", "standard"]
 NAME_THRESHOLD = 0.6
 
-REFERENCE = (
-    "array<struct<reference_type:string,matched_text:string,match_offset:int,parsed_section_path:string,"
-    "external_uri:string,external_label:string,confidence:double>>"
+REFERENCE = T.ArrayType(
+    T.StructType()
+    .add("reference_type", T.StringType())
+    .add("matched_text", T.StringType())
+    .add("match_offset", T.IntegerType())
+    .add("parsed_section_path", T.StringType())
+    .add("external_uri", T.StringType())
+    .add("external_label", T.StringType())
+    .add("confidence", T.DoubleType())
 )
 
 
@@ -151,7 +159,8 @@ def match_names(names: DataFrame, policies: DataFrame, threshold: float = NAME_T
 
 def reference_edges(sections: DataFrame, policies: DataFrame, refs: DataFrame | None = None, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """Extract and resolve all references; references to the own section or policy are dropped."""
-    refs = extract_refs(sections) if refs is None else refs
+    # Texts are searched once; the slim rows feed three ways of resolution.
+    refs = cut_lineage(extract_refs(sections) if refs is None else refs)
     inner = resolve_internal(refs.where(F.col("reference_type") == "internal_section"), sections)
     inner = inner.where(~F.col("target_section_id").eqNullSafe(F.col("section_id"))).withColumn(
         "target_policy_id", F.when(F.col("target_section_id").isNotNull(), F.col("policy_id"))

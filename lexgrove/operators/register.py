@@ -64,22 +64,35 @@ def _claimed(rows: DataFrame, taken: DataFrame, key: list[str], flag: str, hot_r
     return salted_lookup(rows, marks, key, "arrival_seq", "n", hot_rows).drop("n")
 
 
+def _drop_claimed(rows: DataFrame, used: DataFrame, labelled: bool, hot_rows: int) -> DataFrame:
+    """Rows whose content key and label are both still free."""
+    rows = _claimed(rows, used, CONTENT_KEY, "dup", hot_rows).where(F.col("dup").isNull()).drop("dup")
+    if labelled:
+        labels = used.where(F.col("version_label").isNotNull())
+        rows = _claimed(rows, labels, LABEL_KEY, "clash", hot_rows).where(F.col("clash").isNull()).drop("clash")
+    return rows
+
+
 def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Accept rows in arrival order so that no content key and no label is used twice per policy.
 
     ``keys``: arrival_seq, policy_id, content_sha256, metadata_sha256, version_label.
     ``taken``: the same keys of existing versions.
-    Each round accepts every open row that comes first for both of its keys and refuses the rows
-    it blocks; rows blocked by a refused row become first in the next round. Without clashing
-    labels one round settles everything.
+    Without labels the first row of every free content key wins. With labels each round accepts
+    every open row that comes first for both of its keys and refuses the rows it blocks; rows
+    blocked by a refused row become first in a later round.
     """
     open_rows = keys
-    accepted = None
+    labelled = not keys.where(F.col("version_label").isNotNull()).isEmpty()
     used = taken.select(*CONTENT_KEY, "version_label")
+    if not used.isEmpty():
+        open_rows = _drop_claimed(open_rows, used, labelled, hot_rows)
+    if not labelled:
+        first = F.min("arrival_seq").alias("arrival_seq")
+        none = F.lit(None).cast("string").alias("version_label")
+        return cut_lineage(open_rows.groupBy(*CONTENT_KEY).agg(first).select("arrival_seq", *CONTENT_KEY, none))
+    accepted = None
     while True:
-        open_rows = _claimed(open_rows, used, CONTENT_KEY, "dup", hot_rows)
-        open_rows = _claimed(open_rows, used.where(F.col("version_label").isNotNull()), LABEL_KEY, "clash", hot_rows)
-        open_rows = open_rows.where(F.col("dup").isNull() & F.col("clash").isNull()).drop("dup", "clash")
         content = _first(open_rows, CONTENT_KEY, "first_content")
         label = _first(open_rows.where(F.col("version_label").isNotNull()), LABEL_KEY, "first_label")
         ranked = salted_lookup(open_rows, content, CONTENT_KEY, "arrival_seq", "n", hot_rows).drop("n")
@@ -90,10 +103,9 @@ def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
         ranked = cut_lineage(ranked.select(*keys.columns, wins.alias("wins")))
         new = ranked.where("wins").select(*keys.columns)
         accepted = new if accepted is None else accepted.unionByName(new)
-        open_rows = ranked.where(~F.col("wins")).select(*keys.columns)
+        open_rows = cut_lineage(_drop_claimed(ranked.where(~F.col("wins")).select(*keys.columns), new, labelled, hot_rows))
         if open_rows.isEmpty():
             return accepted
-        used = new
 
 
 def register(

@@ -15,7 +15,7 @@ from lexgrove.operators import (
 )
 from lexgrove.operators.fusion import HybridConfig
 from lexgrove.plans import ask, corpus, ingest
-from lexgrove.scale import spread
+from lexgrove.scale import dimension_join, spread
 from lexgrove.session import cut_lineage, shared_dir
 from lexgrove.sources import sinks
 from lexgrove.streaming import ingest_stream, progress
@@ -367,8 +367,8 @@ def _referring(spark, sf):
         F.lit(" See Section "), (n % 7 + 1).cast("string"), F.lit(" and pursuant to the Src S"), other, F.lit(" Policy; 45 CFR §164."), (n % 600).cast("string"),
         F.lit(". HIPAA applies, https://x.example.org/"), n.cast("string"), F.lit("."),
     )
-    d = corpus.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("policy_id"))
-    return d.join(p, "policy_id").select(
+    d = spread(corpus.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("policy_id")), "doc_id")
+    return dimension_join(d, p, ["policy_id"], "doc_id").select(
         "tenant_id", "policy_id", corpus.version_id(n).alias("policy_version_id"), corpus.section_id(corpus.version_id(n), F.lit(0)).alias("section_id"),
         F.concat("text", suffix).alias("text"),
     )
@@ -538,7 +538,7 @@ def message_guard(spark, sf):
 
 def _catalog(spark, sf):
     """Each document as a control with a parameter, nested parts and an enhancement."""
-    d = corpus.table(spark, sf, "documents")
+    d = spread(corpus.table(spark, sf, "documents"), "doc_id")
     n = F.col("doc_id").cast("string")
     prop = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     part = lambda name, prose, *more: F.struct(F.lit(name).alias("name"), prose.alias("prose"), *more)

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrove.functions.text import non_blank
 
@@ -23,7 +24,7 @@ def scan_documents(spark: SparkSession, root: str, max_files: int = 0, pattern:
     return files.orderBy("path").limit(max_files) if max_files > 0 else files
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8 with replacement of broken bytes; the built-in decoder fails on them."""
     return content.map(lambda b: bytes(b).decode("utf-8", errors="replace"), na_action="ignore")
