@@ -13,6 +13,8 @@ PROCESSING = ["pending", "received", "queued", "processing"]
 READY = ["ready", "parsed"]
 FAILED = ["failed", "cancelled"]
 DONE_BATCH = ["completed", "complete", "failed", "cancelled"]
+# Events of all batches per time slice of the running count.
+ROWS_PER_SLICE = 250_000
 ITEM_OF_VERSION = {"ready": "completed", "failed": "failed", "processing": "processing"}
 
 
@@ -59,6 +61,15 @@ def nested_active(items: Column) -> Column:
     return F.size(F.filter(items, lambda i: i["status"].isin(ACTIVE_ITEMS)))
 
 
+def time_slices(events: DataFrame, rows: int = ROWS_PER_SLICE) -> Column:
+    """Even slices of the covered time, as many as keep some ``rows`` events in each."""
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    span = events.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if not span.n or span.high == span.low:
+        return F.lit(0).cast("long")
+    return F.floor((seconds - span.low) / ((span.high - span.low) / (span.n // rows + 1)))
+
+
 def batch_status(events: DataFrame, slice_of: Column | None = None) -> DataFrame:
     """Final status per batch from its item events.
 
@@ -67,7 +78,7 @@ def batch_status(events: DataFrame, slice_of: Column | None = None) -> DataFrame
     so a later success may still replace an earlier failure. The active count is a running sum of
     changes, kept per (batch, time slice) so that one huge batch is spread over many tasks.
     """
-    slice_of = F.date_trunc("day", "ts") if slice_of is None else slice_of
+    slice_of = time_slices(events) if slice_of is None else slice_of
     order = [F.col("ts"), F.col("seq")]
     slim = events.select("batch_id", "item_id", "ts", "seq", "status")
     steps = bucketed_scan(slim, ["batch_id", "item_id"], order, slice_of, previous=(F.col("status"), "before"))

@@ -16,6 +16,8 @@ CONTROL_ID = r"\b([A-Za-z]{2})-(\d+)(\(\d+\))?(?!\w)"
 FOUND = "question_id string, section_id string, policy_version_id string, policy_id string, score double"
 # A question block is at most this many vectors; one block is sent to every task.
 BLOCK_QUESTIONS = 4096
+# Vectors scored at a time, so that a full block needs some 70 MB of scores.
+SLICE_ROWS = 2048
 # Rows of the vector table per fragment once the questions no longer fit into one block.
 FRAGMENT_ROWS = 100_000
 VECTOR_COLUMNS = ["section_id", "policy_version_id", "policy_id", "tenant_id", "is_current", "policy_type", "embedding"]
@@ -44,21 +46,23 @@ def _allowed(asks: pd.DataFrame, rows: pd.DataFrame, scoped: bool) -> np.ndarray
 
 
 def _best(asks: pd.DataFrame, rows: pd.DataFrame, k: int, scoped: bool, digits: int) -> pd.DataFrame:
-    """Best ``k`` rows per question within one batch of vectors."""
+    """Best ``k`` rows per question within one slice of vectors; equal scores go by section id."""
+    rows = rows.sort_values("section_id", kind="stable")
     scores = _matrix(asks["vector"]) @ _matrix(rows["embedding"]).T
     scores = np.round(np.clip(scores, 0.0, 1.0), digits)
     scores[~_allowed(asks, rows, scoped)] = -1.0
-    order = np.argsort(rows["section_id"].to_numpy(dtype=str), kind="stable")
-    parts = []
-    for i in range(len(asks)):
-        line = scores[i][order]
-        top = order[np.argsort(-line, kind="stable")[:k]]
-        top = top[scores[i][top] >= 0.0]
-        part = rows.iloc[top][["section_id", "policy_version_id", "policy_id"]].copy()
-        part.insert(0, "question_id", asks["question_id"].iat[i])
-        part["score"] = scores[i][top]
-        parts.append(part)
-    return pd.concat(parts, ignore_index=True)
+    n = scores.shape[1]
+    # Everything from the k-th best score on, then cut to k by (score, section id).
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(asks))
+    q, at = np.nonzero(scores >= np.maximum(least, 0.0)[:, None])
+    order = np.lexsort((at, -scores[q, at], q))
+    q, at = q[order], at[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, at = q[place < k], at[place < k]
+    found = rows[["section_id", "policy_version_id", "policy_id"]].iloc[at].reset_index(drop=True)
+    found.insert(0, "question_id", asks["question_id"].to_numpy()[q])
+    found["score"] = scores[q, at]
+    return found
 
 
 def _keep(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -97,8 +101,8 @@ def vector_topk(
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
             for batch in batches:
-                if len(sent) and len(batch):
-                    found = _best(sent, batch, k, scoped, digits)
+                for start in range(0, len(batch) if len(sent) else 0, SLICE_ROWS):
+                    found = _best(sent, batch.iloc[start : start + SLICE_ROWS], k, scoped, digits)
                     best = found if best is None else _keep(pd.concat([best, found], ignore_index=True), k)
             if best is not None:
                 yield best
@@ -117,7 +121,8 @@ def vector_topk(
         def pair(some: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
             if some.empty or part.empty:
                 return pd.DataFrame({c: [] for c in ("question_id", "section_id", "policy_version_id", "policy_id", "score")})
-            return _best(some, part, k, scoped, digits)
+            slices = (part.iloc[i : i + SLICE_ROWS] for i in range(0, len(part), SLICE_ROWS))
+            return _keep(pd.concat([_best(some, x, k, scoped, digits) for x in slices], ignore_index=True), k)
 
         keys = ["block", "fragment"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, FOUND)

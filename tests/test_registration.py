@@ -143,6 +143,7 @@ def events(spark, data):
 )
 def test_batch_status_cases(spark, data, want):
     assert rows(status.batch_status(events(spark, data)), "batch_status") == [(want,)]
+    assert rows(status.batch_status(events(spark, data), F.date_trunc("day", "ts")), "batch_status") == [(want,)]
 
 
 def test_progress_counts(spark):
