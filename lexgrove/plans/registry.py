@@ -624,6 +624,24 @@ def stream_ingest(spark, sf):
     return s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
 
 
+def file_plan(spark, sf):
+    """Documents as text files of a local folder: the registration plan per file."""
+    d = corpus.table(spark, sf, "documents")
+    path = F.concat(F.lit("/in/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("-2024-01-05.txt"))
+    files = d.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    p = downloads.plan_files(files, "/in", "docs", "DEMO", "S1", {"policy_type": "external_policy"})
+    return p.select("source_file", "policy_external_id", "policy_name", "effective_date", "content_type", "file_sha256", "version_label", "blob_path")
+
+
+def request_fields(spark, sf):
+    """Conversation turns as request payloads in both spellings, read back to fields."""
+    c = corpus.table(spark, sf, "conversations")
+    camel = F.to_json(F.struct(corpus.tenant_of(F.col("conv_id")).alias("tenantId"), F.col("text").alias("question"), F.struct(F.lit(False).alias("onlyCurrent")).alias("scope")))
+    snake = F.to_json(F.struct(F.col("text").alias("query"), F.struct(F.col("role").alias("department")).alias("user")))
+    r = c.select("conv_id", "turn", audit.normalize_request(F.when(F.pmod("turn", F.lit(2)) == 0, camel).otherwise(snake)).alias("r"))
+    return r.select("conv_id", "turn", "r.tenant_id", "r.question", "r.department", "r.only_current")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -634,6 +652,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eval_outcomes, refs_extracted, refs_resolved, refs_inbound, name_similarity, reference_backfill, page_text, page_links, link_manifest,
         link_expansion, page_documents, download_status, download_index, resume_report, slug_join, url_checks, metadata_hash, message_guard,
         catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_ingest,
+        file_plan, request_fields,
     )
 }
 QUERIES["answers"] = answers_query

@@ -314,4 +314,16 @@ SELECT {uuid5(CATALOG_SPACE, "'section/'||upper(source)||'/'||cid")} section_id,
     "catalog_policies": f"""SELECT {uuid5(CATALOG_SPACE, "'policy/'||upper(source)")} policy_id, source external_id, 'Catalog — Family '||source||' ('||upper(source)||')' AS name, {uuid5(CATALOG_SPACE, "'version/'||upper(source)")} current_version_id FROM (SELECT DISTINCT source FROM documents)""",
     "nested_versions": ctes(FACTS, NUMBERED) + "SELECT policy_id, policy_version_id, version_number, parse_status FROM numbered",
     "stream_ingest": ctes(DOCS, SECTIONS) + f"SELECT {uuid5(ID_SPACE, chr(39) + 'doc/' + chr(39) + '||doc_id')} policy_version_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id",
+    "embed_backfill": ctes(*BASE) + "SELECT policy_id, count(*) inserted, 1.0::DOUBLE avg_norm FROM corpus WHERE section_id NOT IN (SELECT 'v'||vec_id||':0' FROM embeddings) GROUP BY policy_id",
+    "file_plan": """SELECT source||'/doc_'||doc_id||'-2024-01-05.txt' source_file, ext policy_external_id, 'Doc '||doc_id||' 2024 01 05' policy_name, DATE '2024-01-05' effective_date, 'text/plain' content_type, sha256(text) file_sha256,
+  'v1-S1-'||substr(sha256(text),1,8) version_label, 'external/demo/'||ext||'/S1-doc_'||doc_id||'-2024-01-05.txt' blob_path FROM (SELECT *, 'docs-demo-'||substr(sha1(source||'/doc_'||doc_id||'-2024-01-05'),1,12) ext FROM documents)""",
+    "request_fields": """SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'tenant-'||(conv_id%2) ELSE 'local' END tenant_id, text question, CASE WHEN turn%2=1 THEN role END department, turn%2=1 only_current FROM conversations""",
+    "page_documents": ctes(
+        LINKS,
+        "byp AS (SELECT page_id, count(*) n_links, string_agg(l, chr(10) ORDER BY l) ls FROM (SELECT DISTINCT page_id, " + SCHEME_HOST + "||regexp_replace(href,'#.*$','') l FROM links) GROUP BY page_id)",
+        "body AS (SELECT page_id, url, " + UNESCAPED.format(c="coalesce(nullif(trim(regexp_replace(regexp_extract(html,'(?is)<title[^>]*>(.*?)</title>',1),'\\s+',' ','g')),''),url)") + " title, "
+        + UNESCAPED.format(c="regexp_replace(" + HTML_TEXT.replace("' '", "''") + ",'<[^>]+>'," + NL + ",'g')") + " b FROM pages)",
+        f"doc AS (SELECT *, trim(list_aggregate(list_transform(string_split(regexp_replace(b,'\\n{{3,}}',{NL}||{NL},'g'),{NL}), lambda x: rtrim(x,{WS})),'string_agg',{NL}),{WS}) t FROM body)",
+    ) + f"""SELECT page_id, title, coalesce(n_links,0) n_links, length(trim('TITLE: '||title||{NL}||'URL: '||url||{NL}||{NL}||'===== PAGE TEXT ====='||{NL}||t||{NL}||{NL}||'===== REFERENCES (ALL LINKS) ====='||{NL}||coalesce(ls,''),{WS}))+1 n_chars
+FROM doc LEFT JOIN byp USING (page_id)""",
 }
