@@ -166,7 +166,7 @@ def looks_like_html(prefix: Column) -> Column:
 
 def _ipv4_number(host: Column) -> Column:
     parts = F.split(host, r"\.")
-    byte = [F.get(parts, F.lit(i)).cast("long") for i in range(4)]
+    byte = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
     valid = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.greatest(*byte).between(0, 255)
     return F.when(valid, byte[0] * 16777216 + byte[1] * 65536 + byte[2] * 256 + byte[3])
 

@@ -12,6 +12,7 @@ from lexgrove.operators.fusion import HybridConfig, fuse, merge_sources
 from lexgrove.operators.ranking import assign_buckets, rank_evidence
 from lexgrove.operators.vectors import BLOCK_QUESTIONS, vector_topk
 from lexgrove.scale import fits
+from lexgrove.session import cut_lineage
 
 FACTS = [
     "section_id", "policy_name", "title", "section_path", "section_index", "public_url", "text", "department_scope",
@@ -45,13 +46,14 @@ def retrieve(
     vec = vector_topk(questions, vectors, k) if mode in ("hybrid", "vector") else None
     fts = fts_topk(questions, sections, k, postings) if mode in ("hybrid", "fts") else None
     if mode == "hybrid":
-        merged = merge_sources(vec, fts, cfg)
+        # From here on a few rows per question: keep them instead of replaying the searches.
+        merged = cut_lineage(merge_sources(vec, fts, cfg))
         found = fuse(merged, hydrate(merged, sections, bounded), cfg)
     else:
         one = vec if vec is not None else fts
         found = one.withColumn("source", F.lit(mode)).join(hydrate(one, sections, bounded), ["question_id", "section_id"])
     asked = questions.select("question_id", "department", F.col("department").alias("user_department"))
-    return found.join(asked, "question_id")
+    return cut_lineage(found.join(asked, "question_id"))
 
 
 def ask(
