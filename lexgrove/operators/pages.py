@@ -17,7 +17,10 @@ from lexgrove.functions.urls import (
 
 @dataclass(frozen=True)
 class LinkRules:
-    """Which links belong to an agency. Hosts are given by the user; the rest are defaults."""
+    """Which links belong to an agency: hosts, file suffixes and path parts, any of which may differ by agency.
+
+    Hosts are given by the user, no host means any; further path parts of a site are added to ``path_parts``.
+    """
 
     agency: str
     hosts: tuple[str, ...] = ()
@@ -27,7 +30,7 @@ class LinkRules:
     blocked: tuple[str, ...] = ("javascript:", "mailto:", "tel:", "linkedin.com", "twitter.com", "google.com/chrome")
     blocked_path: tuple[str, ...] = ("policy-finder/google.com",)
     suffixes: tuple[str, ...] = (".pdf", ".doc", ".docx", ".html", ".htm")
-    path_parts: tuple[str, ...] = ("/ohio-revised-code/", "/wps/wcm/connect/gov/", "/policies", "/policy-finder/", "policy")
+    path_parts: tuple[str, ...] = ("/policies", "/policy-finder/", "policy")
     policy_type: str = "external_policy"
 
 
