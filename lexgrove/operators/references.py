@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrove.scale import top_per_group
+from lexgrove.scale import dimension_join, salted_lookup, top_per_group
 from lexgrove.session import cut_lineage
 
 EXTRACTOR = "regex-v1"
@@ -138,7 +138,7 @@ def match_names(names: DataFrame, policies: DataFrame, threshold: float = NAME_T
 
     def rare(df: DataFrame, key: list[str], words: str) -> DataFrame:
         flat = df.select(*key, F.size(words).alias("n"), F.explode(words).alias("word"))
-        flat = flat.join(seen, ["tenant_id", "word"], "left")
+        flat = dimension_join(flat, seen, ["tenant_id", "word"], key[-1], "left")
         sets = flat.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("s"))
         need = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int")
         kept = F.slice("s", F.lit(1), F.greatest(F.lit(1), F.col("n") - need + 1))
@@ -166,7 +166,9 @@ def reference_edges(sections: DataFrame, policies: DataFrame, refs: DataFrame |
         "target_policy_id", F.when(F.col("target_section_id").isNotNull(), F.col("policy_id"))
     )
     named = refs.where(F.col("reference_type") == "cross_policy")
-    cross = named.join(match_names(named, policies, threshold), ["tenant_id", "matched_text"], "left")
+    # One name may be cited by a third of all references.
+    matches = cut_lineage(match_names(named, policies, threshold))
+    cross = dimension_join(named, matches, ["tenant_id", "matched_text"], "section_id", "left")
     cross = cross.where(~F.col("target_policy_id").eqNullSafe(F.col("policy_id")))
     outer = refs.where(F.col("reference_type") == "external_authority")
     none = F.lit(None).cast("string")
@@ -199,7 +201,9 @@ def hydrate_targets(edges: DataFrame, sections: DataFrame, policies: DataFrame)
         F.col("section_path").alias("target_section_path"),
     )
     p = policies.select(F.col("policy_id").alias("target_policy_id"), F.col("name").alias("target_policy_name"))
-    out = edges.join(s, "target_section_id", "left").join(p, "target_policy_id", "left")
+    cited = edges.groupBy("target_section_id").agg(F.count(F.lit(1)).alias("n")).join(s, "target_section_id")
+    out = salted_lookup(edges, cited, ["target_section_id"], "source_section_id", "n").drop("n")
+    out = dimension_join(out, p, ["target_policy_id"], "source_section_id", "left")
     head = F.concat(F.coalesce(F.concat(F.nullif("target_policy_name", F.lit("")), F.lit(" · ")), F.lit("")), F.coalesce("target_section_title", "target_section_path"))
     return out.withColumn(
         "target_text",

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,7 +75,9 @@ def salted_lookup(
         .limit(MAX_HOT_KEYS)
         .select(*keys, F.lit(True).alias("_hot"))
     )
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
+    # Rows without a key match nothing; they are spread as well.
+    no_key = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    spread = F.when(F.coalesce(F.col("_hot"), no_key), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, keys, "left").withColumn("_salt", spread).drop("_hot")
     right = per_key.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")

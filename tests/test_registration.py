@@ -118,6 +118,8 @@ def test_salted_lookup_and_dimension_join_equal_plain_join(spark, monkeypatch):
     agg = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     want = rows(df.join(agg, "k"), "id", "first")
     assert rows(salted_lookup(df, agg, ["k"], "id", "n", hot_rows=10, salts=5), "id", "first") == want
+    holes = df.withColumn("k", F.when(F.col("id") % 5 > 0, F.col("k")))
+    assert rows(salted_lookup(holes, agg, ["k"], "id", "n", hot_rows=10, salts=5), "id", "first") == rows(holes.join(agg, "k", "left"), "id", "first")
     monkeypatch.setattr("lexgrove.scale.MAX_DIM_ROWS", 3)
     assert rows(dimension_join(df, agg, ["k"], "id"), "id", "first") == want
 
