@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import decontaminate, line_spread, simhash, url_filter, vector_topk
+from lexgrove.llm import decontaminate, line_spread, piece_codec, simhash, url_filter, vector_topk, wavelet
 
 URL_RULES = (("com/", url_filter.ALLOW), ("example.com/en/", url_filter.BLOCK), ("www.example.com/en/", url_filter.ALLOW), ("net/es/", url_filter.BLOCK), ("net/fr/", url_filter.BLOCK))
 # Sites that are never wanted, whatever their top-level name.
@@ -25,6 +25,21 @@ def op1_url_filter(spark, sf):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; it is installed with Python on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_wavelet_ids(spark, sf):
+    return wavelet.corpus_ids(table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op3_piece_round_trip(spark, sf):
+    return piece_codec.round_trip(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"), [F.col("doc_id")])
+
+
 def op6_simhash(spark, sf):
     groups = simhash.linked_groups(table(spark, sf, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,4 +60,4 @@ def op10_line_spread(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_simhash, op7_decontamination, op9_vector_topk, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_wavelet_ids, op3_piece_round_trip, op6_simhash, op7_decontamination, op9_vector_topk, op10_line_spread)}
