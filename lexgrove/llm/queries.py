@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import decontaminate, line_spread, piece_codec, simhash, url_filter, vector_topk, wavelet
+from lexgrove.llm import decontaminate, language_crf, line_spread, piece_codec, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
 
 URL_RULES = (("com/", url_filter.ALLOW), ("example.com/en/", url_filter.BLOCK), ("www.example.com/en/", url_filter.ALLOW), ("net/es/", url_filter.BLOCK), ("net/fr/", url_filter.BLOCK))
 # Sites that are never wanted, whatever their top-level name.
@@ -40,6 +40,14 @@ def op3_piece_round_trip(spark, sf):
     return piece_codec.round_trip(table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"), [F.col("doc_id")])
 
 
+def op4_language_crf(spark, sf):
+    return language_crf.identify(table(spark, sf, "documents"))
+
+
+def op5_suffix_dedup(spark, sf):
+    return suffix_dedup.dedup_substrings(table(spark, sf, "documents"))
+
+
 def op6_simhash(spark, sf):
     groups = simhash.linked_groups(table(spark, sf, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +58,10 @@ def op7_decontamination(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op8_toxicity_crf(spark, sf):
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_vector_topk(spark, sf):
     vectors = vector_topk.scaled(table(spark, sf, "embeddings"))
     return vector_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -60,4 +72,4 @@ def op10_line_spread(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_wavelet_ids, op3_piece_round_trip, op6_simhash, op7_decontamination, op9_vector_topk, op10_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_wavelet_ids, op3_piece_round_trip, op4_language_crf, op5_suffix_dedup, op6_simhash, op7_decontamination, op8_toxicity_crf, op9_vector_topk, op10_line_spread)}
