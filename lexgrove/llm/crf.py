@@ -16,7 +16,7 @@ import numpy as np
 FEATURES = 1 << 16
 # Words whose scores a worker keeps; beyond that the memory starts anew.
 MEMO_WORDS = 1_000_000
-_EDGE = ".,;:!?\"'()[]{}<>|*#-–—_/\\«»¿¡…“”‘’"
+_EDGE = ".,;:!?\"'()[]{}<>|*#-–—_/\\«»¿¡…“”‘’&%$@+=~^`§"
 
 
 def bare(piece: bytes) -> str:

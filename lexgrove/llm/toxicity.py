@@ -28,9 +28,10 @@ from lexgrove.llm.language_crf import sample
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 6000
 STRETCH = 60
-# A word is toxic when its share among toxic documents is this many times that among others.
-RATIO = 12.0
-LEAST_DOCS = 4
+# A word is toxic when its share among toxic documents is this many times that among others, and when chance
+# would hardly do so: this log-likelihood ratio, a million to one, as some hundred thousand words are tried.
+RATIO = 8.0
+LEAST_G2 = 28.0
 SPAN_AT = 0.5
 _PIECE = re.compile(rb"\S+")
 
@@ -47,10 +48,15 @@ def toxic_words(rows: list[tuple[int, list[str]]]) -> set[str]:
         docs[label] += 1
         seen[label].update({g for w in set(words) if has_letter(w) for g in _grams(w)})
     out = set()
+    if not all(docs):
+        return out
+    share = docs[1] / sum(docs)
     for g, n in seen[1].items():
-        rate = (n + 0.5) / (docs[1] + 1)
-        other = (seen[0][g] + 0.5) / (docs[0] + 1)
-        if n >= LEAST_DOCS and rate / other >= RATIO:
+        m = seen[0][g]
+        rate, other = (n + 0.5) / (docs[1] + 1), (m + 0.5) / (docs[0] + 1)
+        own = n / (n + m)
+        g2 = 2 * (n * np.log(own / share) + (m * np.log((1 - own) / (1 - share)) if m else 0.0))
+        if rate / other >= RATIO and g2 >= LEAST_G2:
             out.add(g)
     return out
 
