@@ -78,5 +78,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns as given."""
-    found = stored(overlaps(docs, benchmark).select(id_key().alias("_bad")).distinct(), "contaminated")
-    return docs.withColumn("_id", id_key()).join(_bounded(found, MAX_DOCS), F.col("_id") == F.col("_bad"), "left_anti").drop("_id")
+    found = stored(overlaps(docs, benchmark).select(id_key().alias("id")).distinct(), "contaminated")
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), id_key().alias("id"))
+    return keyed.join(_bounded(found, MAX_DOCS), "id", "left_anti").select("whole.*")

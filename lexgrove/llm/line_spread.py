@@ -65,17 +65,16 @@ def strip_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = stored(line_table(docs, site, min_chars), "lines")
     found = stored(boilerplate(lines, min_sites, margin), "boilerplate")
     hits = salted_lookup(lines.select("h1", "h2", "id"), found, ["h1", "h2"], "id", "n", hot_rows=HOT_ROWS, how="inner")
-    gone = hits.where(F.col("id") > F.col("first_id")).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
-    keyed = docs.drop("n_lines", "n_removed").withColumn("_id", id_key())
-    joined = keyed.join(gone, F.col("_id") == gone.id, "left").drop("id")
-    kept = F.when(
-        F.col("_gone").isNotNull(),
-        F.filter(_lines(F.col("text")), lambda line: (F.length(F.btrim(line, F.lit(BLANK))) < min_chars) | ~F.array_contains(F.col("_gone"), _line_key(line))),
-    )
-    out = joined.withColumn("_kept", kept)
-    n_lines = F.coalesce(F.size(F.when(F.col("text").isNotNull(), _lines(F.col("text")))), F.lit(0))
-    return out.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"),
-        "n_removed": F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long"),
-        "text": F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")),
-    }).drop("_id", "_gone", "_kept")
+    gone = hits.where(F.col("id") > F.col("first_id")).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    own = docs.drop("n_lines", "n_removed")
+    keyed = own.select(F.struct(*own.columns).alias("whole"), id_key().alias("id"), F.col("text").alias("body"))
+    short = lambda line: F.length(F.btrim(line, F.lit(BLANK))) < min_chars
+    kept = F.when(F.col("gone").isNotNull(), F.filter(_lines(F.col("body")), lambda line: short(line) | ~F.array_contains(F.col("gone"), _line_key(line))))
+    n_lines = F.size(_lines(F.col("body")))
+    counted = keyed.join(gone, "id", "left").withColumn("kept", kept).withColumns({
+        "all": F.when(F.col("body").isNull(), 0).otherwise(n_lines).cast("long"),
+        "less": F.when(F.col("kept").isNull(), 0).otherwise(n_lines - F.size("kept")).cast("long"),
+        "rest": F.when(F.col("kept").isNull(), F.col("body")).otherwise(F.array_join("kept", "\n")),
+    })
+    columns = [F.col("rest").alias("text") if c == "text" else F.col("whole").getField(c).alias(c) for c in own.columns]
+    return counted.select(*columns, F.col("all").alias("n_lines"), F.col("less").alias("n_removed"))

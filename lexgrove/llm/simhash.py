@@ -227,5 +227,5 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: i
 def near_dedup(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with the first document of each group only; columns as given. Fully repeated rows are one document."""
     gone = similar_groups(docs, size, least).where("not keep").select("id", "row")
-    keyed = docs.withColumns({"_id": id_key(), "_row": F.xxhash64(utf8())})
-    return keyed.join(gone, (F.col("_id") == gone.id) & (F.col("_row") == gone.row), "left_anti").drop("_id", "_row")
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), id_key().alias("id"), F.xxhash64(utf8()).alias("row"))
+    return keyed.join(gone, ["id", "row"], "left_anti").select("whole.*")
