@@ -47,23 +47,35 @@ def external_id(url: Column, title: Column) -> Column:
     return F.concat(prefix, F.lit("-"), F.substring(F.sha1(F.encode(url, "UTF-8")), 1, 12))
 
 
+def _loaded(text):
+    """(whether ``text`` is JSON, its value)."""
+    if text is None:
+        return True, {}
+    try:
+        return True, json.loads(text)
+    except ValueError:
+        return False, None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
-    """Sorted keys, no spaces, UTF-8; null counts as an empty object."""
+    """Sorted keys, no spaces, UTF-8; null counts as an empty object; null where the text is no JSON."""
 
     def one(text):
-        value = {} if text is None else json.loads(text)
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        good, value = _loaded(text)
+        return None if not good else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
     return raw.map(one, na_action=None)
 
 
 @F.pandas_udf(T.StringType())
 def metadata_hash(raw: pd.Series) -> pd.Series:
-    """SHA-256 of the canonical form, with the first filled URL key copied to ``source_url``."""
+    """SHA-256 of the canonical form, with the first filled URL key copied to ``source_url``; null where there is no JSON object."""
 
     def one(text):
-        value = {} if text is None else json.loads(text)
+        _, value = _loaded(text)
+        if not isinstance(value, dict):
+            return None
         source = value.get("source_url") or value.get("public_url") or value.get("url")
         if source:
             value["source_url"] = str(source)

@@ -203,6 +203,8 @@ def _blocked_v6(host: Column) -> Column:
     return (
         F.when(host.isin("::1", "0:0:0:0:0:0:0:1"), "loopback")
         .when(host == "::", "private")
+        .when(host.rlike("^(64:ff9b:0*1:|64:ff9b:1:|0*100:0*:0*:0*:|0*100::|2001:0*db8:|2001:0*[0-1]?[0-9a-f]{0,2}:|2001::|2002:|3fff:|5f00:)"), "private")
+        .when(host.rlike("^(0*[1-9a-f][0-9a-f]?:|[4-9a-e][0-9a-f]{3}:|fe[0-7][0-9a-f]:)") & host.contains(":"), "reserved")
         .when(host.rlike("^fe[89ab][0-9a-f]?:"), "link_local")
         .when(host.rlike("^f[cd][0-9a-f]*:"), "private")
         .when(host.rlike("^ff[0-9a-f]*:"), "multicast")

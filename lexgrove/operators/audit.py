@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.ids import sha256_hex
 from lexgrove.operators.versions import for_tenant
+from lexgrove.sources.sinks import append_new
 
 REQUEST = ["question_id", "tenant_id", "question", "department", "only_current", "policy_ids", "policy_types"]
 REQUEST_SCHEMA = (
@@ -35,8 +36,9 @@ def audit_rows(answers: DataFrame, run_id: str, created_at: Column | None = None
     )
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    audit.write.mode("append").partitionBy("tenant_id").parquet(path)
+def append_audit(audit: DataFrame, path: str) -> DataFrame:
+    """Append the rows whose id is not stored yet, so that a retry adds nothing; returns what was added."""
+    return append_new(audit, path, ["audit_id"])
 
 
 def get_audit(audit: DataFrame, tenant_id: str, audit_id: str) -> DataFrame:
@@ -47,9 +49,9 @@ def get_audit(audit: DataFrame, tenant_id: str, audit_id: str) -> DataFrame:
     )
 
 
-def list_audit(audit: DataFrame, tenant_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_audit(audit: DataFrame, tenant_id: str, limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
     mine = for_tenant(audit, tenant_id)
-    return mine.orderBy(F.col("created_at").desc(), "audit_id").offset(max(0, offset)).limit(max(1, min(limit, 200)))
+    return mine.orderBy(F.col("created_at").desc(), "audit_id").offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
 def requests_of(audit: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from lexgrove.functions.text import blank, let, rstrip, strip
 from lexgrove.scale import bucketed_scan
 from lexgrove.session import cut_lineage
 
+# Fixed value: name space of catalog ids.
 CATALOG_SPACE = "11111111-2222-3333-4444-555555555555"
-MAX_TEXT = 6000
 # Part names that are not rendered, the parameter placeholder, texts put in its place.
 SKIPPED_PARTS = ["assessment-objective", "assessment-method", "objective"]
 PLACEHOLDER = r"\{\{\s*insert:\s*param,\s*([^}\s]+)\s*\}\}"
@@ -111,7 +111,7 @@ def part_lines(controls: DataFrame) -> DataFrame:
     return lines.where((F.col("l") != "") | (F.col("p") != "")).drop("l", "p")
 
 
-def control_texts(catalog_controls: DataFrame) -> DataFrame:
+def control_texts(catalog_controls: DataFrame, max_text: int | None = None) -> DataFrame:
     """Live controls with label, title and text: title line, control statement, discussion."""
     nodes = descend(catalog_controls, "controls").withColumnRenamed("at", "control_at")
     status = F.filter(F.coalesce("n.props", F.array().cast("array<struct<name:string,value:string,class:string>>")), lambda p: (p["name"] == "status") & (p["value"] == "withdrawn"))
@@ -133,22 +133,24 @@ def control_texts(catalog_controls: DataFrame) -> DataFrame:
     )
     return joined.select(
         "family", "family_title", "control_at", F.col("n.id").alias("control_id"), label.alias("label"), title.alias("title"),
-        F.substring(text, 1, MAX_TEXT).alias("text"),
+        (text if max_text is None else F.substring(text, 1, max_text)).alias("text"),
     )
 
 
-def flatten_catalog(controls: DataFrame, tenant_id: str, name_prefix: str, profile: dict[str, str | int], url_prefix: str = "") -> dict[str, DataFrame]:
+def flatten_catalog(
+    controls: DataFrame, tenant_id: str, name_prefix: str, profile: dict[str, str | int], url_prefix: str = "", max_text: int | None = None,
+) -> dict[str, DataFrame]:
     """Three tables from one catalog: policies, sections, embedding rows (vectors still to fill).
 
     ``controls``: family, family_title, at, raw. Withdrawn controls are left out, their live
-    children stay. ``profile``: category, authority_level, policy_type, effective_date, model.
+    children stay. ``profile``: category, authority_level, policy_type, effective_date, model. ``max_text`` cuts longer texts.
     """
 
     def make(kind: str, *more: str) -> Column:
         return uuid5(CATALOG_SPACE, F.concat_ws("/", F.lit(kind), *more))
 
     rows = bucketed_scan(
-        control_texts(controls), ["family"], [F.col("control_at")],
+        control_texts(controls, max_text), ["family"], [F.col("control_at")],
         F.floor(F.element_at("control_at", 1) / FAMILY_SLICE), number="place",
     )
     name = F.concat(F.lit(f"{name_prefix} — "), "family_title", F.lit(" ("), "family", F.lit(")"))

@@ -90,7 +90,7 @@ def fuse(merged: DataFrame, facts: DataFrame, cfg: HybridConfig = HybridConfig()
     per_question = Window.partitionBy("question_id")
     c = merged.join(facts, ["question_id", "section_id"]) if facts is not None else merged
     level = F.coalesce(F.col("authority_level").cast("double"), F.lit(0.0))
-    ts = F.coalesce(F.unix_timestamp(F.col("effective_date").cast("timestamp")).cast("double"), F.lit(0.0))
+    ts = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.col("effective_date").cast("string"))).cast("double"), F.lit(0.0))
     c = c.withColumn("_level", level).withColumn("_ts", ts)
     low, high = F.min("_ts").over(per_question), F.max("_ts").over(per_question)
     top_level = F.greatest(F.lit(1.0), F.max("_level").over(per_question))

@@ -25,7 +25,7 @@ def _pick(values: list[str], index: Column) -> Column:
 def evidence_order(discount: float = CURRENCY_DISCOUNT) -> list[Column]:
     """All keys descending; a section that is not current counts for less."""
     score = F.coalesce(F.col("score"), F.lit(0.0))
-    day = F.coalesce(F.unix_timestamp(F.col("effective_date").cast("timestamp")), F.lit(0))
+    day = F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.col("effective_date").cast("string"))), F.lit(0))
     return [
         F.when(F.col("is_current"), score).otherwise(score * discount).desc(),
         score.desc(),

@@ -225,10 +225,10 @@ def listing(edges: DataFrame, tenant_id: str, section_id: str, direction: str =
     return (outbound if direction == "outbound" else inbound)(edges, tenant_id, section_id)
 
 
-def for_version(edges: DataFrame, tenant_id: str, version_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
+def for_version(edges: DataFrame, tenant_id: str, version_id: str, limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
     mine = edges.where((F.col("tenant_id") == tenant_id) & (F.col("source_policy_version_id") == version_id))
     order = ["created_at"] if "created_at" in edges.columns else ["source_section_id", "match_offset"]
-    return mine.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, 200)))
+    return mine.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
 def backfill_references(sections: DataFrame, policies: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,3 +239,9 @@ def backfill_references(sections: DataFrame, policies: DataFrame, processed: Dat
     """
     todo = sections.where(F.col("parse_status") == "ready").join(processed.select("policy_version_id"), "policy_version_id", "left_anti")
     return reference_edges(todo, policies), todo.select("policy_version_id").distinct()
+
+
+def backfill_counts(edges: DataFrame, markers: DataFrame) -> DataFrame:
+    """One row: versions scanned, versions with references, references inserted."""
+    found = edges.agg(F.count(F.lit(1)).alias("inserted"), F.countDistinct("source_policy_version_id").alias("with_references"))
+    return markers.agg(F.count(F.lit(1)).alias("scanned")).withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one").drop("one")

@@ -28,12 +28,20 @@ class RegisterResult:
 
 def validation_error(c: dict[str, Column]) -> Column:
     """First broken length or presence rule; null when the row may be registered."""
-    too_long = [("policy_external_id", 128), ("policy_name", 512), ("version_label", 128), ("blob_path", 1024), ("title", 512)]
+    too_long = [
+        ("policy_external_id", 128), ("policy_name", 512), ("version_label", 128), ("blob_path", 1024), ("title", 512), ("jurisdiction", 128), ("category", 256),
+    ]
     error = F.when(blank(c["policy_external_id"]), "policy_external_id must be non-empty")
     error = error.when(blank(c["policy_name"]), "policy_name must be non-empty")
     for name, size in too_long:
         if name in c:
             error = error.when(F.length(c[name]) > size, f"{name} longer than {size}")
+    if "content_sha256" in c:
+        error = error.when(F.length(c["content_sha256"]) != 64, "content_sha256 must have 64 characters")
+    if "authority_level" in c:
+        error = error.when(c["authority_level"] < 0, "authority_level must not be negative")
+    if "extracted_text" in c:
+        error = error.when(blank(c["extracted_text"]), "document has no readable text")
     return error
 
 
@@ -47,7 +55,7 @@ def prepare(incoming: DataFrame) -> DataFrame:
         incoming.withColumn("content_sha256", content)
         .withColumn("metadata_sha256", meta)
         .withColumn("policy_id", policy)
-        .withColumn("error", validation_error(cols))
+        .withColumn("error", F.coalesce(validation_error(cols), F.when(F.col("metadata_sha256").isNull(), "metadata_json must be a JSON object")))
     )
     version = F.concat_ws("/", F.lit("version"), "policy_id", "content_sha256", "metadata_sha256")
     return out.withColumn("policy_version_id", uuid5(ID_SPACE, version))

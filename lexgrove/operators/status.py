@@ -15,6 +15,7 @@ FAILED = ["failed", "cancelled"]
 DONE_BATCH = ["completed", "complete", "failed", "cancelled"]
 # Events of all batches per time slice of the running count.
 ROWS_PER_SLICE = 250_000
+MAX_SLICES = 1024
 ITEM_OF_VERSION = {"ready": "completed", "failed": "failed", "processing": "processing"}
 
 
@@ -61,13 +62,34 @@ def nested_active(items: Column) -> Column:
     return F.size(F.filter(items, lambda i: i["status"].isin(ACTIVE_ITEMS)))
 
 
-def time_slices(events: DataFrame, rows: int = ROWS_PER_SLICE) -> Column:
-    """Even slices of the covered time, as many as keep some ``rows`` events in each."""
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    span = events.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    if not span.n or span.high == span.low:
+def time_slices(events: DataFrame, rows: int = ROWS_PER_SLICE, most: int = MAX_SLICES) -> Column:
+    """Slices of the covered time between approximate quantiles, so that some ``rows`` events lie in each wherever they fall.
+
+    At most ``most`` edges travel with the plan; a longer history has more rows in a slice.
+    """
+    n = min(most, events.count() // rows + 1)
+    if n < 2:
+        return F.lit(0).cast("long")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = events.select(seconds.alias("s")).agg(F.percentile_approx("s", [i / n for i in range(1, n)], 10_000).alias("e")).first().e
+    return _slice_of(seconds, sorted(set(edges))).cast("long")
+
+
+def _slice_of(value: Column, edges: list[int]) -> Column:
+    """Number of ``edges`` below ``value``, by halving."""
+    if not edges:
         return F.lit(0).cast("long")
-    return F.floor((seconds - span.low) / ((span.high - span.low) / (span.n // rows + 1)))
+    mid = len(edges) // 2
+    return F.when(value > F.lit(edges[mid]), F.lit(mid + 1) + _slice_of(value, edges[mid + 1 :])).otherwise(_slice_of(value, edges[:mid]))
+
+
+def item_results(items: DataFrame, versions: DataFrame) -> DataFrame:
+    """Item status from the version it led to: batch_id, item_id, policy_version_id, status.
+
+    Items keep their own status while their version has none of the ending states.
+    """
+    ended = versions.select("policy_version_id", F.element_at(F.create_map(*(F.lit(x) for p in ITEM_OF_VERSION.items() for x in p)), F.col("parse_status")).alias("_new"))
+    return items.join(ended, "policy_version_id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
 
 
 def batch_status(events: DataFrame, slice_of: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import blank
@@ -49,12 +49,12 @@ def _best(asks: pd.DataFrame, rows: pd.DataFrame, k: int, scoped: bool, digits:
     """Best ``k`` rows per question within one slice of vectors; equal scores go by section id."""
     rows = rows.sort_values("section_id", kind="stable")
     scores = _matrix(asks["vector"]) @ _matrix(rows["embedding"]).T
-    scores = np.round(np.clip(scores, 0.0, 1.0), digits)
-    scores[~_allowed(asks, rows, scoped)] = -1.0
+    scores = np.round(scores, digits)
+    scores[~_allowed(asks, rows, scoped)] = -np.inf
     n = scores.shape[1]
     # Everything from the k-th best score on, then cut to k by (score, section id).
-    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(asks))
-    q, at = np.nonzero(scores >= np.maximum(least, 0.0)[:, None])
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(asks), -np.inf)
+    q, at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
     order = np.lexsort((at, -scores[q, at], q))
     q, at = q[order], at[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -86,7 +86,7 @@ def vector_topk(
     questions: DataFrame, vectors: DataFrame, k: int = 20, scoped: bool = True, digits: int = 9,
     block: int = BLOCK_QUESTIONS, fragment_rows: int = FRAGMENT_ROWS,
 ) -> DataFrame:
-    """Cosine similarity, best ``k`` per question, exact.
+    """Cosine similarity, best ``k`` per question, exact. Rows are ordered by the raw value; the score shown is held within 0..1.
 
     Up to ``block`` questions travel to every task and each task returns its own best rows, so the
     vector table is read once and never shuffled. More questions are cut into blocks and the vector
@@ -126,7 +126,13 @@ def vector_topk(
 
         keys = ["block", "fragment"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, FOUND)
-    return top_per_group(found, ["question_id"], [F.col("score").desc(), F.col("section_id")], k)
+    best = top_per_group(found, ["question_id"], [F.col("score").desc(), F.col("section_id")], k)
+    return best.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
+
+
+def vector_literal(vector: Column, digits: int = 12) -> Column:
+    """Text form of a vector, as vector columns of databases take it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -151,8 +157,12 @@ def control_ids(question: Column) -> Column:
 
 
 def boost_exact(found: DataFrame, boost: float = 0.4, most: float = 0.99) -> DataFrame:
-    """Raise sections whose path is named in the question; needs question, section_path, score."""
+    """Raise sections whose path is named in the question and rank again; needs question_id, question, section_id, section_path, score."""
     named = F.array_contains(control_ids(F.col("question")), F.upper("section_path"))
-    return found.withColumn(
+    raised = found.withColumn(
         "score", F.when(F.coalesce(named, F.lit(False)), F.least(F.lit(most), F.col("score") + boost)).otherwise(F.col("score"))
     )
+    if "question_id" not in found.columns:
+        return raised
+    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("section_id"))
+    return raised.withColumn("rank", F.row_number().over(order))

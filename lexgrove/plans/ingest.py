@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.functions.ids import is_uuid, sha256_hex
+from lexgrove.functions.ids import extracted_path, is_uuid, sha256_hex
 from lexgrove.functions.text import chunks, clean_text, strip_nul
 from lexgrove.operators.embedding import Embedder, embed
 from lexgrove.operators.references import reference_edges
@@ -23,7 +23,7 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.get_json_object("value", "$.type")
     wrapped = F.get_json_object("value", "$.data").rlike(r"(?s)^\s*\{")
     body = F.when(kind.isNotNull() & F.coalesce(wrapped, F.lit(False)), F.get_json_object("value", "$.data")).otherwise(F.col("value"))
-    m = raw.withColumn("_body", body).withColumn("policy_version_id", F.get_json_object("_body", "$.policy_version_id"))
+    m = raw.withColumn("_body", body).withColumn("policy_version_id", F.lower(F.get_json_object("_body", "$.policy_version_id")))
     m = m.withColumn("correlation_id", F.get_json_object("_body", "$.correlation_id"))
     error = (
         F.when(v.isNull() | ~obj, "Invalid JSON payload")
@@ -31,7 +31,7 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~is_uuid(F.col("policy_version_id")), "Invalid UUID for policy_version_id")
     )
     m = m.withColumn("error", error).drop("_body")
-    good = m.where(F.col("error").isNull()).withColumn("request_id", F.concat(F.lit("policy_version:"), F.lower("policy_version_id")))
+    good = m.where(F.col("error").isNull()).withColumn("request_id", F.concat(F.lit("policy_version:"), "policy_version_id"))
     return good.drop("error"), m.where(F.col("error").isNotNull())
 
 
@@ -49,9 +49,10 @@ def process_versions(
 ) -> dict[str, DataFrame]:
     """Process requested versions in bulk.
 
-    ``versions``: tenant_id, policy_id, policy_version_id, parse_status, ... ``texts``:
-    policy_version_id, text, error. A ready version is not parsed again; a version without a
-    readable text fails. Returns sections, status, references, embeddings (None without embedder).
+    ``versions``: tenant_id, policy_id, policy_version_id, parse_status, and the order in which they were asked for
+    in ``requested_at``, if there is one. ``texts``: policy_version_id, text, error. A ready version is not parsed
+    again; a version without a readable text fails. Returns sections, status (with the place of the extracted
+    document), references, embeddings (None without embedder) and ``current``: of each policy the last version that is ready now.
     """
     todo = versions.where(F.col("parse_status") != "ready")
     t = todo.join(texts.select("policy_version_id", "text", "error"), "policy_version_id", "left")
@@ -59,12 +60,17 @@ def process_versions(
     status = t.select(
         "policy_version_id", "policy_id", F.when(failed, "failed").otherwise("ready").alias("parse_status"),
         F.when(failed, "extraction_failed").alias("error_code"), F.when(failed, F.coalesce("error", F.lit("source not found"))).alias("error_message"),
+        F.when(~failed, extracted_path(F.col("tenant_id"), F.col("policy_id"), F.col("policy_version_id"))).alias("extracted_blob_name"),
     )
     again = versions.where(F.col("parse_status") == "ready").select("policy_version_id", "policy_id", "parse_status")
     status = status.unionByName(again, allowMissingColumns=True)
+    order = F.col("requested_at") if "requested_at" in versions.columns else F.lit(None).cast("timestamp")
+    asked = versions.select("policy_version_id", order.alias("requested_at"))
+    last = F.max(F.struct("requested_at", F.col("policy_version_id").alias("current_version_id"))).alias("t")
+    current = status.where(F.col("parse_status") == "ready").join(asked, "policy_version_id").groupBy("policy_id").agg(last).select("policy_id", "t.*")
     sections = to_sections(t.where(~failed))
     vectors = None
     if embedder is not None:
         facts = policies.select("tenant_id", "policy_id", "policy_type", "department_scope", "authority_level")
         vectors = embed(sections.join(facts, ["tenant_id", "policy_id"]), embedder, model)
-    return {"sections": sections, "status": status, "references": reference_edges(sections, policies), "embeddings": vectors}
+    return {"sections": sections, "status": status, "references": reference_edges(sections, policies), "embeddings": vectors, "current": current}

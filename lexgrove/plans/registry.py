@@ -310,8 +310,8 @@ def audit_append(spark, sf):
     rows = _conversation_audit(spark, sf)
     return rows.select(
         "tenant_id", "event_type", F.get_json_object("payload", "$.request.question_id").alias("question_id"),
-        F.length(F.get_json_object("payload", "$.request.question")).cast("long").alias("question_chars"),
-        F.length(F.get_json_object("payload", "$.response.answer")).cast("long").alias("answer_chars"),
+        ids.sha256_hex(F.get_json_object("payload", "$.request.question")).alias("question_sha256"),
+        ids.sha256_hex(F.get_json_object("payload", "$.response.answer")).alias("answer_sha256"),
     )
 
 
@@ -407,11 +407,14 @@ def name_similarity(spark, sf):
 
 
 def reference_backfill(spark, sf):
-    """Versions of failed documents count as processed before; all others are extracted."""
+    """Two runs: the first has half of the versions, the second all of them and leaves out what the first has marked."""
     s = _referring(spark, sf).join(corpus.version_facts(spark, sf).select("policy_version_id", "parse_status"), "policy_version_id")
     s = s.withColumn("section_index", F.lit(0)).withColumn("section_path", F.lit("chunk-1"))
-    done = s.where(F.length("text") % 2 == 0).select("policy_version_id")
-    edges, marks = references.backfill_references(s, corpus.policies(spark, sf), done)
+    p = corpus.policies(spark, sf)
+    edges, marks = references.backfill_references(s.where(F.length("text") % 2 == 0), p, s.limit(0).select("policy_version_id"))
+    marks = cut_lineage(marks)
+    more_edges, more_marks = references.backfill_references(s, p, marks)
+    edges, marks = edges.unionByName(more_edges), marks.unionByName(more_marks)
     n = edges.groupBy(F.col("source_policy_version_id").alias("policy_version_id")).agg(F.count(F.lit(1)).alias("n_edges"))
     return marks.join(n, "policy_version_id", "left").na.fill(0, ["n_edges"])
 
@@ -436,9 +439,9 @@ def link_manifest(spark, sf):
 
 
 def link_expansion(spark, sf):
-    """Links of https pages, then the links of those pages that the first links point to."""
+    """Links of all pages, then the links of those pages that the first links point to."""
     p = corpus.table(spark, sf, "pages")
-    first = pages.link_manifest(p.where(urls.url_scheme(F.col("url")) == "https"), RULES)
+    first = pages.link_manifest(p, RULES)
     home = p.withColumn("url", F.concat(F.lit("https://"), urls.url_host(F.col("url")), F.lit("/the")))
     hops = pages.expand_links(first, home, RULES, F.col("source_url").endswith("/the"))
     return hops.select("source_url", "external_id", F.col("hop").cast("long").alias("hop"))
@@ -624,6 +627,71 @@ def stream_ingest(spark, sf):
     return s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
 
 
+def stream_redelivery(spark, sf):
+    """All documents requested in shuffled order over many files, a third of them again after they were ready."""
+    home = run_folder(spark, "redelivery")
+    d = corpus.table(spark, sf, "documents")
+    vid = ids.uuid5(register.ID_SPACE, F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    p = corpus.policies(spark, sf)
+    v = d.select(vid.alias("policy_version_id"), F.col("source").alias("policy_id"), F.lit("pending").alias("parse_status")).join(p.select("policy_id", "tenant_id"), "policy_id")
+    t = d.select(vid.alias("policy_version_id"), F.col("text"), F.lit(None).cast("string").alias("error"))
+
+    def send(rows: DataFrame, day: str) -> None:
+        second = F.pmod(F.col("doc_id") * 7919, F.lit(100_003)).cast("int")
+        created = F.date_format(F.timestamp_add("SECOND", second, F.lit(day).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+        # Upper-case ids, as some senders write them.
+        message = F.concat(F.lit('{"type":"policy.process.requested","data":{"policy_version_id":"'), F.upper(vid), F.lit('"},"created_at":"'), created, F.lit('Z"}'))
+        rows.select(message.alias("value"), F.xxhash64("doc_id").alias("h")).repartition(6, "h").select("value").write.mode("append").text(f"{home}/messages")
+        ingest_stream.start_ingest_stream(spark, f"{home}/messages", v, t, p, f"{home}/out", f"{home}/state", max_files=3, buckets=16).awaitTermination()
+
+    send(d, "2024-01-01")
+    send(d.where(F.col("doc_id") % 3 == 0), "2024-02-01")
+    s = sinks.read_table(spark, f"{home}/out/sections", spark.read.parquet(f"{home}/out/sections"))
+    s = s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
+    done = spark.read.parquet(f"{home}/out/status").where(F.col("policy_version_id").isNotNull()).select("policy_version_id", "parse_status")
+    current = ingest_stream.current_pointers(spark, f"{home}/out").select(F.col("current_version_id").alias("policy_version_id"), F.lit(True).alias("is_current"))
+    out = done.join(s, "policy_version_id", "left").join(current, "policy_version_id", "left")
+    return out.select("policy_version_id", F.coalesce("n_sections", F.lit(0).cast("long")).alias("n_sections"), "n_chars", "parse_status", F.coalesce("is_current", F.lit(False)).alias("is_current"))
+
+
+def _processed(spark, sf):
+    """All versions processed in bulk; texts of failed versions could not be read."""
+    f = corpus.version_facts(spark, sf)
+    order = F.timestamp_add("SECOND", F.pmod(F.col("doc_id") * 7919, F.lit(100_003)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    p = corpus.policies(spark, sf)
+    v = f.select("policy_id", "policy_version_id", F.lit("pending").alias("parse_status"), order.alias("requested_at")).join(p.select("policy_id", "tenant_id"), "policy_id")
+    d = corpus.table(spark, sf, "documents").select(corpus.version_id(F.col("doc_id")).alias("policy_version_id"), "text")
+    broken = f.where(F.col("parse_status") == "failed").select("policy_version_id", F.lit("unreadable").alias("error"))
+    return ingest.process_versions(v, d.join(broken, "policy_version_id", "left"), p)
+
+
+def process_current(spark, sf):
+    """Current version per policy after a bulk run: the last requested one that became ready."""
+    return _processed(spark, sf)["current"].select("policy_id", "current_version_id")
+
+
+def process_items(spark, sf):
+    """Items of each batch after the run, from the versions they led to."""
+    f = corpus.version_facts(spark, sf)
+    items = f.select(F.col("policy_id").alias("batch_id"), F.col("doc_id").alias("item_id"), "policy_version_id", F.lit("processing").alias("status"))
+    r = status.item_results(items, _processed(spark, sf)["status"])
+    return r.groupBy("batch_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def registration_rejects(spark, sf):
+    """Registrations with broken values: each is rejected with its reason, none ends the run."""
+    rows = corpus.incoming(spark, sf)
+    kind = F.pmod("arrival_seq", F.lit(6))
+    rows = rows.withColumns({
+        "metadata_json": F.when(kind == 0, '{"a":').when(kind == 1, "[1]").otherwise(F.col("metadata_json")),
+        "policy_name": F.when(kind == 2, F.lit("x" * 513)).otherwise(F.col("policy_name")),
+        "authority_level": F.when(kind == 3, -1).otherwise(1),
+        "extracted_text": F.when(kind == 4, " \n").otherwise("text"),
+    })
+    r = register.register(rows, corpus.no_policies(spark), corpus.no_versions(spark)).rejects
+    return r.where(F.col("reason") == "invalid").select("arrival_seq", F.col("error").alias("reason"))
+
+
 def file_plan(spark, sf):
     """Documents as text files of a local folder: the registration plan per file."""
     d = corpus.table(spark, sf, "documents")
@@ -651,7 +719,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dept_ranked, secondary_all, secondary_evidence, prompts, answer_card, evidence_packet, model_answers, audit_append, audit_replay, eval_report,
         eval_outcomes, refs_extracted, refs_resolved, refs_inbound, name_similarity, reference_backfill, page_text, page_links, link_manifest,
         link_expansion, page_documents, download_status, download_index, resume_report, slug_join, url_checks, metadata_hash, message_guard,
-        catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_ingest,
+        catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_ingest, stream_redelivery, process_current, process_items, registration_rejects,
         file_plan, request_fields,
     )
 }

@@ -1,4 +1,4 @@
-"""The registered queries as plain SQL over the same tables, written independently of the jobs."""
+"""The registered queries as plain SQL over the same tables; only word lists and id name spaces are taken from the jobs."""
 
 from __future__ import annotations
 
@@ -80,9 +80,9 @@ SCOPE = "q.tenant_id=c.tenant_id AND (NOT q.only_current OR c.is_current) AND (q
 
 def vector_hits(k: int, scope: str, name: str = "vec") -> str:
     return f"""{name} AS (SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, section_id) AS rank FROM (
+    SELECT * EXCLUDE (raw), greatest(0.0, least(1.0, raw)) score, row_number() OVER (PARTITION BY question_id ORDER BY raw DESC, section_id) AS rank FROM (
       SELECT q.question_id, c.section_id, c.policy_version_id, c.policy_id, c.label, q.item_id,
-        round(greatest(0.0, least(1.0, list_cosine_similarity(q.vec, c.emb))), 9) score
+        round(list_cosine_similarity(q.vec, c.emb), 9) raw
       FROM questions q JOIN vectors c ON {scope} WHERE q.vec IS NOT NULL)) WHERE rank<={k})"""
 
 
@@ -268,7 +268,7 @@ SELECT source external_id, {uuid5(ID_SPACE, "'policy/tenant-0/'||source")} polic
     "evidence_packet": ctes(*ASKED) + "SELECT question_id, coalesce(sections,'') sections FROM ans",
     "model_answers": ctes(*ASKED) + f"""SELECT question_id, CASE WHEN NOT ok THEN {REFUSAL} WHEN no THEN 'Sorry: '||upper({REFUSAL}) ELSE 'Yes. [policy_version_id=x]' END answer, CASE WHEN NOT ok OR no THEN 'insufficient_evidence' END refusal_reason,
   CASE WHEN ok THEN round(score,6) ELSE 0 END confidence, ok AND NOT no cited, CASE WHEN ok AND NOT no THEN least(n_evidence,3) ELSE 0 END n_citations FROM (SELECT *, coalesce(score,0)>=0.3 ok, length(question)%2=0 AS no FROM ans)""",
-    "audit_append": """SELECT 'tenant-'||(a.conv_id%2) tenant_id, 'ask' event_type, 'c-'||a.conv_id||'-'||a.turn question_id, length(a.text) question_chars, length(b.text) answer_chars
+    "audit_append": """SELECT 'tenant-'||(a.conv_id%2) tenant_id, 'ask' event_type, 'c-'||a.conv_id||'-'||a.turn question_id, sha256(a.text) question_sha256, sha256(b.text) answer_sha256
 FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.turn+1 WHERE a.role='user' AND b.role='assistant'""",
     "audit_replay": ctes(*ASKED) + "SELECT question_id, true same, CASE WHEN answered THEN round(score,6) ELSE 0 END old_confidence, CASE WHEN answered THEN round(score,6) ELSE 0 END new_confidence FROM ans",
     "eval_outcomes": ctes(*ASKED, "ex AS (SELECT 'q'||item_id question_id, CASE quality WHEN 1 THEN 'labelled good' WHEN 0 THEN 'labelled bad' ELSE 'unlabelled' END category, CASE WHEN coalesce(quality,1)=1 THEN 'ground' ELSE 'refuse' END expectation FROM benchmark LEFT JOIN labels ON doc_id=item_id)") + """SELECT question_id, category, expectation, CASE WHEN answered THEN 'ANSWERED' ELSE 'REFUSED' END AS status, answered = (expectation='ground') ok, CASE WHEN answered THEN cites ELSE '' END cites FROM ex JOIN ans USING (question_id)""",
@@ -280,12 +280,12 @@ FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.tu
     "name_similarity": f"""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(regexp_extract_all(text,'[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: t NOT IN {NAME_STOPS})) s FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN len(a.s)=0 OR len(b.s)=0 THEN 0 ELSE len(list_intersect(a.s,b.s))/greatest(len(a.s),len(b.s)) END,6) score FROM w a JOIN w b ON a.conv_id=b.conv_id AND b.turn=a.turn+1""",
     "reference_backfill": ctes(POLICIES, FACTS, REFS) + """SELECT policy_version_id, CAST(3 + 1 + CASE WHEN p.policy_id=rt.policy_id THEN 0 ELSE 1 END + CASE WHEN doc_id%7=0 THEN 0 ELSE 1 END AS BIGINT) n_edges
-  FROM rt JOIN facts USING (doc_id) LEFT JOIN policies o ON o.policy_id=rt.policy_id LEFT JOIN policies p ON p.idx=rt.other AND p.tenant_id=o.tenant_id WHERE parse_status='ready' AND (rt.n+length(sfx))%2<>0""",
+  FROM rt JOIN facts USING (doc_id) LEFT JOIN policies o ON o.policy_id=rt.policy_id LEFT JOIN policies p ON p.idx=rt.other AND p.tenant_id=o.tenant_id WHERE parse_status='ready'""",
     "page_text": f"""SELECT page_id, length(t) n_chars, sha256(t) sha256 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace({UNESCAPED.format(c="regexp_replace(regexp_replace(regexp_replace(" + HTML_TEXT + ",'(?i)<br\\s*/?>'," + NL + ",'g'),'(?i)</p\\s*>'," + NL + "||" + NL + ",'g'),'<[^>]+>',' ','g')")},chr(13),''),'\\n{{3,}}',{NL}||{NL},'g'),'[ \\t]{{2,}}',' ','g'),{WS}) t FROM pages)""",
     "page_links": ctes(LINKS) + "SELECT page_id, pos, href, anchor_text, link FROM links",
     "link_manifest": ctes(LINKS, MANIFEST) + "SELECT * FROM manifest",
     "link_expansion": ctes(
-        LINKS, f"h1 AS (SELECT * FROM (SELECT link, {TITLE} title, 1 hop, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) rn FROM links WHERE url LIKE 'https%' AND {RELEVANT}) WHERE rn=1)",
+        LINKS, f"h1 AS (SELECT * FROM (SELECT link, {TITLE} title, 1 hop, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) rn FROM links WHERE {RELEVANT}) WHERE rn=1)",
         f"again AS (SELECT page_id, pos, anchor_text, regexp_replace({SCHEME_HOST},'^http:','https:')||'/the' home, regexp_replace(regexp_replace({SCHEME_HOST},'^http:','https:')||href,'[?#].*$','') link FROM links)",
         f"h2 AS (SELECT * FROM (SELECT link, {TITLE} title, 2 hop, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) rn FROM again WHERE home IN (SELECT link FROM h1 WHERE link LIKE '%/the') AND {RELEVANT}) WHERE rn=1 AND link NOT IN (SELECT link FROM h1))",
     ) + f"SELECT link source_url, {EXTERNAL.format(t='title', u='link')} external_id, hop::BIGINT hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)",
@@ -308,13 +308,23 @@ SELECT page_id, file_slug, coalesce((SELECT arg_min(url,pos) FROM l WHERE slug=f
     "metadata_hash": "SELECT event_id, sha256(replace(props,': ',':')) sha256 FROM events",
     "message_guard": f"""SELECT event_id, CASE WHEN event_type IN ('view','purchase') THEN {uuid5(ID_SPACE, "event_id::VARCHAR")} END policy_version_id,
   CASE event_type WHEN 'signup' THEN 'Invalid JSON payload' WHEN 'click' THEN 'Unexpected message type: policy.other' WHEN 'error' THEN 'Invalid UUID for policy_version_id' END error FROM events""",
-    "catalog_sections": f"""WITH c AS (SELECT source, doc_id, 0 sub, 'd-'||doc_id cid, 'D-'||doc_id label, 'Document '||doc_id title, substr({CATALOG_TEXT},1,6000) t FROM documents WHERE length(text)%3<>0
+    "catalog_sections": f"""WITH c AS (SELECT source, doc_id, 0 sub, 'd-'||doc_id cid, 'D-'||doc_id label, 'Document '||doc_id title, {CATALOG_TEXT} t FROM documents WHERE length(text)%3<>0
   UNION ALL SELECT source, doc_id, 1, 'd-'||doc_id||'.1', 'D-'||doc_id||'.1', 'More', 'D-'||doc_id||'.1 More' FROM documents)
 SELECT {uuid5(CATALOG_SPACE, "'section/'||upper(source)||'/'||cid")} section_id, {uuid5(CATALOG_SPACE, "'version/'||upper(source)")} policy_version_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, sub)-1 section_index, label section_path, title, length(t) end_offset, sha256(t) content_sha256 FROM c""",
     "catalog_policies": f"""SELECT {uuid5(CATALOG_SPACE, "'policy/'||upper(source)")} policy_id, source external_id, 'Catalog — Family '||source||' ('||upper(source)||')' AS name, {uuid5(CATALOG_SPACE, "'version/'||upper(source)")} current_version_id FROM (SELECT DISTINCT source FROM documents)""",
     "nested_versions": ctes(FACTS, NUMBERED) + "SELECT policy_id, policy_version_id, version_number, parse_status FROM numbered",
     "stream_ingest": ctes(DOCS, SECTIONS) + f"SELECT {uuid5(ID_SPACE, chr(39) + 'doc/' + chr(39) + '||doc_id')} policy_version_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id",
     "embed_backfill": ctes(*BASE) + "SELECT policy_id, count(*) inserted, 1.0::DOUBLE avg_norm FROM corpus WHERE section_id NOT IN (SELECT 'v'||vec_id||':0' FROM embeddings) GROUP BY policy_id",
+    "stream_redelivery": ctes(DOCS, SECTIONS, """asked AS (
+  SELECT doc_id, source, doc_id%3=0 again, (doc_id*7919)%100003 k, row_number() OVER (PARTITION BY source ORDER BY doc_id%3=0 DESC, (doc_id*7919)%100003 DESC, doc_id) rn FROM documents)""",
+        "cut_up AS (SELECT doc_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id)")
+    + f"""SELECT {uuid5(ID_SPACE, chr(39) + 'doc/' + chr(39) + '||doc_id')} policy_version_id, coalesce(n_sections,0) n_sections, n_chars, 'ready' parse_status, rn=1 is_current
+FROM asked LEFT JOIN cut_up USING (doc_id)""",
+    "process_current": ctes(FACTS) + """SELECT policy_id, policy_version_id current_version_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY (doc_id*7919)%100003 DESC, policy_version_id DESC) rn FROM facts WHERE parse_status='ready') WHERE rn=1""",
+    "process_items": ctes(FACTS) + """SELECT policy_id batch_id, count(*) items, count(*) FILTER (parse_status='ready') completed, count(*) FILTER (parse_status='failed') failed FROM facts GROUP BY 1""",
+    "registration_rejects": """SELECT doc_id arrival_seq, CASE doc_id%6 WHEN 0 THEN 'metadata_json must be a JSON object' WHEN 1 THEN 'metadata_json must be a JSON object' WHEN 2 THEN 'policy_name longer than 512'
+  WHEN 3 THEN 'authority_level must not be negative' WHEN 4 THEN 'document has no readable text' END reason FROM documents WHERE doc_id%6<5""",
     "file_plan": """SELECT source||'/doc_'||doc_id||'-2024-01-05.txt' source_file, ext policy_external_id, 'Doc '||doc_id||' 2024 01 05' policy_name, DATE '2024-01-05' effective_date, 'text/plain' content_type, sha256(text) file_sha256,
   'v1-S1-'||substr(sha256(text),1,8) version_label, 'external/demo/'||ext||'/S1-doc_'||doc_id||'-2024-01-05.txt' blob_path FROM (SELECT *, 'docs-demo-'||substr(sha1(source||'/doc_'||doc_id||'-2024-01-05'),1,12) ext FROM documents)""",
     "request_fields": """SELECT conv_id, turn, CASE WHEN turn%2=0 THEN 'tenant-'||(conv_id%2) ELSE 'local' END tenant_id, text question, CASE WHEN turn%2=1 THEN role END department, turn%2=1 only_current FROM conversations""",

@@ -8,13 +8,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexgrove.functions.text import non_blank
 
 # Fixed value: XML name space of word-processing text.
+ColumnOrName = Column | str
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -24,10 +24,10 @@ def scan_documents(spark: SparkSession, root: str, max_files: int = 0, pattern:
     return files.orderBy("path").limit(max_files) if max_files > 0 else files
 
 
-@F.pandas_udf(T.StringType())
-def decode_text(content: pd.Series) -> pd.Series:
-    """UTF-8 with replacement of broken bytes; the built-in decoder fails on them."""
-    return content.map(lambda b: bytes(b).decode("utf-8", errors="replace"), na_action="ignore")
+def decode_text(content: ColumnOrName) -> Column:
+    """UTF-8 with replacement of broken bytes."""
+    column = F.col(content) if isinstance(content, str) else content
+    return F.make_valid_utf8(column.cast("string"))
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
@@ -89,8 +89,9 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=False)
+def read_manifest(spark: SparkSession, path: str, schema: str, indented: bool = False) -> DataFrame:
+    """Rows of a manifest: one object per line, or with ``indented`` one JSON array per file over many lines."""
+    return spark.read.schema(schema).json(path, multiLine=indented)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

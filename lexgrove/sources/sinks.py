@@ -43,8 +43,10 @@ def replace_versions(rows: DataFrame, versions: DataFrame, path: str, buckets: i
     marks = touched.select("bucket").distinct()
     shape = new.schema
     if exists(spark, path):
-        old = spark.read.schema(shape).parquet(path).where(F.col(key).isNotNull())
-        old = old.join(marks, "bucket", "left_semi").join(touched.select(key), key, "left_anti")
+        # At most ``buckets`` numbers, as literals, so that the scan skips the other partitions.
+        numbers = sorted(r.bucket for r in marks.collect())
+        old = spark.read.schema(shape).parquet(path).where(F.col("bucket").isin(numbers) & F.col(key).isNotNull())
+        old = old.join(touched.select(key), key, "left_anti")
         new = new.unionByName(old.select(*new.columns))
     new = new.unionByName(marks, allowMissingColumns=True)
     staging = f"{path.rstrip('/')}_staging"

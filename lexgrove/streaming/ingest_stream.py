@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lexgrove.operators.embedding import Embedder
 from lexgrove.plans.ingest import parse_messages, process_versions
 from lexgrove.session import cut_lineage
-from lexgrove.sources.sinks import BUCKETS, replace_versions
+from lexgrove.sources.sinks import BUCKETS, exists, replace_versions
 
 
 def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
@@ -21,34 +21,44 @@ def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFra
 
 def start_ingest_stream(
     spark: SparkSession, messages: str, versions: DataFrame, texts: DataFrame, policies: DataFrame, out: str, checkpoint: str,
-    embedder: Embedder | None = None, model: str = "default", horizon: str = "1 hour", max_files: int = 8,
-    buckets: int = BUCKETS,
+    embedder: Embedder | None = None, model: str = "default", max_files: int = 8, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Process requested versions per micro-batch.
 
-    Redelivered requests within ``horizon`` are dropped by their id; any later one rewrites the
-    same rows, since every write replaces the rows of its versions. Bad messages go to dead_letters,
-    keyed by micro-batch, and do not stop the stream.
+    No request is dropped for its age: what is done is read from the stored status. A version that is ready, in
+    ``versions`` or by an earlier micro-batch, keeps its sections, references and embeddings and only gets its
+    current pointer again; any other is processed, and every write replaces the rows of just those versions.
+    Requests for unknown versions go to the ``unknown`` table, bad messages to dead letters of their own stream.
     """
     good, _ = parse_messages(read_messages(spark, messages, max_files))
-    requests = good.withWatermark("created_at", horizon).dropDuplicatesWithinWatermark(["request_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = cut_lineage(batch.select("policy_version_id").distinct())
+        wanted = cut_lineage(batch.groupBy("policy_version_id").agg(F.max("created_at").alias("requested_at")))
         if wanted.isEmpty():
             return
-        mine = versions.join(wanted, "policy_version_id", "left_semi")
+        mine = versions.join(wanted, "policy_version_id")
+        if exists(spark, f"{out}/status"):
+            # A repeated micro-batch does its own versions again.
+            done = spark.read.parquet(f"{out}/status").where(F.col("policy_version_id").isNotNull() & (F.col("parse_status") == "ready") & (F.col("batch_id") < batch_id))
+            ready = done.select("policy_version_id", F.lit(True).alias("_ready"))
+            mine = mine.join(ready, "policy_version_id", "left").withColumn("parse_status", F.when(F.col("_ready"), "ready").otherwise(F.col("parse_status"))).drop("_ready")
+        mine = cut_lineage(mine)
+        todo = cut_lineage(mine.where(F.col("parse_status") != "ready").select("policy_version_id"))
         result = process_versions(mine, texts, policies, embedder, model)
+        unknown = wanted.join(versions, "policy_version_id", "left_anti").withColumn("batch_id", F.lit(batch_id))
+        replace_versions(unknown, unknown, f"{out}/unknown", buckets)
+        pointers = result["current"].withColumn("batch_id", F.lit(batch_id))
+        pointers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/current")
         for name in ("sections", "references", "embeddings", "status"):
             if result[name] is not None:
                 rows = result[name]
                 if name == "references":
                     rows = rows.withColumnRenamed("source_policy_version_id", "policy_version_id")
                 if name == "status":
-                    rows = rows.withColumn("batch_id", F.lit(batch_id))
-                replace_versions(rows, wanted, f"{out}/{name}", buckets)
+                    rows = rows.join(todo, "policy_version_id", "left_semi").withColumn("batch_id", F.lit(batch_id))
+                replace_versions(rows, todo, f"{out}/{name}", buckets)
 
-    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = good.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
@@ -57,3 +67,9 @@ def start_dead_letters(spark: SparkSession, messages: str, out: str, checkpoint:
     _, bad = parse_messages(read_messages(spark, messages, max_files))
     writer = bad.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def current_pointers(spark: SparkSession, out: str) -> DataFrame:
+    """Current version per policy from the pointers that the micro-batches wrote: the last request that ended ready."""
+    last = F.max(F.struct("requested_at", "current_version_id")).alias("t")
+    return spark.read.parquet(f"{out}/current").groupBy("policy_id").agg(last).select("policy_id", "t.current_version_id")

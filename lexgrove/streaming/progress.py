@@ -9,8 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", schema: str = EVENT_SCHEMA) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", schema: str = EVENT_SCHEMA, max_files: int | None = None) -> DataFrame:
+    """Stream of one table, stored as a single file or as a folder of part files."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # A pattern, as the stream takes a single file only by one.
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
 def item_status(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,8 +41,10 @@ def latest_items(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(last).select(*keys, "t.status", "t.ts")
 
 
-def throughput(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling counts by status with a watermark."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"))
+def throughput(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Tumbling counts by status. With ``late`` the state of old windows is dropped, and so are rows that come later than that;
+    without it every row counts and the state holds one row per window and status."""
+    timed = events.withWatermark("ts", late) if late else events
+    w = timed.groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").alias("window_start"), "status", "n")
 
