@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import blank, let, tokens
@@ -38,15 +38,15 @@ def stop_word(c: Column) -> Column:
     return c.isin(STOP_WORDS)
 
 
-def question_terms(questions: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+def question_terms(questions: DataFrame, stem: Callable[[Column], Column] | None = None, max_or: int = MAX_OR_TOKENS) -> DataFrame:
     """One row per question and term; ``in_or`` marks the terms of the OR query.
 
-    AND uses every distinct word that is no stop word. OR uses words among the first eight runs of
+    AND uses every distinct word that is no stop word. OR uses words among the first ``max_or`` runs of
     at least three ASCII letters or digits, and only exists when there are two such runs.
     """
     stem = stem or (lambda c: c)
     runs = F.regexp_extract_all(F.col("question"), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    long_runs = F.slice(F.filter(runs, lambda t: F.length(t) >= MIN_OR_LENGTH), 1, MAX_OR_TOKENS)
+    long_runs = F.slice(F.filter(runs, lambda t: F.length(t) >= MIN_OR_LENGTH), 1, max_or)
     q = questions.where(~blank(F.col("question"))).select(
         "question_id",
         *(c for c in ("tenant_id", "only_current", "policy_ids", "policy_types") if c in questions.columns),
@@ -177,6 +177,7 @@ def fts_topk(
     postings: DataFrame | None = None,
     stem: Callable[[Column], Column] | None = None,
     digits: int = 9,
+    max_or: int = MAX_OR_TOKENS,
 ) -> DataFrame:
     """Best ``k`` sections per question: (question_id, section_id, policy_version_id, policy_id, score, rank).
 
@@ -185,7 +186,7 @@ def fts_topk(
     all AND matches and the best ``k`` OR matches per question; the texts of AND matches of several
     words are then read again for the word distances.
     """
-    terms = question_terms(questions, stem)
+    terms = question_terms(questions, stem, max_or)
     if "tenant_id" in terms.columns:
         terms = terms.withColumnRenamed("tenant_id", "q_tenant_id")
     small = fits(terms, MAX_BROADCAST_TERMS)
@@ -201,13 +202,16 @@ def fts_topk(
     pairs = pairs.withColumn("is_full", full).where(F.col("is_full") | (F.col("or_matched") > 0))
     score = F.when(F.col("is_full"), F.col("and_sum")).otherwise(F.col("or_sum") / F.col("n_or"))
     pairs = pairs.withColumn("score", F.round(score, digits))
-    # Every AND match is a group of its own and stays; OR matches are limited before the shuffle.
-    pairs = pairs.withColumn("_own", F.when(F.col("is_full"), F.col("section_id")))
+    # An AND match of several words is a group of its own and stays until its words' distances are known; matches
+    # of one word and OR matches have their final score and are limited before the shuffle.
+    pairs = pairs.withColumn("_own", F.when(F.col("is_full") & (F.col("n_and") > 1), F.col("section_id")))
     order = [F.col("score").desc(), F.col("section_id")]
-    kept = cut_lineage(top_per_group(pairs, ["question_id", "_own"], order, k).select(*FOUND, "n_and", "is_full", "score"))
+    kept = cut_lineage(top_per_group(pairs, ["question_id", "is_full", "_own"], order, k).select(*FOUND, "n_and", "is_full", "score"))
 
-    answered = Window.partitionBy("question_id")
-    kept = kept.withColumn("_and", F.max("is_full").over(answered)).where(F.col("is_full") == F.col("_and"))
+    # One row per question says whether AND matched at all.
+    answered = kept.groupBy("question_id").agg(F.max("is_full").alias("_and"))
+    answered = F.broadcast(answered) if fits(answered, MAX_BROADCAST_PAIRS) else answered
+    kept = kept.join(answered, "question_id").where(F.col("is_full") == F.col("_and")).drop("_and")
     several = kept.where(F.col("is_full") & (F.col("n_and") > 1)).select(*FOUND)
     ranked = kept.where(~(F.col("is_full") & (F.col("n_and") > 1))).select(*FOUND, "score")
     if not several.isEmpty():
