@@ -20,6 +20,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,14 @@ ALLOW, BLOCK, LISTED = 0, 1, 2
 VERDICTS = {ALLOW: "allow", BLOCK: "block", LISTED: "block"}
 # Keys in one file: 8 bytes of digest, 9 of place and kind, and the string each.
 FILE_KEYS = 4_000_000
+# The seed of Spark's xxhash64, which deals keys out to files.
+SEED = 42
 
 
 def write_digest_file(path: str, keys: list[str], kinds: list[int]) -> None:
     """One file: magic, count, sorted digests, string offsets, kinds, strings. Written aside and renamed."""
     raw = [k.encode() for k in keys]
-    digests = np.array([xxhash.xxh64_intdigest(k) for k in raw], np.uint64)
+    digests = np.array([xxhash.xxh64_intdigest(k, SEED) for k in raw], np.uint64)
     order = np.lexsort((np.array(kinds, np.uint8), digests)) if raw else np.empty(0, np.int64)
     offsets = np.zeros(len(raw) + 1, np.uint64)
     offsets[1:] = np.cumsum([len(raw[i]) for i in order])
@@ -161,7 +164,7 @@ def judge_urls(pages: DataFrame, files: list[str], url: str = "url", keep: tuple
                 tried += own
                 owner += [i] * len(own)
             raw = [t.encode() for t in tried]
-            digests = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+            digests = np.fromiter(map(xxhash.xxh64_intdigest, raw, repeat(SEED)), np.uint64, len(raw))
             kinds = np.full(len(raw), -1, np.int8)
             for f in files:
                 got = _opened(f).probe(digests, raw)

@@ -65,6 +65,8 @@ def test_url_filter(spark, tmp_path):
     files = url_filter.build_digests(keys, str(tmp_path / "few"))
     many = url_filter.build_digests(keys, str(tmp_path / "many"), file_keys=4)
     assert len(files) == 1 and len(many) > 1
+    tops = [url_filter.DigestFile(f).digests for f in many]
+    assert all(a[-1] < b[0] for a, b in zip(tops, tops[1:]))
     expected = []
     for i, u in enumerate(urls):
         host = path = ""
@@ -86,7 +88,7 @@ def test_url_filter(spark, tmp_path):
 def test_digest_collision_is_settled_by_the_string(tmp_path):
     url_filter.write_digest_file(f"file://{tmp_path}/d", ["a.com/", "b.com/"], [url_filter.BLOCK, url_filter.LISTED])
     f = url_filter.DigestFile(f"file://{tmp_path}/d")
-    digest = np.array([xxhash.xxh64_intdigest(b"a.com/")] * 2, np.uint64)
+    digest = np.array([xxhash.xxh64_intdigest(b"a.com/", url_filter.SEED)] * 2, np.uint64)
     assert f.probe(digest, [b"a.com/", b"other/"]).tolist() == [url_filter.BLOCK, -1]
 
 
