@@ -87,6 +87,13 @@ def anchor_hashes(data: np.ndarray, anchor: int) -> np.ndarray:
     return h | np.uint64(1)
 
 
+def _stirred(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small ones; mixed again they are spread over all values."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(33))
+
+
 def anchors(data: bytes, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of documents laid end to end; windows do not cross ``ends``."""
     raw = np.frombuffer(data, np.uint8)
@@ -110,7 +117,7 @@ def anchors(data: bytes, ends: np.ndarray, length: int, anchor: int) -> tuple[np
         hashes.append(h[chosen])
     if not places:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+    return np.concatenate(places), _stirred(np.concatenate(hashes))
 
 
 def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -153,11 +160,10 @@ def _count_anchors(docs: DataFrame, length: int, anchor: int, ranges_log2: int)
                 data = b"".join(texts)
                 at, h = anchors(data, np.cumsum([len(t) for t in texts]), length, anchor)
                 held.append(h >> np.uint64(64 - HASH_BITS))
-                # The leading bytes with the least hashes under another order are a random sample of the distinct ones.
+                # The leading bytes with the least hashes are a random sample of the distinct ones.
                 if len(h):
-                    turned = h * np.uint64(0xA0761D6478BD642F)
-                    for j in np.argsort(turned)[:8].tolist():
-                        samples[int(turned[j])] = data[at[j] : at[j] + anchor]
+                    for j in np.argsort(h)[:8].tolist():
+                        samples[int(h[j])] = data[at[j] : at[j] + anchor]
                 if sum(map(len, held)) >= HELD:
                     yield from out()
                     held = []
