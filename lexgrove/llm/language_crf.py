@@ -31,16 +31,21 @@ STRETCH = 40
 LEXICON = 2000
 
 
-def sample(docs: DataFrame, label: str, rows: int, chars: int, classes: int) -> list[tuple[str, str]]:
-    """(label, head of text): per label the ``rows`` rows with the smallest hashes of their ids. Ids and labels are read first."""
-    known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).withColumns({"_l": F.col(label).cast("string"), "_h": F.xxhash64(F.col("doc_id"), F.lit(7))})
-    frequent = known.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_l").limit(classes)
-    wanted = [(r._l, h._h) for r in frequent.collect() for h in known.where(F.col("_l") == r._l).select("_h").orderBy("_h").limit(rows).collect()]
+def sample(docs: DataFrame, labelled: DataFrame, rows: int, chars: int, classes: int) -> list[tuple[str, str]]:
+    """(label, head of text): per label the ``rows`` ids of ``labelled`` (id, label) with the smallest hashes.
+
+    Ids are chosen from the narrow table first; the texts of at most ``rows * classes`` ids are then read by a broadcast of these.
+    """
+    known = labelled.where("id is not null and label is not null").select("id", F.col("label").cast("string").alias("label")).distinct()
+    frequent = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(classes)
+    order = [F.xxhash64("id", F.lit(7)), F.col("id")]
+    wanted = [(r.label, i.id) for r in frequent.collect() for i in known.where(F.col("label") == r.label).select("id").orderBy(*order).limit(rows).collect()]
     if not wanted:
         return []
-    picked = docs.sparkSession.createDataFrame(wanted, "_l string, _h long").distinct()
-    got = known.join(F.broadcast(picked), ["_l", "_h"]).select("_l", "_h", F.substring("text", 1, chars).alias("t")).limit(2 * rows * classes).collect()
-    return [(r._l, r.t) for r in sorted(got, key=lambda r: (r._l, r._h, r.t))]
+    picked = docs.sparkSession.createDataFrame(wanted, "label string, id long")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.substring("text", 1, chars).alias("t"))
+    got = texts.join(F.broadcast(picked), "id").select("label", "id", "t").distinct().limit(2 * rows * classes).collect()
+    return [(r.label, r.t) for r in sorted(got, key=lambda r: (r.label, r.id, r.t))]
 
 
 def fit_languages(rows: list[tuple[str, str]], rounds: int = 25) -> tuple[Crf, list[str]]:
@@ -66,6 +71,12 @@ def fit_languages(rows: list[tuple[str, str]], rounds: int = 25) -> tuple[Crf, l
     return Crf(len(names), lexicon).fit(sequences, tags, rounds), names
 
 
+def fit_documents(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Crf, list[str]]:
+    """Fit on the rows with a language that are not held out."""
+    labelled = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").alias("label"))
+    return fit_languages(sample(docs, labelled, rows, SAMPLE_CHARS, MAX_LANGUAGES))
+
+
 def predict_languages(docs: DataFrame, crf: Crf, names: list[str], keep: list[Column]) -> DataFrame:
     """``keep`` columns with lang_pred and score of each whole text."""
     python_batches(docs.sparkSession)
@@ -92,5 +103,5 @@ def predict_languages(docs: DataFrame, crf: Crf, names: list[str], keep: list[Co
 
 def identify(docs: DataFrame, keep: list[Column] | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Fit on rows that are not held out, predict all: doc_id, held_out, lang_pred, score."""
-    crf, names = fit_languages(sample(docs.where(~held_out()), "lang", rows, SAMPLE_CHARS, MAX_LANGUAGES))
+    crf, names = fit_documents(docs, rows)
     return predict_languages(docs, crf, names, keep or [F.col("doc_id"), held_out().alias("held_out")])

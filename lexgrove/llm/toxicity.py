@@ -140,7 +140,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, keep: list[Column], spans
 
 def judge(docs: DataFrame, labels: DataFrame, spans: bool = False, rows: int = SAMPLE_ROWS, at: float = 0.7) -> DataFrame:
     """Fit on labelled rows that are not held out, score all: doc_id, held_out, score, predicted."""
-    marks = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("string").alias("_toxic")).distinct()
-    model = fit_toxicity(sample(docs.select("doc_id", "text").join(marks, "doc_id"), "_toxic", rows, SAMPLE_CHARS, 2))
+    marks = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label"))
+    model = fit_toxicity(sample(docs, marks, rows, SAMPLE_CHARS, 2))
     out = score_toxicity(docs, model, [F.col("doc_id"), held_out().alias("held_out")], spans)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= at).cast("int").alias("predicted"), *["spans"] * spans)
