@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,17 @@ def python_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_HELD: dict[tuple[str, str], Any] = {}
+
+
+def worker_held(kind: str, key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one model with its memory. Another one frees it, as workers serve all stages."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

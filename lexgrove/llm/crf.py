@@ -9,13 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
+from lexgrove.llm.common import worker_held
+
 FEATURES = 1 << 16
 # Words whose scores a worker keeps; beyond that the memory starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
+# Words of texts, and new words, that are worked on at once.
+WORDS_AT_ONCE = 1_000_000
+WORDS_SCORED = 10_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#-–—_/\\«»¿¡…“”‘’&%$@+=~^`§"
 
 
@@ -68,16 +74,20 @@ class Packed:
 
 
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """Marginals of each word (in the order given), expected transitions if ``pairs``, and the sum of log normalisers."""
+    """Marginals of each word (in the order given), expected transitions if ``pairs``, and the sum of log normalisers.
+
+    All arrays have the precision of ``scores``.
+    """
+    kind = scores.dtype
     lay = Packed(sizes)
     n, labels = scores.shape
     if n == 0:
         return np.empty((0, labels)), (np.zeros((labels, labels)) if pairs else None), 0.0
     top = scores.max(axis=1, keepdims=True)
-    e = np.empty((n, labels))
+    e = np.empty((n, labels), kind)
     e[lay.place] = np.exp(scores - top)
-    move, first = np.exp(trans), np.exp(start)
-    alpha, scale = np.empty((n, labels)), np.empty((n, 1))
+    move, first = np.exp(trans).astype(kind), np.exp(start).astype(kind)
+    alpha, scale = np.empty((n, labels), kind), np.empty((n, 1), kind)
     off, act = lay.offset, lay.active
     before: np.ndarray | None = None
     for t in range(len(act)):
@@ -87,8 +97,8 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, start: np.ndarray, t
         now /= c
         alpha[a:b], scale[a:b] = now, c
         before = now
-    log_z = float(np.log(scale).sum() + top.sum())
-    beta = np.ones((n, labels))
+    log_z = float(np.log(scale).sum(dtype=np.float64) + top.sum(dtype=np.float64))
+    beta = np.ones((n, labels), kind)
     for t in range(len(act) - 2, -1, -1):
         a, b, k = off[t], off[t + 1], act[t + 1]
         nxt = slice(off[t + 1], off[t + 2])
@@ -101,9 +111,11 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, start: np.ndarray, t
             nxt = slice(off[t + 1], off[t + 2])
             counts += alpha[off[t] : off[t] + k].T @ (e[nxt] * beta[nxt] / scale[nxt])
         counts *= move
-    gamma = (alpha * beta)[lay.place]
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    return gamma, counts, log_z
+    del e, scale
+    alpha *= beta
+    del beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return alpha[lay.place], counts, log_z
 
 
 class WordScores(dict):
@@ -112,7 +124,7 @@ class WordScores(dict):
     def __init__(self, crf: Crf):
         super().__init__()
         self.crf, self.new = crf, []
-        self.scores, self.letters = np.empty((0, crf.labels)), np.empty(0, bool)
+        self.scores, self.letters = np.empty((0, crf.labels), np.float32), np.empty(0, bool)
 
     def __missing__(self, piece: bytes) -> int:
         number = self[piece] = len(self)
@@ -126,7 +138,7 @@ class WordScores(dict):
         if not self.new:
             return
         words = [bare(p) for p in self.new]
-        self.scores = np.concatenate([self.scores, self.crf.score(words)])
+        self.scores = np.concatenate([self.scores, self.crf.score(words).astype(np.float32)])
         self.letters = np.concatenate([self.letters, np.array([has_letter(w) for w in words], bool)])
         self.new = []
 
@@ -143,15 +155,20 @@ class Crf:
         self.trans, self.start = np.zeros((labels, labels)), np.zeros(labels)
 
     def _flat(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [word_features(w, self.lexicon) for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((f for own in each for f in own), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        flat, ends = array("i"), array("q")
+        for w in words:
+            flat.extend(word_features(w, self.lexicon))
+            ends.append(len(flat))
+        return np.frombuffer(flat, np.int32), np.concatenate([[0], np.frombuffer(ends, np.int64)[:-1]])
 
     def score(self, words: Sequence[str]) -> np.ndarray:
         if not len(words):
             return np.empty((0, self.labels))
-        flat, at = self._flat(words)
-        return np.add.reduceat(self.weights[flat], at, axis=0)
+        out = []
+        for i in range(0, len(words), WORDS_SCORED):
+            flat, at = self._flat(words[i : i + WORDS_SCORED])
+            out.append(np.add.reduceat(self.weights[flat], at, axis=0))
+        return np.concatenate(out)
 
     def fit(self, sequences: list[list[str]], tags: list[np.ndarray], rounds: int = 30, rate: float = 0.3, decay: float = 1e-4) -> Crf:
         """Gradient ascent with per-weight step sizes. Tags are label numbers of every word."""
@@ -190,16 +207,11 @@ class Crf:
         return hashlib.sha256(self.weights.tobytes() + self.trans.tobytes() + self.start.tobytes() + repr(sorted(self.lexicon.items())).encode()).hexdigest()
 
 
-_TABLES: dict[str, WordScores] = {}
-
-
 def table_of(crf: Crf, key: str) -> WordScores:
-    """The worker's word memory of this model; one model is kept."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = WordScores(crf)
-    _TABLES[key].restart_if_full()
-    return _TABLES[key]
+    """The worker's word memory of this model."""
+    table = worker_held("words", key, lambda: WordScores(crf))
+    table.restart_if_full()
+    return table
 
 
 def marginals(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,13 +220,21 @@ def marginals(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.nd
     numbers = [table.numbers(t.split()) for t in texts]
     table.learn()
     sizes = np.array([len(x) for x in numbers], np.int64)
-    every = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-    gamma, _, _ = forward_backward(table.scores[every], sizes, crf.start, crf.trans)
-    return gamma, table.letters[every], sizes
+    gammas, letters = [np.empty((0, crf.labels), np.float32)], [np.empty(0, bool)]
+    first = held = 0
+    for i, own in enumerate([*numbers, None]):
+        # Stretches of texts of a bounded number of words, or one longer text, are worked on at once.
+        if own is None or held + len(own) > WORDS_AT_ONCE and held:
+            every = np.concatenate(numbers[first:i]) if i > first else np.empty(0, np.int64)
+            gammas.append(forward_backward(table.scores[every], sizes[first:i], crf.start, crf.trans)[0])
+            letters.append(table.letters[every])
+            first, held = i, 0
+        held += 0 if own is None else len(own)
+    return np.concatenate(gammas), np.concatenate(letters), sizes
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of the rows of each text."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     ends = np.cumsum(sizes)
     return total[ends] - total[ends - sizes]

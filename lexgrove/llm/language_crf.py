@@ -53,8 +53,9 @@ def fit_languages(rows: list[tuple[str, str]], rounds: int = 25) -> tuple[Crf, l
     number = {name: i for i, name in enumerate(names)}
     seen: dict[str, Counter] = {}
     pieces: list[list[list[str]]] = [[] for _ in names]
+    once: dict[str, str] = {}  # equal words are one string in memory
     for label, text in rows:
-        words = [w for w in map(bare, text.encode().split()) if w]
+        words = [once.setdefault(w, w) for w in map(bare, text.encode().split()) if w]
         for w in words:
             seen.setdefault(w, Counter())[number[label]] += 1
         pieces[number[label]] += [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)]

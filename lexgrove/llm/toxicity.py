@@ -96,7 +96,8 @@ class ToxicModel:
 
 def fit_toxicity(rows: list[tuple[str, str]], rounds: int = 25) -> ToxicModel:
     """``rows``: (label 0 or 1 as text, text)."""
-    docs = [(int(float(label) > 0), [w for w in map(bare, text.encode().split())]) for label, text in rows]
+    once: dict[str, str] = {}  # equal words are one string in memory
+    docs = [(int(float(label) > 0), [once.setdefault(w, w) for w in map(bare, text.encode().split())]) for label, text in rows]
     marked = toxic_words(docs)
     sequences, tags = [], []
     for label, words in docs:

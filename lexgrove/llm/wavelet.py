@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import id_back, id_key, python_batches, scratch, utf8
+from lexgrove.llm.common import id_back, id_key, python_batches, scratch, utf8, worker_held
 
 MAGIC = b"WAVSHRD1"
 END_ID = 2
@@ -267,13 +267,10 @@ class Encoder(dict):
 
 
 _END = b" end "
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_held("encoder", path, lambda: Encoder(path))
 
 
 # --- Spark -----------------------------------------------------------------------------------
