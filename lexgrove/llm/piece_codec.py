@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import python_batches, utf8
+from lexgrove.llm.common import python_batches, utf8, worker_held
 
 MARK = "▁"
 # Units and token pairs whose result a worker keeps; beyond that the memory starts anew.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
+MEMO_PAIRS = 100_000
+TEXTS_AT_ONCE = 500
 # Longer units are not kept.
 MEMO_BYTES = 64
 _UNITS = re.compile(rb" +[^ ]*")
@@ -96,7 +98,7 @@ class PieceCodec(dict):
     def compatible(self, a: int, b: int) -> bool:
         found = self.merged.get((a, b))
         if found is None:
-            if len(self.merged) >= MEMO_ENTRIES:
+            if len(self.merged) >= MEMO_PAIRS:
                 self.merged.clear()
             found = self.merged[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
         return found
@@ -171,13 +173,8 @@ class PieceCodec(dict):
         return joined
 
 
-_CODECS: dict[str, PieceCodec] = {}
-
-
 def codec_of(path: str) -> PieceCodec:
-    if path not in _CODECS:
-        _CODECS[path] = PieceCodec(path)
-    return _CODECS[path]
+    return worker_held("codec", path, lambda: PieceCodec(path))
 
 
 def valid_utf8(text: bytes) -> bytes:
@@ -190,7 +187,7 @@ def valid_utf8(text: bytes) -> bytes:
 
 def round_trip(docs: DataFrame, model: str, keep: list[Column], ids_out: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens, ids_sha256 and decoded_sha256 of each text; with ``ids_out`` also ids and decoded."""
-    python_batches(docs.sparkSession)
+    python_batches(docs.sparkSession, TEXTS_AT_ONCE)
     base = docs.select(*keep, utf8().alias("_t"))
     names = base.columns[:-1]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
@@ -201,17 +198,20 @@ def round_trip(docs: DataFrame, model: str, keep: list[Column], ids_out: bool =
         for b in batches:
             counts, hashes, texts, all_ids, decoded = [], [], [], [], []
             for t in b.column(len(names)):
-                ids = codec.encode(valid_utf8(t.as_py())).tolist()
+                own = codec.encode(valid_utf8(t.as_py()))
+                ids = own.tolist()
                 back = codec.decode(ids)
                 counts.append(len(ids))
                 hashes.append(hashlib.sha256(b",".join(map(codec.decimal.__getitem__, ids))).hexdigest())
                 texts.append(hashlib.sha256(back).hexdigest())
                 if ids_out:
-                    all_ids.append(ids)
+                    all_ids.append(own.astype(np.int32))
                     decoded.append(back.decode("utf-8", "replace"))
             arrays = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
             if ids_out:
-                arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                values = np.concatenate(all_ids) if all_ids else np.empty(0, np.int32)
+                arrays += [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] * ids_out)])
 
     return base.mapInArrow(work, schema)
