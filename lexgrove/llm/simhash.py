@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.llm.common import NO_ID, id_back, id_key, python_batches, stored, utf8
 from lexgrove.llm.components import components
-from lexgrove.scale import salted_lookup
+from lexgrove.scale import fits, salted_lookup
 
 SEGMENTS = 5
 SEED = 42
@@ -43,7 +43,11 @@ RADIUS = 2
 # Similarity 0.8 of 5-word shingles: 64-bit fingerprints were up to 22 bits apart on the given tables.
 WIDE_RADIUS = 24
 SLOTS = 128
+# Sketches below this are no candidates: a pair at 0.8 falls below by chance about once in 10^7 (standard error 0.035).
+LOOSE = 0.6
 BLOCKS = 8
+# Texts named by a broadcast, 24 bytes each.
+MAX_NODES = 1_000_000
 ORDERS = [2 * xxhash.xxh32_intdigest(f"order {i}") + 1 for i in range(2 * BLOCKS)]
 
 
@@ -188,14 +192,35 @@ def _verified(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(work, "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, h): the distinct shingle hashes of the texts that ``nodes`` (id, row, node) names."""
+    python_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
+
+    named = F.broadcast(nodes) if fits(nodes, MAX_NODES) else nodes
+    texts = docs.select(id_key().alias("id"), F.xxhash64(utf8()).alias("row"), utf8().alias("t")).join(named, ["id", "row"])
+    return texts.select("node", "t").mapInArrow(work, "node long, h array<long>").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have Jaccard similarity ``least`` or more, counted exactly."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
+    counted = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("common"))
+    return counted.where(F.col("common") / (F.col("n") - F.col("common")) >= least).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(id, row, keep): ``row`` tells rows of one id apart, ``keep`` marks the first document of each group.
 
     Texts of equal words are one. Other texts meet where they share one of ``BLOCKS`` keys of two least shingle
     hashes each (at similarity 0.8 a pair shares none with probability 0.0003). Keys of more than ``pair_limit``
     texts compare each text with six that stand out by id or fingerprint, so a group of near copies costs
-    in proportion to its size. Pairs pass the pigeonring chains and the Hamming check at ``radius`` of 64 bits,
-    then the similarity estimated from ``SLOTS`` classes.
+    in proportion to its size. Pairs pass the pigeonring chains and the Hamming check at ``radius`` of 64 bits
+    and a loose check of sketches; then the common shingles are counted.
     """
     rows = stored(shingle_sketches(docs, size), "sketches")
     texts = stored(rows.groupBy("same").agg(F.min(F.struct("id", "row", "fp", "sketch", "keys")).alias("t")).select("same", "t.*").withColumn("node", F.xxhash64("same")), "sketched-texts")
@@ -216,7 +241,10 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: i
     shape = texts.select(F.col("node").alias("a"), F.col("fp").alias("fp"), F.col("sketch").alias("sa"))
     shape2 = texts.select(F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("sketch").alias("sb"))
     candidates = pairs.union(stars).distinct().join(shape, "a").join(shape2, "b").where(close).select("a", "b", "sa", "sb")
-    edges = _verified(candidates, least)
+    likely = stored(_verified(candidates, LOOSE * least / 0.8), "likely-pairs")
+    met = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(shingle_sets(docs, texts.join(met, "node", "left_semi").select("id", "row", "node"), size), "shingle-sets")
+    edges = _similar(likely, sets, least)
     roots = components(edges)
     grouped = texts.join(roots, texts.node == roots.node, "left").select("same", "id", "row", F.coalesce("root", texts.node).alias("root"))
     first = grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))

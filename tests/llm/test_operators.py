@@ -340,6 +340,28 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def of_words(text, size=5):
+    w = text.split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+
+def alike(a, b):
+    return len(of_words(a) & of_words(b)) / len(of_words(a) | of_words(b))
+
+
+def test_similarity_is_decided_by_the_shingles_themselves(spark):
+    rows, want = [], set()
+    for k in range(150):
+        own = [f"w{k}x{i}" for i in range(104)]
+        # The last 11 of 100 shingles changed leave 0.802, the last 12 leave 0.786.
+        kept = 93 - k % 2
+        copy = own[:kept] + [f"w{k}z{i}" for i in range(kept, 104)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} if alike(*(t for _, t in rows[-2:])) >= 0.8 else {2 * k, 2 * k + 1}
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 150 < len(want) < 300 and got == want
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(1000, 1100)]
     hub = [(5, i) for i in range(2000, 2300)]
