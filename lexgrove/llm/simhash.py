@@ -34,7 +34,7 @@ from lexgrove.scale import fits, salted_lookup
 
 SEGMENTS = 5
 SEED = 42
-# Keys with more different fingerprints than this are linked through neighbours instead of pairs.
+# Keys with more different fingerprints than this are linked through neighbours instead of pairs; texts of such keys by their rarest shingles.
 PAIR_LIMIT = 48
 # Shingles hashed and counted at once, so that one very long text stays within bounded memory.
 BLOCK = 1 << 18
@@ -46,6 +46,8 @@ SLOTS = 128
 # Sketches below this are no candidates: a pair at 0.8 falls below by chance about once in 10^7 (standard error 0.035).
 LOOSE = 0.6
 BLOCKS = 8
+# Members of one component under one shingle are kept in so many lists.
+CELLS = 16
 # Texts named by a broadcast, 24 bytes each.
 MAX_NODES = 1_000_000
 ORDERS = [2 * xxhash.xxh32_intdigest(f"order {i}") + 1 for i in range(2 * BLOCKS)]
@@ -213,13 +215,41 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return counted.where(F.col("common") / (F.col("n") - F.col("common")) >= least).select("a", "b")
 
 
+def _crowd_pairs(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) in different components of ``roots`` (node, root) that may reach ``least`` among ``sets``; none is missed.
+
+    Prefix filter: with all shingles in one order, two texts that reach ``least`` share one of the first
+    n - ceil(least * n) + 1 of each. The order is by number of texts, rarest first, so a passage that many texts
+    hold comes last. Members of a component meet its other members nowhere. At their first common shingle
+    the rest of the shorter list must still be long enough.
+    """
+    opened = sets.select("node", F.size("h").alias("n"), F.explode("h").alias("h"))
+    often = stored(opened.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "crowd-shingles")
+    held = salted_lookup(opened, often, ["h"], "node", "m", hot_rows=HOT_ROWS, how="inner")
+    lists = held.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "h"))).alias("o"))
+    # Shingles of one text only come first in the order, and meet nothing.
+    alone = (F.col("n") - F.size("o")).alias("alone")
+    prefix = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+    lists = lists.select("node", "n", "o", alone, prefix.alias("p")).where("alone < p")
+    keys = lists.select("node", "n", "alone", F.posexplode(F.slice("o", 1, F.col("p") - F.col("alone"))).alias("i", "x"))
+    keys = keys.join(roots, "node").select(F.col("x.h").alias("h"), "root", F.struct("node", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "n").alias("t"))
+    cells = stored(keys.groupBy("h", "root", F.pmod(F.xxhash64("t.node"), F.lit(CELLS)).alias("cell")).agg(F.collect_list("t").alias("x")), "crowd-cells")
+    mixed = cells.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    cells = cells.join(mixed, "h", "left_semi").select("h", "root", "x")
+    other = cells.select("h", F.col("root").alias("root2"), F.col("x").alias("y"))
+    met = cells.join(other, "h").where("root < root2").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    enough = F.least("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    return met.where(enough).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(id, row, keep): ``row`` tells rows of one id apart, ``keep`` marks the first document of each group.
 
     Texts of equal words are one. Other texts meet where they share one of ``BLOCKS`` keys of two least shingle
     hashes each (at similarity 0.8 a pair shares none with probability 0.0003). Keys of more than ``pair_limit``
-    texts compare each text with six that stand out by id or fingerprint, so a group of near copies costs
-    in proportion to its size. Pairs pass the pigeonring chains and the Hamming check at ``radius`` of 64 bits
+    texts compare each text with six that stand out by id or fingerprint, which links a group of near copies in
+    proportion to its size; where that leaves several components under a key, ``_crowd_pairs`` finds every pair
+    between them. Pairs pass the pigeonring chains and the Hamming check at ``radius`` of 64 bits
     and a loose check of sketches; then the common shingles are counted.
     """
     rows = stored(shingle_sketches(docs, size), "sketches")
@@ -244,9 +274,19 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: i
     likely = stored(_verified(candidates, LOOSE * least / 0.8), "likely-pairs")
     met = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(shingle_sets(docs, texts.join(met, "node", "left_semi").select("id", "row", "node"), size), "shingle-sets")
-    edges = _similar(likely, sets, least)
+    edges = stored(_similar(likely, sets, least), "similar-pairs")
     roots = components(edges)
-    grouped = texts.join(roots, texts.node == roots.node, "left").select("same", "id", "row", F.coalesce("root", texts.node).alias("root"))
+    rooted = lambda r: texts.join(r.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
+    apart = sized.where(F.col("n") > pair_limit).select("k", "node").join(rooted(roots).select("node", "root"), "node")
+    mixed = apart.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    crowd = stored(apart.join(mixed, "k", "left_semi").select("node", "root").distinct(), "crowd")
+    if not crowd.isEmpty():
+        sets = stored(shingle_sets(docs, texts.join(crowd.select("node"), "node", "left_semi").select("id", "row", "node"), size), "crowd-sets")
+        met = stored(_crowd_pairs(sets, crowd, least), "crowd-pairs")
+        sketched = met.join(shape, "a").join(shape2, "b").select("a", "b", "sa", "sb")
+        likely = stored(_verified(sketched, LOOSE * least / 0.8), "likely-crowd-pairs")
+        roots = components(edges.union(_similar(likely, sets, least)))
+    grouped = rooted(roots).select("same", "id", "row", "root")
     first = grouped.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))
     chosen = first.select("first.*").withColumn("keep", F.lit(True))
     return rows.select("id", "row").distinct().join(chosen, ["id", "row"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))

@@ -362,6 +362,25 @@ def test_similarity_is_decided_by_the_shingles_themselves(spark):
     assert 150 < len(want) < 300 and got == want
 
 
+@pytest.mark.parametrize("share", [150, 172])
+def test_near_copies_in_a_crowd_with_a_common_passage(spark, share):
+    passage = [f"p{i}" for i in range(share)]
+    rows = []
+    for k in range(140):
+        own = [f"w{k}x{i}" for i in range(204 - share)]
+        rows.append((k, " ".join(passage + own)))
+        if k % 4 == 0:  # 0.83 to the one before it
+            rows.append((1000 + k, " ".join(passage + own[:-18] + [f"w{k}y{i}" for i in range(18)])))
+    texts = dict(rows)
+    assert alike(texts[1], texts[2]) < 0.8 <= alike(texts[0], texts[1000]) < 0.85
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(range(140))
+    # Every pair that reaches 0.8 is among those of the prefix filter.
+    sets = spark.createDataFrame([(i, sorted(map(hash, of_words(t)))) for i, t in rows], "node long, h array<long>")
+    each = spark.createDataFrame([(i, i) for i, _ in rows], "node long, root long")
+    assert {(k, 1000 + k) for k in range(0, 140, 4)} <= set(simhash._crowd_pairs(sets, each, 0.8).collect())
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(1000, 1100)]
     hub = [(5, i) for i in range(2000, 2300)]
