@@ -40,8 +40,6 @@ PAIR_LIMIT = 48
 BLOCK = 1 << 18
 HOT_ROWS = 100_000
 RADIUS = 2
-# Similarity 0.8 of 5-word shingles: 64-bit fingerprints were up to 22 bits apart on the given tables.
-WIDE_RADIUS = 24
 SLOTS = 128
 # Sketches below this are no candidates: a pair at 0.8 falls below by chance about once in 10^7 (standard error 0.035).
 LOOSE = 0.6
@@ -242,15 +240,15 @@ def _crowd_pairs(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     return met.where(enough).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(id, row, keep): ``row`` tells rows of one id apart, ``keep`` marks the first document of each group.
 
     Texts of equal words are one. Other texts meet where they share one of ``BLOCKS`` keys of two least shingle
     hashes each (at similarity 0.8 a pair shares none with probability 0.0003). Keys of more than ``pair_limit``
     texts compare each text with six that stand out by id or fingerprint, which links a group of near copies in
     proportion to its size; where that leaves several components under a key, ``_crowd_pairs`` finds every pair
-    between them. Pairs pass the pigeonring chains and the Hamming check at ``radius`` of 64 bits
-    and a loose check of sketches; then the common shingles are counted.
+    between them. Pairs pass a loose check of sketches, then their common shingles are counted. Fingerprints only
+    pick stand-outs: they count repeats, so texts of equal shingles may have distant ones.
     """
     rows = stored(shingle_sketches(docs, size), "sketches")
     texts = stored(rows.groupBy("same").agg(F.min(F.struct("id", "row", "fp", "sketch", "keys")).alias("t")).select("same", "t.*").withColumn("node", F.xxhash64("same")), "sketched-texts")
@@ -259,18 +257,13 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: i
     stand = {"p0": F.min("node"), "p1": F.max("node"), "p2": F.min_by("node", "fp"), "p3": F.max_by("node", "fp"), "p4": F.min_by("node", turned), "p5": F.max_by("node", turned)}
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in stand.items()]).where("n > 1")
     sized = stored(keyed.join(shared, "k"), "sketch-keys")
-    few = sized.where(F.col("n") <= pair_limit).select("k", "node", "fp")
-    other = few.select("k", F.col("node").alias("node2"), F.col("fp").alias("fp2"))
-    diff = F.col("fp").bitwiseXOR(F.col("fp2"))
-    any_start = F.lit(False)
-    for s in range(SEGMENTS):
-        any_start = any_start | chain_ok(diff, F.lit(s), radius, SEGMENTS)
-    close = any_start & (F.bit_count(diff) <= radius)
-    pairs = few.join(other, "k").where("node < node2").where(close).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    few = sized.where(F.col("n") <= pair_limit).select("k", "node")
+    other = few.select("k", F.col("node").alias("node2"))
+    pairs = few.join(other, "k").where("node < node2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     stars = sized.where(F.col("n") > pair_limit).select(F.col("node").alias("a"), F.explode(F.array(*stand)).alias("b")).where("a <> b").distinct()
-    shape = texts.select(F.col("node").alias("a"), F.col("fp").alias("fp"), F.col("sketch").alias("sa"))
-    shape2 = texts.select(F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("sketch").alias("sb"))
-    candidates = pairs.union(stars).distinct().join(shape, "a").join(shape2, "b").where(close).select("a", "b", "sa", "sb")
+    shape = texts.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    shape2 = texts.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    candidates = pairs.union(stars).distinct().join(shape, "a").join(shape2, "b").select("a", "b", "sa", "sb")
     likely = stored(_verified(candidates, LOOSE * least / 0.8), "likely-pairs")
     met = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(shingle_sets(docs, texts.join(met, "node", "left_semi").select("id", "row", "node"), size), "shingle-sets")

@@ -362,6 +362,17 @@ def test_similarity_is_decided_by_the_shingles_themselves(spark):
     assert 150 < len(want) < 300 and got == want
 
 
+def test_repeated_passages_do_not_part_near_copies(spark):
+    rows = []
+    for k in range(40):
+        text, often = [f"w{k}x{i}" for i in range(200)], [f"w{k}x{i}" for i in range(50, 70)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + often * 50))]
+    bits = [simhash.simhash64(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    assert any((bits[i] ^ bits[i + 1]).bit_count() > 24 for i in range(0, 80, 2)) and alike(rows[0][1], rows[1][1]) > 0.88
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 80, 2))
+
+
 @pytest.mark.parametrize("share", [150, 172])
 def test_near_copies_in_a_crowd_with_a_common_passage(spark, share):
     passage = [f"p{i}" for i in range(share)]
