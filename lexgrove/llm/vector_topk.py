@@ -8,7 +8,8 @@ limited before the shuffle. So no row meets another twice, and the answer is exa
 
 Components are ``floor(256 * x)``, scores integers (64 bit). Vectors that are null, empty, or hold null or non-finite
 components take no part; vectors of different lengths are never compared. Ties go to the smaller vec_id; a null vec_id is
-neither query nor candidate. Fully repeated rows count once; none is compared with its own vec_id.
+neither query nor candidate. Fully repeated rows count once, before the search; none is compared with its own vec_id.
+A finite component beyond 64 bits, or such a score among the k best, ends the query with an error, as in SQL.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCK_ROWS = 32_768
 # Approximate scores held at once: QUERIES x STRETCH.
 QUERIES = 512
 STRETCH = 8_192
+# Sums of products below this are exact in 64 bits; larger ones are taken in Python integers.
+SAFE = 2.0**62
 # Below this many vectors a slice is not worth a task of its own.
 LEAST_ROWS = 2_048
 
@@ -37,18 +40,32 @@ LEAST_ROWS = 2_048
 def scaled(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """(vec_id, v, d): integer components of the vectors that take part."""
     whole = F.transform(F.col(vector), lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
-    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(2.0**40)))
+    whole = F.when(F.forall(F.col(vector), lambda x: F.abs(x.cast("double")) < F.lit(2.0**63 / SCALE)), whole).otherwise(F.raise_error(F.lit("a vector component is beyond 64 bits")))
+    finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col("vec_id").isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.cast("array<long>").alias("v"), F.size(vector).alias("d"))
 
 
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact products, or an object array where 64 bits may not hold them."""
+    if float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).sum()) < SAFE:
+        return vectors @ query
+    return vectors.astype(object) @ query.astype(object)
+
+
+def _long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(not -(2**63) <= x < 2**63 for x in scores):
+        raise OverflowError("a score among the k best is beyond 64 bits")
+    return scores.astype(np.int64)
+
+
 def scan_slice(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of the k best of each query among ``vectors``; also returned for tests of exactness."""
-    low = vectors.min(axis=0)
-    width = np.maximum(1.0, (vectors.max(axis=0) - low + 1) / (1 << bits))
+    low = vectors.min(axis=0).astype(np.float64)
+    width = np.maximum(1.0, (vectors.max(axis=0).astype(np.float64) - low + 1) / (1 << bits))
     cells = np.minimum((vectors - low) / width, (1 << bits) - 1).astype(np.uint8)
     out_q, out_i, out_s = [], [], []
     q = queries.astype(np.float64)
-    slack = np.abs(q) @ (width / 2) + 1e-6 * (1 + np.abs(q).sum(axis=1) * float(np.abs(vectors).max(initial=0)))
+    slack = np.abs(q) @ (width / 2) + 1e-6 * (1 + np.abs(q).sum(axis=1) * float(np.abs(vectors.astype(np.float64)).max(initial=0)))
     for a in range(0, len(ids), STRETCH):
         centre = low + (cells[a : a + STRETCH] + 0.5) * width
         rough = q @ centre.T
@@ -65,15 +82,15 @@ def scan_slice(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
             best_s, best_i = np.empty(0, np.int64), np.empty(0, np.int64)
             for c in range(0, len(cand), 256):
                 part = cand[c : c + 256]
-                if len(best_s) == k and rough[r][part[0]] + slack[r] < best_s[-1]:
+                if len(best_s) == k and rough[r][part[0]] + slack[r] < float(best_s[-1]):
                     break
-                s = np.concatenate([best_s, vectors[a + part] @ queries[r]])
+                s = np.concatenate([best_s, _products(vectors[a + part], queries[r])])
                 i = np.concatenate([best_i, own[part]])
                 top = np.lexsort((i, -s))[:k]
                 best_s, best_i = s[top], i[top]
             out_q.append(np.full(len(best_i), query_ids[r]))
             out_i.append(best_i)
-            out_s.append(best_s)
+            out_s.append(_long(best_s))
     if not out_q:
         none = np.empty(0, np.int64)
         return none, none, none
@@ -82,8 +99,8 @@ def scan_slice(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slice_rows: int = SLICE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score). ``vectors`` and ``queries`` as from ``scaled``; a query never meets its own vec_id."""
-    base = stored(vectors, "vectors")
-    asked = stored(queries, "queries")
+    base = stored(vectors.distinct(), "vectors")
+    asked = stored(queries.distinct(), "queries")
     n = base.count()
     slices = max(1, -(-n // slice_rows), min(base.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
     blocks = max(1, -(-asked.count() // block_rows))
@@ -105,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slice_rows: int =
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
     keys = ["d", "slice", "block"]
-    partial = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, score long").distinct()
+    partial = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

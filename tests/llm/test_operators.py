@@ -478,6 +478,26 @@ def test_vector_topk_equals_brute_force(spark):
     assert vector_topk.top_k(scaled.limit(0), scaled.limit(0)).count() == 0
 
 
+def test_vector_topk_of_repeated_rows(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    once = vector_topk.scaled(df)
+    many = vector_topk.scaled(df.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") % 3 == 0, 6).otherwise(2)))))
+    want = table(vector_topk.top_k(once, once.where("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score")
+    for rows in (10**6, 50):
+        got = vector_topk.top_k(many, many.where("vec_id % 50 = 0"), slice_rows=rows)
+        assert len(want) == 30 and table(got, "query_id", "rank", "vec_id", "score") == want
+
+
+def test_vector_topk_of_large_components(spark):
+    big = [(0, [1.0, 0.0]), (1, [2.0**41, 1.0]), (2, [2.0**45, -1.0]), (3, [-(2.0**50), 2.0**50]), (4, [0.5, 2.0**54])]
+    top = lambda rows: table(vector_topk.top_k(vector_topk.scaled(d := spark.createDataFrame(rows, "vec_id long, embedding array<double>")), vector_topk.scaled(d).where("vec_id = 0"), k=3), "rank", "vec_id", "score")
+    assert top(big) == [(1, 2, 2**61), (2, 1, 2**57), (3, 4, 2**15)]
+    for bad in ([(0, [2.0**50, 0.0]), (1, [2.0**50, 0.0])], [(0, [1.0]), (1, [2.0**60])]):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            top(bad)
+
+
 def test_approximation_prunes_most_vectors():
     r = np.random.default_rng(9)
     vectors = (r.normal(size=(2000, 16)) * 100).astype(np.int64)
