@@ -1,26 +1,32 @@
-"""Benchmark decontamination by spaced seeds; DataFrame functions only.
+"""Benchmark decontamination by seeds that no accepted copy lacks; DataFrame functions only.
 
-Texts are lower-cased and cut at white space. ``MASKS`` name the word positions inside a window of ``SPAN`` words that
-must be equal; the others are ignored, so a seed survives substitutions there. Seeds of documents and benchmark items
-are hashed and joined; every hit fixes a diagonal, on which the words of document and item are compared one by one.
+Texts are lower-cased and cut at white space. A document is contaminated by an item when, in some window of ``WINDOW``
+item words (the whole item, if shorter), at least ``LEAST`` of the words are equal at the same distance, or at two
+neighbouring distances, one left and one right of a single added or dropped word, which counts as an unequal one.
 
-A document is contaminated by an item when, in some window of ``WINDOW`` item words (the whole item, if shorter), at
-least ``LEAST`` of the words are equal at the same distance. Items of fewer than ``SPAN`` words are too short to seed and
-are not looked for. Null or empty texts on either side match nothing; repeated rows are compared alike and reported once;
-rows with a null doc_id or item_id take part and are reported with null.
+Such a window of n words has at most m unequal ones, so some run of ceil((n - m) / (m + 1)) words is equal: ``MASKS``
+by length. Runs of that length of documents and items are hashed and joined; every hit fixes a distance, on which (and
+beside which) the words of document and item are compared one by one.
+
+Null or empty texts on either side match nothing; repeated rows are compared alike and reported once; rows with a null
+doc_id or item_id take part and are reported with null. Items of one to four words match as a whole only.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import id_back, id_key, stored
 from lexgrove.scale import fits
 
-SPAN = 7
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 6))
-WINDOW = 25
+# Fewest words of an item.
+SPAN = 1
+MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+WINDOW = 13
 LEAST = 0.8
 # Broadcast bounds: seeds of 16 bytes, document keys of 16 bytes.
 MAX_SEEDS = 1_000_000
@@ -31,15 +37,26 @@ def words(text: str = "text") -> Column:
     return F.split(F.btrim(F.lower(F.col(text)), F.lit(" \t\n\r\f\u000b")), "\\s+")
 
 
-def _windows(rows: DataFrame, keys: list[str], position: bool) -> DataFrame:
-    """One row per window of ``SPAN`` words: its position, if asked for, and the hashes h0, h1, ... of its seeds."""
-    n = F.size("w") - SPAN + 1
-    parts = [F.slice("w", o + 1, n).alias(f"w{o}") for o in range(SPAN)]
-    if position:
-        parts.append(F.sequence(F.lit(0), n - 1).alias("at"))
-    opened = rows.where(F.size("w") >= SPAN).select(*keys, F.inline(F.arrays_zip(*parts)).alias(*[f"w{o}" for o in range(SPAN)], *["at"] * position))
-    seeds = [F.struct(F.lit(m).alias("m"), F.xxhash64(*[F.col(f"w{o}") for o in mask]).alias("h")) for m, mask in enumerate(MASKS)]
-    return opened.select(*keys, *["at"] * position, F.inline(F.array(*seeds)))
+def run_length(n: int) -> int:
+    """Words of the longest equal run that every accepted copy of an item of ``n`` words holds."""
+    wide = min(n, WINDOW)
+    least = math.ceil(LEAST * wide - 1e-9)
+    return -(-least // (wide - least + 1))
+
+
+RUNS = tuple(run_length(n) for n in range(SPAN, WINDOW + 1))
+
+
+def _windows(rows: DataFrame, keys: list[str], runs: list[int]) -> DataFrame:
+    """One row per run of each of ``runs`` lengths: its length m, its position and its hash."""
+    each = []
+    for m in runs:
+        n = F.size("w") - m + 1
+        parts = [F.slice("w", o + 1, n).alias(f"w{o}") for o in MASKS[m - 1]]
+        names = [f"w{o}" for o in MASKS[m - 1]]
+        opened = rows.where(F.size("w") >= m).select(*keys, F.inline(F.arrays_zip(*parts, F.sequence(F.lit(0), n - 1).alias("at"))).alias(*names, "at"))
+        each.append(opened.select(*keys, "at", F.lit(m).alias("m"), F.xxhash64(*names).alias("h")))
+    return reduce(DataFrame.union, each)
 
 
 def _bounded(side: DataFrame, most: int) -> DataFrame:
@@ -47,27 +64,58 @@ def _bounded(side: DataFrame, most: int) -> DataFrame:
     return F.broadcast(side) if fits(side, most) else side
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _bent(start: Column, step: int) -> Column:
+    """Most equal words of a window when words right of one place are compared ``step`` further on, less one."""
+
+    def on(s: Column, j: Column) -> Column:
+        here, beside = F.get("eq", start + j), F.get("after" if step > 0 else "before", start + j)
+        bent = F.greatest(s["b"], s["a"]) + beside if step > 0 else F.greatest(s["b"] + beside, s["a"])
+        return F.struct((s["a"] + here).alias("a"), bent.alias("b"))
+
+    best = F.aggregate(F.sequence(F.lit(0), F.col("wide") - 1), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")), on)["b"]
+    return best - 1 if step > 0 else best
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, at, n_words, n_equal, similarity): the best place of each item in each contaminated document.
 
     ``at`` is the word position in the document at which the item would begin (below 0 when its head is cut off),
-    ``n_equal`` the equal words over the whole item and ``similarity`` the share of equal words in the best window.
+    ``n_equal`` the equal words over the whole item at this distance and ``similarity`` the share of equal words in the best window.
     """
-    items = stored(benchmark.select(id_key("item_id").alias("item"), words().alias("w")).where(F.size("w") >= SPAN).distinct().withColumn("key", F.xxhash64("item", "w")), "items")
-    seeds = stored(_windows(items, ["item", "key"], True).distinct(), "seeds")
+    items = benchmark.select(id_key("item_id").alias("item"), words().alias("w")).where((F.size("w") >= SPAN) & (F.get("w", F.lit(0)) != "")).distinct()
+    run = F.get(F.array(*[F.lit(m) for m in RUNS]), F.least(F.size("w"), F.lit(WINDOW)) - SPAN)
+    items = stored(items.select("item", "w", F.xxhash64("item", "w").alias("key"), run.alias("run")), "items")
+    runs = sorted(r.run for r in items.select("run").distinct().collect()) or [1]
+    seeds = stored(_windows(items, ["item", "key", "run"], runs).where("m = run").drop("run").distinct(), "seeds")
     rows = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("row"), F.col("text").alias("text"))
     marks = _bounded(seeds.select("m", "h").distinct(), MAX_SEEDS)
     # First pass: which documents share any seed. Only their texts are looked at again.
-    touched = stored(_windows(rows.select("doc", "row", words().alias("w")), ["doc", "row"], False).join(marks, ["m", "h"], "left_semi").select("doc", "row").distinct(), "touched")
+    touched = stored(_windows(rows.select("doc", "row", words().alias("w")), ["doc", "row"], runs).join(marks, ["m", "h"], "left_semi").select("doc", "row").distinct(), "touched")
     again = stored(rows.join(_bounded(touched, MAX_DOCS), ["doc", "row"], "left_semi").select("doc", "row", words().alias("w")).dropDuplicates(["doc", "row"]), "touched-texts")
-    hits = _windows(again, ["doc", "row"], True).join(_bounded(seeds.select("m", "h", "item", "key", F.col("at").alias("j")), MAX_SEEDS), ["m", "h"])
-    places = hits.select("doc", "row", "item", "key", (F.col("at") - F.col("j")).alias("at")).distinct()
+    hits = _windows(again, ["doc", "row"], runs).join(_bounded(seeds.select("m", "h", "item", "key", F.col("at").alias("j")), MAX_SEEDS), ["m", "h"])
+    places = hits.select("doc", "row", "item", "key", (F.col("at") - F.col("j")).alias("hit")).distinct()
     both = places.join(again, ["doc", "row"]).join(_bounded(items.select("item", "key", F.col("w").alias("v")), MAX_SEEDS // 10), ["item", "key"])
-    equal = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.coalesce(F.get("w", F.col("at") + j) == F.get("v", j), F.lit(False)).cast("int"))
-    both = both.withColumn("eq", equal).withColumn("wide", F.least(F.size("v"), F.lit(WINDOW)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("v") - F.col("wide") + 1), lambda s: total(F.slice("eq", s, F.col("wide")))))
-    scored = both.select("doc", "item", "at", F.size("v").alias("n_words"), total(F.col("eq")).alias("n_equal"), (best / F.col("wide")).alias("similarity"))
+    wide = F.least(F.size("v"), F.lit(WINDOW))
+    # The stretch of the document around the item; -2 to 2 words beside the hit are all that is compared.
+    reach = F.transform(F.sequence(F.lit(-2), F.size("v") + 1), lambda j: F.get("w", F.col("hit") + j))
+    equal = lambda shift: F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.coalesce(F.get("c", j + shift + 2) == F.get("v", j), F.lit(False)).cast("int"))
+    # ``inline`` keeps what was computed; filters beyond it do not compute it again.
+    once = lambda **c: F.inline(F.array(F.struct(*[x.alias(name) for name, x in c.items()])))
+    both = both.select("doc", "item", "hit", F.size("v").alias("n_words"), wide.alias("wide"), "v", once(c=reach))
+    # Words equal at any of the five distances: where they are too few, no window can reach LEAST.
+    some = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.coalesce(F.array_contains(F.slice("c", j + 1, 5), F.get("v", j)), F.lit(False)).cast("int"))
+    both = both.where(_total(some) >= F.col("wide") * LEAST - 1e-9)
+    both = both.select("doc", "item", "hit", "n_words", "wide", once(**{f"e{k + 2}": equal(k) for k in range(-2, 3)}))
+    # The hit may lie right of an added or dropped word, so its neighbours are looked at as left sides as well.
+    sides = F.array(*[F.struct((F.col("hit") + k - 2).alias("at"), F.col(f"e{k - 1}").alias("before"), F.col(f"e{k}").alias("eq"), F.col(f"e{k + 1}").alias("after")) for k in (1, 2, 3)])
+    both = both.select("doc", "item", "n_words", "wide", F.inline(sides))
+    window = lambda s: F.greatest(_total(F.slice("eq", s, F.col("wide"))), _bent(s - 1, 1), _bent(s - 1, -1))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - F.col("wide") + 1), window))
+    scored = both.select("doc", "item", "at", "n_words", _total(F.col("eq")).alias("n_equal"), (best / F.col("wide")).alias("similarity"))
     found = scored.where(F.col("similarity") >= LEAST)
     top = found.groupBy("doc", "item").agg(F.max(F.struct("similarity", "n_equal", (-F.col("at")).alias("back"), "n_words")).alias("t"))
     return top.select(

@@ -444,6 +444,36 @@ def test_decontamination_equals_brute_force(spark, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_quotes_gaps_and_short_items(spark):
+    items = {k: [f"i{k}x{j}" for j in range(n)] for k, n in enumerate((39, 59, 15, 17, 25, 7, 6, 5, 4, 3, 2, 1))}
+    around = lambda w: " ".join([*words(30).split(), *w, *words(30).split()])
+    rows, want = [], set()
+
+    def put(k, w, found):
+        want.update({(len(rows), k)} if found else ())
+        rows.append((len(rows), around(w)))
+
+    for k, v in items.items():
+        put(k, v, True)
+        if len(v) >= 13:
+            for c in range(len(v)):
+                put(k, [*v[:c], "added", *v[c:]], True)
+                put(k, v[:c] + v[c + 1 :], True)
+            put(k, v[2:13], True)
+            put(k, v[2:11], False)
+        # Every pattern of substitutions that leaves the accepted share, and one more of each.
+        wide = min(len(v), 13)
+        for m in range(1, 4):
+            for at in list(combinations(range(wide), m))[:: 7 if len(v) > 7 else 1]:
+                quote = [f"other{j}" if j in at else x for j, x in enumerate(v[:wide])]
+                put(k, quote, (wide - m) / wide >= 0.8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == want
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_decontamination_same_without_broadcast(spark, monkeypatch):
     text = words(40)
     docs = spark.createDataFrame([(1, "x y " + text), (2, words(50))], "doc_id long, text string")
