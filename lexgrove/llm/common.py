@@ -15,6 +15,7 @@ from lexgrove.session import shared_dir
 NO_ID = -(2**63)
 # Rows handed to Python at once; whole texts, so a batch stays in the tens of megabytes.
 ARROW_ROWS = 2000
+ARROW_BYTES = 32_000_000
 
 
 def python_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -22,6 +23,11 @@ def python_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def byte_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the bytes of one Arrow batch; a single longer text still makes a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 _HELD: dict[tuple[str, str], Any] = {}
 
 

@@ -7,7 +7,10 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm import decontaminate, language_crf, line_spread, piece_codec, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
+from lexgrove.llm import (
+    bag_ranking, collocations, decontaminate, language_crf, line_spread, personal_data, piece_codec, simhash, suffix_dedup, toxicity, url_filter,
+    vector_topk, wavelet,
+)
 
 URL_RULES = (("com/", url_filter.ALLOW), ("example.com/en/", url_filter.BLOCK), ("www.example.com/en/", url_filter.ALLOW), ("net/es/", url_filter.BLOCK), ("net/fr/", url_filter.BLOCK))
 # Sites that are never wanted, whatever their top-level name.
@@ -72,4 +75,19 @@ def op10_line_spread(spark, sf):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_wavelet_ids, op3_piece_round_trip, op4_language_crf, op5_suffix_dedup, op6_simhash, op7_decontamination, op8_toxicity_crf, op9_vector_topk, op10_line_spread)}
+def op11_bag_ranking(spark, sf):
+    return bag_ranking.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_personal_data(spark, sf):
+    return personal_data.span_digest(table(spark, sf, "documents"))
+
+
+def op13_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_wavelet_ids, op3_piece_round_trip, op4_language_crf, op5_suffix_dedup, op6_simhash, op7_decontamination, op8_toxicity_crf,
+    op9_vector_topk, op10_line_spread, op11_bag_ranking, op12_personal_data, op13_collocations,
+)}

@@ -1,19 +1,23 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from itertools import combinations, repeat
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexgrove.llm import components, crf, decontaminate, language_crf, line_spread, piece_codec, queries, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
+from lexgrove.llm import bag_ranking, collocations, components, crf, decontaminate, language_crf, line_spread, personal_data, piece_codec, queries, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -556,3 +560,191 @@ def test_line_spread(spark, docs, none):
     assert line_spread.strip_lines(df, min_sites=13).where("n_removed > 0").count() == 0
     assert line_spread.strip_lines(clashing(docs)).count() == len(TEXTS)
     assert line_spread.strip_lines(none).count() == 0
+
+
+# --- ranked lexical search -------------------------------------------------------------------
+
+
+def ranked(docs, items):
+    """Every document against every item, by the formulas."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    bags = [(i, split(t)) for i, t in docs]
+    bags = [(i, t, Counter(t)) for i, t in bags if t]
+    n, total = len(bags), sum(len(t) for _, t, _ in bags)
+    df = Counter(w for _, _, b in bags for w in b)
+    out = []
+    for item, text in set(items):
+        scores = []
+        for i, t, bag in bags:
+            m = 75 + 25 * len(t) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * bag[w] // (1000 * bag[w] + 12 * m)) for w in split(text) if w in bag)
+            scores += [(-s, -(2**63) if i is None else i, i)] if s > 0 else []
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scores, key=lambda x: x[:2])[:20], 1)]
+    return sorted(out, key=str)
+
+
+ITEMS = [(1, "The same text"), (2, "abc; twice? TWICE! 2nd"), (3, None), (4, ""), (5, "nothing-known-here"), (None, "id text"), (6, "ünï 中文 ΣΑΣ é"), (1, "The same text"), (7, "two two two spaces")]
+
+
+def test_bag_ranking(spark, docs):
+    rows = TEXTS + [(100 + i, f"the {'same ' * (i % 3)}text") for i in range(60)] + [(None, "the same text")] * 3 + [(300 - i, "two spaces twice") for i in range(50)]
+    table_ = clashing(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumns({c: F.lit("x") for c in ("item", "rank", "doc", "n")})
+    want = ranked(rows, ITEMS)
+    for block in (2, bag_ranking.BLOCK):
+        assert sorted(map(tuple, bag_ranking.rank_documents(table_, items, block).collect()), key=str) == want
+    assert bag_ranking.rank_documents(table_.limit(0), items).count() == 0
+    assert bag_ranking.rank_documents(table_, items.limit(0)).count() == 0
+
+
+def test_bag_classes_are_verified_and_scored_in_stretches(spark, monkeypatch):
+    """Equal hashes of different bags stay two classes; small stretches of classes give the same places."""
+    rows = [(i, words(rng.randint(1, 30), "abc")) for i in range(400)]
+    items = [(i, words(12, "abc")) for i in range(12)]
+    want = ranked(rows, items)
+    d, q = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(bag_ranking.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert sorted(map(tuple, bag_ranking.rank_documents(d, q).collect()), key=str) == want
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in items for w in bag_ranking.terms(t)}))}
+    assert len(vocabulary) > 20
+    asked = [np.unique([vocabulary[w] for w in bag_ranking.terms(t)], return_counts=True) for _, t in items]
+    bags = [np.array(list(zip(*sorted(Counter(vocabulary[w] for w in bag_ranking.terms(t) if w in vocabulary).items()))) or [[], []], "<u4") for _, t in rows]
+    held = [k for k, b in enumerate(bags) if b.size]
+    batch = pa.RecordBatch.from_pydict({"class": held, "m": [100] * len(held), "bag": [bags[k].tobytes() for k in held], "first": held})
+    class Held:  # noqa: E306
+        def __init__(self, value):
+            self.value = value
+    weights = np.arange(1, len(vocabulary) + 1) * 100
+    runs = []
+    for cells in (1, 4_000_000):
+        monkeypatch.setattr(bag_ranking, "CELLS", cells)
+        runs.append(next(bag_ranking._score_classes(iter([batch]), Held(weights), Held(asked))).to_pydict())
+    assert runs[0] == runs[1] and len(runs[0]["item"]) == 12 * 20
+
+
+# --- personal data ---------------------------------------------------------------------------
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m.group() if "0" <= c <= "9"]
+            doubled = sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits[::-1]))
+            sound = {"email": True, "ip": all(int(x) < 256 for x in m.group().split(".")) if kind == "ip" else True, "card": 16 <= len(digits) <= 19 and doubled % 10 == 0, "phone": 8 <= len(digits) <= 15}
+            if sound[kind]:
+                yield f"{kind}:{m.start()}:{m.end()}"
+
+
+def test_personal_data(spark, docs):
+    odd = ["".join(rng.choices("a1 @.+-()5%_9,\n0Z4é😀", k=rng.randint(1, 150))) for _ in range(1500)]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1112 4111111111111111", "6011000990139424000", "😀 5500005555555559, 1" + "0" * 17]
+    places = ["1.2.3.4.5.6.7.8", "999.1.1.1 0255.01.1.1 256.1.1.1", "00000000000000000000.1.2.3", "a@b.c_d@e.f a@b@c.d", "x@y x@y. x@y.z.", "+1 (377) 555-0271 +12 +123456789012345678"]
+    many = ["q.w@e.rt " * 700, "1.2.3.4 " * 513 + "é", "+49 30 1234567, " * 256]
+    texts = [None, "", *odd, *cards, *places, *many, *(t for _, t in TEXTS)]
+    frame = spark.createDataFrame([(i % 50 if i % 7 else None, i, t) for i, t in enumerate(texts)], "doc_id long, row long, text string").withColumns({c: F.lit("x") for c in ("spans", "t", "whole", "match_ip", "any")})
+    got = {r.row: r for r in personal_data.find_spans(frame).collect()}
+    assert len(got) == len(texts) and list(got[0].asDict()) == [*[c for c in frame.columns if c != "spans"], "spans"]
+    for i, text in enumerate(texts):
+        own = [f"{s.kind}:{s.start}:{s.end}" for s in got[i].spans if s.kind in personal_data.BASE]
+        assert own == list(base_spans(text)), text
+        assert all(0 <= s.score <= 100 for s in got[i].spans)
+    digest = {r.spans: r for r in personal_data.span_digest(frame.where("row >= 1502")).collect()}
+    for r in digest.values():
+        base = [s for s in r.spans.split(",") if s.split(":")[0] in personal_data.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in base) for k in PLAIN]
+    assert personal_data.span_digest(frame.limit(0)).count() == 0
+
+
+def test_personal_data_by_checksum_and_context(spark):
+    cases = {
+        "DE89370400440532013000 BIC": ["iban:0:22"], "DE89370400440532013001": [], "xGB82 WEST 1234 5698 7654 32": [], "to GB82 WEST 1234 5698 7654 32.": ["iban:3:30"],
+        "123-45-6789": [], "social security 123-45-6789": ["ssn:16:27"], "my SSN: 000-45-6789": [], "born 12/03/1980": ["birth:5:15"], "on 12/03/1980": [], "born 32/13/1980": [],
+        "account 12345678": ["account:8:16"], "order 12345678 of account": [], "accountant 12345678": [],
+    }
+    got = {r.text: [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind not in personal_data.BASE] for r in personal_data.find_spans(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+    assert got == cases
+    scores = {r.text: r.spans[0].score for r in personal_data.find_spans(spark.createDataFrame([(t,) for t in ("host 1.2.3.4", "version 1.2.3.4", "1.2.3.4")], "text string")).collect()}
+    assert scores["host 1.2.3.4"] > scores["1.2.3.4"] > scores["version 1.2.3.4"]
+
+
+def test_personal_data_in_very_long_runs(spark):
+    """Runs on which the plain patterns take quadratic time or run out of stack."""
+    runs = ["1" * 200_000, "a" * 200_000, "a@" * 50_000, "1-" * 100_000, "+1" + " (" * 50_000, "1." * 50_000 + "x", "0" * 100_000 + ".1.1.1"]
+    got = {r.n: r.spans for r in personal_data.span_digest(spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string")).selectExpr("doc_id n", "spans").collect()}
+    assert [got[i].count("email") for i in range(7)] == [0] * 7 and got[5].count("ip:") == 12_500 and got[6] == "ip:0:100006"
+
+
+def test_personal_data_stays_in_the_jvm(spark, docs):
+    plan = personal_data.span_digest(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# --- collocations ----------------------------------------------------------------------------
+
+
+def mined(rows, least, top, explained=80):
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    candidates = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    out = []
+    for p, a in candidates.items():
+        lang, w = p[0], p[1:]
+        if any(q[0] == lang and len(q) > len(p) and 100 * b >= explained * a and any(q[i : i + len(w)] == w for i in range(1, len(q))) for q, b in candidates.items()):
+            continue
+        score, cut = min((2_000_000 * a // (f[(lang, *w[:k])] + f[(lang, *w[k:])]), k) for k in range(1, len(w)))
+        out.append((lang, -score, -a, " ".join(w).encode(), f[(lang, *w[:cut])], f[(lang, *w[cut:])], n[lang]))
+    got, ranks = [], Counter()
+    for lang, score, a, phrase, left, right, total in sorted(out):
+        ranks[lang] += 1
+        if ranks[lang] <= top:
+            got.append((lang, ranks[lang], phrase.decode(), -a, left, right, total, -score))
+    return sorted(got, key=str)
+
+
+def phrase_rows():
+    some = ["red", "Green", "blue", "the", "of", "ünï", "中", "x.y", "a!b", " q"]
+    rows = [(rng.choice(["en", "de", None]), " ".join(rng.choices(some, k=rng.randint(0, 25)))) for _ in range(300)]
+    long_passage = words(70, "klmnop")
+    rows += [("en", f"{words(3)} {long_passage} {words(2)}") for _ in range(8)] + [("en", long_passage)] * 2 + [("en", "go go go go go go")] * 4
+    rows += [("en", None), ("en", ""), ("de", " \t. ,"), ("und", "red green"), ("", "red blue red blue red blue"), ("en", "la " * 500), ("en", "one\x0btwo\x0cone\x1ctwo\x00three")]
+    return rows + [("de", "tail\tof the\t tail")] * 5
+
+
+@pytest.mark.parametrize("bits", [collocations.LINK_BITS, 6])
+def test_collocations(spark, bits):
+    """Equal to a count of all phrases, with a sparse link table and with a full one."""
+    rows = phrase_rows()
+    frame = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("x") for c in ("phrase", "n", "k", "score", "rank", "path", "doc_id")}).repartition(5)
+    for least, top in ((4, 2000), (9, 7)):
+        assert sorted(map(tuple, collocations.collocations(frame, least, top, bits=bits).collect()), key=str) == mined(rows, least, top)
+    assert collocations.collocations(frame.limit(0), 4, bits=bits).count() == 0
+
+
+def test_collocation_counts_and_paths(spark):
+    rows = phrase_rows()
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    flags = collocations.frequent_links(frame, 4, 12)
+    table_ = collocations.edges(frame, flags).cache()
+    at = collocations.nodes(table_).cache()
+    paths = collocations.unary_paths(table_, at, 4).collect()
+    # The repeated passage of 70 words is one path; no node inside a path branches.
+    assert max(len(p.path.split(" ")) for p in paths) >= 70 and any(p.n == 10 and len(p.path.split(" ")) == 70 for p in paths)
+    through = {(r.lang, r.phrase) for r in at.where("passes").collect()}
+    inner = [(p.lang, " ".join(w[i : i + 3])) for p in paths for w in [p.path.split(" ")] for i in range(1, len(w) - 3)]
+    assert len(inner) == len(set(inner)) and set(inner) <= through
+    counted = Counter()
+    for lang, text in rows:
+        for piece in b" ".join(collocations.tokens(text)).decode().split("."):
+            w = [x for x in piece.split(" ") if x]
+            counted.update(("und" if lang is None else lang, " ".join(w[i : i + k])) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    counts, total = collocations.phrase_counts(frame, 4)
+    assert {(r.lang, r.phrase): r.f for r in counts.collect()} == {p: c for p, c in counted.items() if c >= 4}
+    assert counts.count() == counts.select("lang", "phrase").distinct().count()
