@@ -1,9 +1,9 @@
 """Collocations from a weighted de Bruijn graph: nodes are phrases of ``WIDEST`` - 1 words, edges phrases of ``WIDEST``.
 
-1. **Links.** Neighbouring words are counted by hash in a table of fixed size (``LINK_BITS``), each task in its own, summed
-   block by block. A phrase with a pair of neighbours whose cell stays below ``least`` has fewer than ``least`` occurrences,
-   so pieces are cut there: no word is lost, and no phrase that can be reported or is part of one is touched. On corpora
-   that fill the table nothing is cut, which costs time and changes no row.
+1. **Links.** Pairs of neighbouring words are counted by a hash of ``CELL_BITS``. A phrase that holds a pair with fewer than
+   ``least`` occurrences has fewer itself, so pieces are cut there: no word is lost, and no phrase that can be reported or is
+   part of one is touched. Tasks know the frequent pairs from a bitmap of 2^``LINK_BITS`` bits; pairs that share a bit with a
+   frequent one are not cut, which costs time and changes no row.
 2. **Edges.** Every word occurrence begins one phrase: the ``WIDEST`` words from it on, or as many as its piece still has.
    The long ones are edges, the short ones piece ends. They are added up in a batch, then by Spark.
 3. **Flow.** A node occurs as often as edges leave it plus pieces end on it; a shorter phrase as often as the next longer
@@ -38,9 +38,11 @@ WIDEST = 4
 # A longer candidate explains a shorter one from this share of its occurrences on, in per cent.
 EXPLAINED = 80
 SCALE = 2_000_000
-# 4 million cells: sparse up to some 10^9 words.
-LINK_BITS = 22
-BLOCK_BITS = 12
+CELL_BITS = 40
+# 16 MB; sparse up to some 10^7 different frequent pairs.
+LINK_BITS = 27
+# Spark's bitmaps have 32,768 bits.
+BITMAP_BITS = 15
 # Words that are numbered at once.
 STRETCH = 1_000_000
 NO_LANG = "und"
@@ -72,53 +74,38 @@ def _stretches(batches):
                     held = [b"."]
 
 
-def _cells(lang: str, ids: np.ndarray, words: list[bytes], bits: int) -> np.ndarray:
+def _cells(lang: str, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The cell of each pair of neighbours; pairs at a mark get one too, which nobody looks at."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))[ids]
     mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] + (hashes[1:] >> np.uint64(29)))
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _count_links(batches, bits, least):
-    """This task's table, each cell up to ``least``, in blocks that hold anything."""
-    total = np.zeros(1 << bits, np.uint8)
+def _count_links(batches):
     for lang, ids, words in _stretches(batches):
         inside = (ids[:-1] > 0) & (ids[1:] > 0)
-        added = np.bincount(_cells(lang, ids, words, bits)[inside], minlength=1 << bits)
-        total = np.minimum(total + added, least).astype(np.uint8)
-    blocks = total.reshape(-1, 1 << min(bits, BLOCK_BITS))
-    held = np.flatnonzero(blocks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([blocks[i].tobytes() for i in held], pa.binary())], names=["block", "cells"])
+        cells, times = np.unique(_cells(lang, ids, words)[inside], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], names=["cell", "n"])
 
 
-def _add_blocks(batches, least):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist()):
-            own = np.frombuffer(cells, np.uint8).astype(np.int64)
-            total[block] = np.minimum(total[block] + own, least) if block in total else own
-    rows = [np.packbits(total[b] >= least).tobytes() for b in total]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(rows, pa.binary())], names=["block", "bits"])
-
-
-def frequent_links(docs: DataFrame, least: int = LEAST, bits: int = LINK_BITS) -> np.ndarray:
-    """One flag per cell that may hold a pair with ``least`` occurrences: 2^bits flags whatever the input."""
-    least = min(least, 255)  # cells count no further
-    parts = docs.mapInArrow(partial(_count_links, bits=bits, least=least), "block long, cells binary")
-    size = 1 << min(bits, BLOCK_BITS)
-    rows = parts.repartition(max(1, (1 << bits) // size // 16), "block").mapInArrow(partial(_add_blocks, least=least), "block long, bits binary").collect()
-    flags = np.zeros(((1 << bits) // size, size), bool)
-    for r in rows:
-        flags[r.block] = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=size)
-    return flags.reshape(-1)
-
-
-def _phrases(batches, flags, bits):
+def frequent_links(docs: DataFrame, least: int = LEAST, bits: int = LINK_BITS) -> bytes:
+    """A bitmap of the cells, cut to ``bits``, that hold pairs with ``least`` occurrences: its size does not depend on the input."""
+    counted = docs.mapInArrow(_count_links, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    place = F.shiftright("cell", CELL_BITS - bits)
+    parts = counted.groupBy(F.shiftright(place, BITMAP_BITS).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))).alias("map"))
+    held = np.zeros((max(1, 1 << bits >> BITMAP_BITS), 1 << BITMAP_BITS >> 3), np.uint8)
+    for r in parts.collect():
+        held[r.part] = np.frombuffer(r.map, np.uint8)
+    return held.tobytes()
+
+
+def _phrases(batches, links, bits):
     """Each phrase that begins at a word, with its number of words and how often it does so in this stretch."""
-    links = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
+    held = np.frombuffer(links.value, np.uint8)
     for lang, ids, words in _stretches(batches):
-        linked = (ids[:-1] > 0) & (ids[1:] > 0) & links[_cells(lang, ids, words, bits)]
+        place = _cells(lang, ids, words) >> (CELL_BITS - bits)
+        linked = (ids[:-1] > 0) & (ids[1:] > 0) & ((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
         linked = np.concatenate([linked, np.zeros(WIDEST, bool)])
         size = (ids > 0).astype(np.int64)
         for k in range(1, WIDEST):
@@ -137,11 +124,10 @@ def _phrases(batches, flags, bits):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams, pa.string()), pa.array(np.full(len(grams), k), pa.int32()), pa.array(times, pa.int64())], names=["lang", "phrase", "k", "n"])
 
 
-def edges(docs: DataFrame, flags: np.ndarray) -> DataFrame:
+def edges(docs: DataFrame, links: bytes, bits: int = LINK_BITS) -> DataFrame:
     """(lang, phrase, k, n): for k = ``WIDEST`` the edges, for smaller k the ends of pieces."""
-    bits = len(flags).bit_length() - 1
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(flags).tobytes())
-    found = docs.mapInArrow(partial(_phrases, flags=held, bits=bits), "lang string, phrase string, k int, n long")
+    held = docs.sparkSession.sparkContext.broadcast(links)
+    found = docs.mapInArrow(partial(_phrases, links=held, bits=bits), "lang string, phrase string, k int, n long")
     return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
@@ -206,7 +192,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = LINK_BITS) ->
     spark = docs.sparkSession
     byte_batches(spark)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    table = stored(edges(rows, frequent_links(rows, least, bits)), "edges")
+    table = stored(edges(rows, frequent_links(rows, least, bits), bits), "edges")
     at = stored(nodes(table), "nodes")
     paths = stored(unary_paths(table, at, least), "paths")
     w = F.split("path", " ")

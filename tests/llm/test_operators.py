@@ -731,8 +731,7 @@ def test_collocations(spark, bits):
 def test_collocation_counts_and_paths(spark):
     rows = phrase_rows()
     frame = spark.createDataFrame(rows, "lang string, text string")
-    flags = collocations.frequent_links(frame, 4, 12)
-    table_ = collocations.edges(frame, flags).cache()
+    table_ = collocations.edges(frame, collocations.frequent_links(frame, 4, 16), 16).cache()
     at = collocations.nodes(table_).cache()
     paths = collocations.unary_paths(table_, at, 4).collect()
     # The repeated passage of 70 words is one path; no node inside a path branches.
