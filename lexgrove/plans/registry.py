@@ -18,7 +18,7 @@ from lexgrove.plans import ask, corpus, ingest
 from lexgrove.scale import dimension_join, spread
 from lexgrove.session import cut_lineage, shared_dir
 from lexgrove.sources import sinks
-from lexgrove.streaming import ingest_stream, progress
+from lexgrove.streaming import ingest_stream, keyed, progress
 
 # No two vectors of the given table reach the default floor of 0.65 unless they are the same.
 HYBRID = HybridConfig(vector_floor=0.2)
@@ -612,6 +612,40 @@ def stream_throughput(spark, sf):
     return last.select("window_start", "status", "n")
 
 
+def stream_sliding(spark, sf):
+    """Counts by event type in windows of two days that begin every twelve hours, from a stream."""
+    raw = progress.read_events(spark, sf).withColumnRenamed("event_type", "status")
+    home = run_folder(spark, "sliding")
+    progress.start_throughput(raw, f"{home}/out", f"{home}/state", "2 days", "12 hours").awaitTermination()
+    return progress.latest_windows(spark.read.parquet(f"{home}/out"))
+
+
+def stream_batch_status(spark, sf):
+    """Final batch status kept by a stream whose files bring the events in shuffled order."""
+    home = run_folder(spark, "batches")
+    events = corpus.status_events(spark, sf)
+    events.repartition(8, F.xxhash64("seq")).write.parquet(f"{home}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{home}/events")
+    keyed.start_batch_status(stream, f"{home}/out", f"{home}/state", delay="60 days").awaitTermination()
+    return keyed.latest_batches(spark.read.parquet(f"{home}/out")).select("batch_id", "batch_status", F.col("active").cast("long").alias("active"))
+
+
+def stream_sessions(spark, sf):
+    """Sessions of each user and the rows that came too late: events in two stretches of time, then every 97th of them."""
+    home = run_folder(spark, "sessions")
+    events = corpus.table(spark, sf, "events").select("user_id", "ts", F.col("event_id").alias("seq"))
+    held = F.col("seq") % 97 == 0
+    middle = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    for part in (~held & middle, ~held & ~middle, held):
+        events.where(part).repartition(4, "user_id").write.mode("append").parquet(f"{home}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{home}/events")
+        keyed.start_sessions(stream, "user_id", f"{home}/out", f"{home}/state", gap="6 hours", delay="3 days").awaitTermination()
+    rows = spark.read.parquet(f"{home}/out")
+    found = keyed.sessions(rows, "user_id").withColumn("kind", F.lit("session"))
+    late = keyed.late_rows(rows, "user_id").select("user_id", F.col("ts").alias("session_start"), F.col("ts").alias("session_end"), F.lit(1).cast("long").alias("n"), F.lit("late").alias("kind"))
+    return found.union(late)
+
+
 def stream_ingest(spark, sf):
     """All documents requested as messages (twice), processed by the stream, counted per version."""
     home = run_folder(spark, "ingest")
@@ -719,7 +753,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dept_ranked, secondary_all, secondary_evidence, prompts, answer_card, evidence_packet, model_answers, audit_append, audit_replay, eval_report,
         eval_outcomes, refs_extracted, refs_resolved, refs_inbound, name_similarity, reference_backfill, page_text, page_links, link_manifest,
         link_expansion, page_documents, download_status, download_index, resume_report, slug_join, url_checks, metadata_hash, message_guard,
-        catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_ingest, stream_redelivery, process_current, process_items, registration_rejects,
+        catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_sliding,
+        stream_batch_status, stream_sessions, stream_ingest, stream_redelivery, process_current, process_items, registration_rejects,
         file_plan, request_fields,
     )
 }

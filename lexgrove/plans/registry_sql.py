@@ -238,6 +238,20 @@ SELECT source external_id, {uuid5(ID_SPACE, "'policy/tenant-0/'||source")} polic
         "act AS (SELECT *, sum(a-b) OVER (PARTITION BY batch_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) active FROM st)",
         "ch AS (SELECT *, CASE WHEN status='processing' THEN 'processing' WHEN status='ready' AND active=0 THEN 'completed' WHEN status='failed' AND active=0 THEN 'failed' END change FROM act)",
     ) + "SELECT batch_id, coalesce(arg_max(change, (ts, seq)) FILTER (change IS NOT NULL), 'received') batch_status FROM ch GROUP BY batch_id",
+    "stream_batch_status": ctes(
+        EVENTS, ITEMS, "st AS (SELECT *, CAST(status IN ('received','queued','processing') AS INT) a, lag(CAST(status IN ('received','queued','processing') AS INT), 1, 0) OVER (PARTITION BY batch_id, item_id ORDER BY ts, seq) b FROM ev)",
+        "act AS (SELECT *, sum(a-b) OVER (PARTITION BY batch_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) active FROM st)",
+        "ch AS (SELECT *, CASE WHEN status='processing' THEN 'processing' WHEN status='ready' AND active=0 THEN 'completed' WHEN status='failed' AND active=0 THEN 'failed' END change FROM act)",
+        "left_over AS (SELECT batch_id, count(*) FILTER (status IN ('received','queued','processing')) active FROM items GROUP BY batch_id)",
+    ) + """SELECT batch_id, batch_status, active FROM (SELECT batch_id, coalesce(arg_max(change, (ts, seq)) FILTER (change IS NOT NULL), 'received') batch_status FROM ch GROUP BY batch_id) JOIN left_over USING (batch_id)""",
+    "stream_sliding": """SELECT start AS window_start, event_type AS status, count(*) AS n FROM (
+  SELECT event_type, unnest(list_transform(range(4), lambda i: time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 12 HOUR)) AS start FROM events) GROUP BY ALL""",
+    "stream_sessions": ctes(
+        "e AS (SELECT user_id, ts, event_id, event_id%97=0 held, max(ts) FILTER (event_id%97<>0) OVER (PARTITION BY user_id) - INTERVAL 3 DAY horizon FROM events)",
+        "ok AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR, true) fresh FROM e WHERE NOT held OR ts > horizon OR horizon IS NULL)",
+        "island AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) k FROM ok)",
+    ) + """SELECT user_id, min(ts) session_start, max(ts) session_end, count(*) n, 'session' kind FROM island GROUP BY user_id, k
+UNION ALL SELECT user_id, ts, ts, 1, 'late' FROM e WHERE held AND ts <= horizon""",
     "status_report": ctes(EVENTS, ITEMS) + "SELECT count(*) total, " + ", ".join(f"count(*) FILTER (status='{s}') {s}" for s in ("received", "queued", "processing", "ready", "failed")) + " FROM items",
     "stream_throughput": "SELECT date_trunc('day', ts)::TIMESTAMP window_start, event_type AS status, count(*) n FROM events GROUP BY ALL",
     "tenant_counts": ctes(POLICIES, FACTS, CURRENT, DOCS, SECTIONS, VECTORS) + """SELECT tenant_id, policy_sections, policy_embeddings FROM (SELECT tenant_id, count(*) policy_sections FROM sections JOIN policies USING (policy_id) GROUP BY 1)

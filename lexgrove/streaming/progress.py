@@ -41,10 +41,25 @@ def latest_items(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(last).select(*keys, "t.status", "t.ts")
 
 
-def throughput(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
-    """Tumbling counts by status. With ``late`` the state of old windows is dropped, and so are rows that come later than that;
-    without it every row counts and the state holds one row per window and status."""
+def throughput(events: DataFrame, width: str = "1 day", late: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts by status in tumbling windows, or in sliding ones that begin every ``slide``. With ``late`` the state of old windows is
+    dropped, and so are rows that come later than that; without it every row counts and the state holds one row per window and status."""
     timed = events.withWatermark("ts", late) if late else events
-    w = timed.groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"))
+    w = timed.groupBy(F.window("ts", width, slide), "status").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("window.start").alias("window_start"), "status", "n")
 
+
+def start_throughput(events: DataFrame, out: str, checkpoint: str, width: str = "1 day", slide: str | None = None, late: str | None = None) -> StreamingQuery:
+    """Write changed windows per micro-batch; a repeated micro-batch overwrites its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        writer = batch.withColumn("micro_batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("micro_batch").parquet(out)
+
+    query = throughput(events, width, late, slide).writeStream.outputMode("update").foreachBatch(write)
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_windows(changes: DataFrame) -> DataFrame:
+    """Current count per window from the changes written by the stream."""
+    return changes.groupBy("window_start", "status").agg(F.max_by("n", "micro_batch").alias("n"))
