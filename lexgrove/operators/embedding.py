@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.operators.observed import Counts, rows
+
 Embedder = Callable[[list[str]], list[list[float]]]
 BATCH = 16
 
@@ -28,11 +30,13 @@ def embedding_text(policy_type: Column, department_scope: Column, authority_leve
     )
 
 
-def backlog(sections: DataFrame, embeddings: DataFrame, model: str, only_current: bool = True) -> DataFrame:
+def backlog(sections: DataFrame, embeddings: DataFrame, model: str, only_current: bool = True, counts: Counts | None = None) -> DataFrame:
     """Ready sections that have no vector of ``model`` yet."""
     ready = sections.where(F.col("parse_status") == "ready")
     if only_current:
         ready = ready.where("is_current")
+    if counts:
+        ready = counts.at(ready, scanned=rows())
     done = embeddings.where(F.col("embedding_model") == model).select("section_id")
     return ready.join(done, "section_id", "left_anti")
 
@@ -75,10 +79,15 @@ def embed(sections: DataFrame, embedder: Embedder, model: str, batch: int = BATC
 
 
 def embed_missing(
-    sections: DataFrame, embeddings: DataFrame, embedder: Embedder, model: str, only_current: bool = True
+    sections: DataFrame, embeddings: DataFrame, embedder: Embedder, model: str, only_current: bool = True, counts: Counts | None = None
 ) -> DataFrame:
-    """New embedding rows only; appending them and running again adds nothing."""
-    return embed(backlog(sections, embeddings, model, only_current).dropDuplicates(["section_id"]), embedder, model)
+    """New embedding rows only; appending them and running again adds nothing.
+
+    ``counts`` learns, while the rows are written, how many sections were ``scanned`` and how many rows ``inserted``;
+    the others had a vector or came twice.
+    """
+    new = embed(backlog(sections, embeddings, model, only_current, counts).dropDuplicates(["section_id"]), embedder, model)
+    return counts.at(new, inserted=rows()) if counts else new
 
 
 def fallback_text(embeddings: DataFrame, sections: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexgrove.operators.observed import Counts, rows
 from lexgrove.scale import dimension_join, salted_lookup, top_per_group
 from lexgrove.session import cut_lineage
 
@@ -231,14 +232,21 @@ def for_version(edges: DataFrame, tenant_id: str, version_id: str, limit: int =
     return mine.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
-def backfill_references(sections: DataFrame, policies: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def backfill_references(
+    sections: DataFrame, policies: DataFrame, processed: DataFrame, counts: Counts | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Edges of ready versions not processed before, and the markers to append with them.
 
     The marker table, not the presence of edges, says what is done: a version without references
-    is processed once.
+    is processed once. ``counts`` learns, while the two are written, how many versions were ``scanned``,
+    and how many references ``inserted``, of them ``resolved`` to a section or policy.
     """
     todo = sections.where(F.col("parse_status") == "ready").join(processed.select("policy_version_id"), "policy_version_id", "left_anti")
-    return reference_edges(todo, policies), todo.select("policy_version_id").distinct()
+    edges, markers = reference_edges(todo, policies), todo.select("policy_version_id").distinct()
+    if counts:
+        edges = counts.at(edges, inserted=rows(), resolved=F.count_if(F.col("resolution_status") == "resolved"))
+        markers = counts.at(markers, scanned=rows())
+    return edges, markers
 
 
 def backfill_counts(edges: DataFrame, markers: DataFrame) -> DataFrame:

@@ -131,8 +131,20 @@ def vector_topk(
 
 
 def vector_literal(vector: Column, digits: int = 12) -> Column:
-    """Text form of a vector, as vector columns of databases take it."""
-    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string(f"%.{digits}f", x.cast("double"))), ","), F.lit("]"))
+    """Text form of a vector, as vector columns of databases take it: ``digits`` significant digits, 1e-09 for small and large numbers.
+
+    The JVM's formatter rounds halves of the shortest decimal form, databases those of the exact binary value; so this is Arrow-batched Python.
+    """
+
+    @F.pandas_udf("string")
+    def text(vectors: pd.Series) -> pd.Series:
+        lengths = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy(dtype=np.int64)
+        numbers = np.concatenate([np.asarray(v, dtype=np.float64) for v in vectors if v is not None] or [np.empty(0)])
+        shown = np.char.mod(f"%.{digits}g", numbers).tolist()
+        ends = np.cumsum(np.maximum(lengths, 0))
+        return pd.Series([None if n < 0 else f"[{','.join(shown[e - n : e])}]" for n, e in zip(lengths.tolist(), ends.tolist())])
+
+    return text(vector.cast("array<double>"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -157,12 +169,17 @@ def control_ids(question: Column) -> Column:
 
 
 def boost_exact(found: DataFrame, boost: float = 0.4, most: float = 0.99) -> DataFrame:
-    """Raise sections whose path is named in the question and rank again; needs question_id, question, section_id, section_path, score."""
-    named = F.array_contains(control_ids(F.col("question")), F.upper("section_path"))
+    """Raise sections whose path is named in the question; needs question_id, question, section_id, section_path, score.
+
+    Questions that name an identifier are ranked again by the new score, equal ones in the order they had; the others keep theirs.
+    """
+    ids = control_ids(F.col("question"))
+    named = F.array_contains(ids, F.upper("section_path"))
     raised = found.withColumn(
         "score", F.when(F.coalesce(named, F.lit(False)), F.least(F.lit(most), F.col("score") + boost)).otherwise(F.col("score"))
     )
     if "question_id" not in found.columns:
         return raised
-    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("section_id"))
+    had = [F.col("rank")] if "rank" in found.columns else [F.col("score").desc(), F.col("section_id")]
+    order = Window.partitionBy("question_id").orderBy(F.when(F.size(ids) > 0, F.col("score")).desc(), *had)
     return raised.withColumn("rank", F.row_number().over(order))

@@ -14,6 +14,7 @@ from lexgrove.operators import (
     versions,
 )
 from lexgrove.operators.fusion import HybridConfig
+from lexgrove.operators.observed import Counts
 from lexgrove.plans import ask, corpus, ingest
 from lexgrove.scale import dimension_join, spread
 from lexgrove.session import cut_lineage, shared_dir
@@ -195,6 +196,23 @@ def embed_backfill(spark, sf):
     return new.groupBy("policy_id").agg(F.count(F.lit(1)).alias("inserted"), F.round(F.avg(norm), 3).alias("avg_norm"))
 
 
+def backfill_counts(spark, sf):
+    """What both backfills counted while their rows were written."""
+    home = run_folder(spark, "backfill")
+    vectors_, refs = Counts(), Counts()
+    s = ready_sections(spark, sf)
+    new = embedding.embed_missing(s, corpus.stored_embeddings(spark, sf), embedding.hashing_embedder(), corpus.MODEL, False, vectors_)
+    new.write.parquet(f"{home}/embeddings")
+    p = corpus.policies(spark, sf)
+    r = _referring(spark, sf).join(corpus.version_facts(spark, sf).select("policy_version_id", "parse_status"), "policy_version_id")
+    r = r.withColumn("section_index", F.lit(0)).withColumn("section_path", F.lit("chunk-1"))
+    edges, marks = references.backfill_references(r, p, r.limit(0).select("policy_version_id"), refs)
+    edges.write.parquet(f"{home}/edges")
+    marks.write.parquet(f"{home}/marks")
+    found = [(job, name, n) for job, c in (("embeddings", vectors_), ("references", refs)) for name, n in c.get().items() if name in ("scanned", "inserted")]
+    return spark.createDataFrame(found, "job string, name string, n long")
+
+
 # --- retrieval, ranking, answers --------------------------------------------------------------
 
 
@@ -209,17 +227,38 @@ def vector_topk_unscoped(spark, sf):
     return v.select("question_id", "section_id", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def id_boost(spark, sf):
-    q = corpus.questions(spark, sf).withColumn(
-        "question", F.concat("question", F.lit(" see ac-0"), F.pmod(F.regexp_extract("question_id", r"\d+", 0).cast("int"), F.lit(10)).cast("string"), F.lit(" and IA-5(1)"))
-    )
+def _naming(spark, sf):
+    """Questions that name identifiers, and the identifier of each section with a vector."""
+    n = F.pmod(F.regexp_extract("question_id", r"\d+", 0).cast("int"), F.lit(10)).cast("string")
+    q = corpus.questions(spark, sf).withColumn("question", F.concat("question", F.lit(" see ac-0"), n, F.lit(" and IA-5(1)")))
     paths = corpus.table(spark, sf, "embeddings").select(
         corpus.section_id(corpus.version_id(F.col("vec_id")), F.lit(0)).alias("section_id"), F.concat(F.lit("AC-"), F.col("label").cast("string")).alias("section_path")
     )
+    return q, paths
+
+
+def id_boost(spark, sf):
+    q, paths = _naming(spark, sf)
     v = vectors.vector_topk(q, corpus.embeddings(spark, sf)).join(paths, "section_id").join(q.select("question_id", "question"), "question_id")
     return vectors.boost_exact(v).select("question_id", "section_id", r6("score"), F.array_join(vectors.control_ids(F.col("question")), ",").alias("named"))
 
 
+def answers_by_id(spark, sf):
+    """Answers out of the document store: tenant scope only, sections raised that the question names."""
+    q, paths = _naming(spark, sf)
+    s = ready_sections(spark, sf).drop("section_path").join(paths, "section_id")
+    return _answer_columns(ask.ask(q, s, corpus.embeddings(spark, sf), "store", HYBRID, MIN_SCORE))
+
+
+def vector_literals(spark, sf):
+    """Text form of stored vectors, of their components to small and large powers of ten."""
+    e = corpus.table(spark, sf, "embeddings")
+    power = lambda i, n: F.pow(F.lit(10.0), F.pmod(i, F.lit(n)).cast("double"))
+    large = F.transform("embedding", lambda v, i: v.cast("double") * power(i, 20))
+    small = F.transform("embedding", lambda v, i: v.cast("double") / power(i, 14))
+    return e.select("vec_id", *(vectors.vector_literal(x).alias(name) for name, x in (("literal", F.col("embedding")), ("large", large), ("small", small))))
+
+
 def fts_rank(spark, sf):
     f = fulltext.fts_topk(corpus.questions(spark, sf), ready_sections(spark, sf))
     return f.select("question_id", "section_id", r6("score"), F.col("rank").cast("long").alias("rank"))
@@ -267,7 +306,10 @@ def _answers(spark, sf, **kw):
 
 
 def answers_query(spark, sf):
-    a = _answers(spark, sf)
+    return _answer_columns(_answers(spark, sf))
+
+
+def _answer_columns(a: DataFrame) -> DataFrame:
     return a.select(
         "question_id", "answer", "refusal_reason", r6("confidence"), F.size("evidence").cast("long").alias("n_evidence"),
         F.array_join("citations", "|").alias("citations"), F.array_join(F.transform("citation_items", lambda i: i["snippet"]), "|").alias("snippets"),
@@ -661,8 +703,8 @@ def stream_ingest(spark, sf):
     return s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
 
 
-def stream_redelivery(spark, sf):
-    """All documents requested in shuffled order over many files, a third of them again after they were ready."""
+def _redelivered(spark, sf) -> str:
+    """All documents requested in shuffled order over many files, a third of them again after they were ready: the folder of the run."""
     home = run_folder(spark, "redelivery")
     d = corpus.table(spark, sf, "documents")
     vid = ids.uuid5(register.ID_SPACE, F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
@@ -680,6 +722,18 @@ def stream_redelivery(spark, sf):
 
     send(d, "2024-01-01")
     send(d.where(F.col("doc_id") % 3 == 0), "2024-02-01")
+    return home
+
+
+def stream_counts(spark, sf):
+    """What the ingest stream counted while it ran."""
+    counts = spark.read.parquet(f"{_redelivered(spark, sf)}/out/counts")
+    return counts.agg(*(F.sum(c).alias(c) for c in ("scanned", "skipped", "inserted", "sections", "failed")))
+
+
+def stream_redelivery(spark, sf):
+    """The state after requests came again."""
+    home = _redelivered(spark, sf)
     s = sinks.read_table(spark, f"{home}/out/sections", spark.read.parquet(f"{home}/out/sections"))
     s = s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
     done = spark.read.parquet(f"{home}/out/status").where(F.col("policy_version_id").isNotNull()).select("policy_version_id", "parse_status")
@@ -749,12 +803,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         version_lineage, current_versions, policy_catalog, duplicate_rejects, label_conflicts, registered_versions, registered_items, policy_first_write,
         section_chunks, section_page, section_detail, clean_lines, extracted_documents, item_status, batch_progress, batch_status, status_report,
-        tenant_counts, embed_backlog, embedding_text, embed_backfill, vector_topk, vector_topk_unscoped, id_boost, fts_rank, postings, hybrid_fusion,
+        tenant_counts, embed_backlog, embedding_text, embed_backfill, backfill_counts, vector_topk, vector_topk_unscoped, id_boost, answers_by_id, vector_literals, fts_rank, postings, hybrid_fusion,
         dept_ranked, secondary_all, secondary_evidence, prompts, answer_card, evidence_packet, model_answers, audit_append, audit_replay, eval_report,
         eval_outcomes, refs_extracted, refs_resolved, refs_inbound, name_similarity, reference_backfill, page_text, page_links, link_manifest,
         link_expansion, page_documents, download_status, download_index, resume_report, slug_join, url_checks, metadata_hash, message_guard,
         catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_sliding,
-        stream_batch_status, stream_sessions, stream_ingest, stream_redelivery, process_current, process_items, registration_rejects,
+        stream_batch_status, stream_sessions, stream_ingest, stream_redelivery, stream_counts, process_current, process_items, registration_rejects,
         file_plan, request_fields,
     )
 }

@@ -262,6 +262,15 @@ UNION ALL SELECT user_id, ts, ts, 1, 'late' FROM e WHERE held AND ts <= horizon"
     "vector_topk": ctes(POLICIES, FACTS, CURRENT, VECTORS, QUESTIONS, vector_hits(20, SCOPE)) + "SELECT question_id, section_id, round(score,6) score, rank FROM vec",
     "vector_topk_unscoped": ctes(POLICIES, FACTS, CURRENT, VECTORS, QUESTIONS, vector_hits(40, "q.tenant_id=c.tenant_id")) + "SELECT question_id, section_id, round(score,6) score, rank FROM vec",
     "id_boost": ctes(POLICIES, FACTS, CURRENT, VECTORS, QUESTIONS, vector_hits(20, SCOPE)) + """SELECT question_id, section_id, round(CASE WHEN label=item_id%10 THEN least(0.99, score+0.4) ELSE score END,6) score, 'AC-'||(item_id%10)||',IA-5(1)' AS named FROM vec""",
+    "answers_by_id": ctes(*BASE, VECTORS, QUESTIONS, vector_hits(40, "q.tenant_id=c.tenant_id"), """fused AS (
+  SELECT v.question_id, c.*, q.department user_department, NULL::BIGINT merged_candidates, CASE WHEN v.label=v.item_id%10 THEN least(0.99, v.score+0.4) ELSE v.score END score
+  FROM vec v JOIN corpus c USING (section_id) JOIN questions q USING (question_id) WHERE length(c.text)>0)""", "ms AS (SELECT question_id FROM fused)", RANKED, ANSWERS)
+    + f"""SELECT question_id, CASE WHEN answered THEN excerpt ELSE {REFUSAL} END answer, CASE WHEN NOT answered THEN 'insufficient_evidence' END refusal_reason, CASE WHEN answered THEN round(score,6) ELSE 0 END confidence,
+  coalesce(n_evidence,0) n_evidence, CASE WHEN answered THEN citations ELSE '' END citations, CASE WHEN answered THEN snippets ELSE '' END snippets, CASE WHEN answered THEN selected_bucket END decision_bucket,
+  CASE WHEN answered THEN department END user_department, coalesce(n_evidence,0) merged, coalesce(n_evidence,0) filtered, round(coalesce(score,0),6) primary_score FROM ans""",
+    "vector_literals": """SELECT vec_id, '['||array_to_string(list_transform(embedding, lambda x: format('{:.12g}', CAST(x AS DOUBLE))), ',')||']' literal,
+  '['||array_to_string(list_transform(embedding, lambda x, i: format('{:.12g}', CAST(x AS DOUBLE) * pow(10.0::DOUBLE, (i-1)%20))), ',')||']' large,
+  '['||array_to_string(list_transform(embedding, lambda x, i: format('{:.12g}', CAST(x AS DOUBLE) / pow(10.0::DOUBLE, (i-1)%14))), ',')||']' small FROM embeddings""",
     "fts_rank": ctes(*BASE, QUESTIONS, FTS) + "SELECT question_id, section_id, round(score,6) score, rank FROM fts",
     "postings": ctes(*BASE, QUESTIONS, FTS) + "SELECT section_id, count(*) n_words, CAST(sum(n) AS BIGINT) n_positions, max(ps[-1]) last_position FROM occ GROUP BY section_id",
     "hybrid_fusion": ctes(*ASK) + """SELECT question_id, section_id, policy_id, round(score,6) score, round(vector_score,6) vector_score, round(fts_score,6) fts_score, round(authority_weight,6) authority_weight, round(recency_weight,6) recency_weight,
@@ -329,6 +338,13 @@ SELECT {uuid5(CATALOG_SPACE, "'section/'||upper(source)||'/'||cid")} section_id,
     "nested_versions": ctes(FACTS, NUMBERED) + "SELECT policy_id, policy_version_id, version_number, parse_status FROM numbered",
     "stream_ingest": ctes(DOCS, SECTIONS) + f"SELECT {uuid5(ID_SPACE, chr(39) + 'doc/' + chr(39) + '||doc_id')} policy_version_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id",
     "embed_backfill": ctes(*BASE) + "SELECT policy_id, count(*) inserted, 1.0::DOUBLE avg_norm FROM corpus WHERE section_id NOT IN (SELECT 'v'||vec_id||':0' FROM embeddings) GROUP BY policy_id",
+    "stream_counts": ctes(DOCS, SECTIONS) + """SELECT count(*) + count(*) FILTER (doc_id%3=0) scanned, count(*) FILTER (doc_id%3=0) skipped, count(*) inserted,
+  (SELECT count(*) FROM sections) sections, 0::BIGINT failed FROM documents""",
+    "backfill_counts": ctes(*BASE, REFS) + """SELECT 'embeddings' job, 'scanned' AS name, count(*) n FROM corpus
+UNION ALL SELECT 'embeddings', 'inserted', count(*) FROM corpus WHERE section_id NOT IN (SELECT 'v'||vec_id||':0' FROM embeddings)
+UNION ALL SELECT 'references', 'scanned', count(*) FROM rt JOIN facts USING (doc_id) WHERE parse_status='ready'
+UNION ALL SELECT 'references', 'inserted', CAST(sum(3 + 1 + CASE WHEN p.policy_id=rt.policy_id THEN 0 ELSE 1 END + CASE WHEN doc_id%7=0 THEN 0 ELSE 1 END) AS BIGINT)
+  FROM rt JOIN facts USING (doc_id) LEFT JOIN policies o ON o.policy_id=rt.policy_id LEFT JOIN policies p ON p.idx=rt.other AND p.tenant_id=o.tenant_id WHERE parse_status='ready'""",
     "stream_redelivery": ctes(DOCS, SECTIONS, """asked AS (
   SELECT doc_id, source, doc_id%3=0 again, (doc_id*7919)%100003 k, row_number() OVER (PARTITION BY source ORDER BY doc_id%3=0 DESC, (doc_id*7919)%100003 DESC, doc_id) rn FROM documents)""",
         "cut_up AS (SELECT doc_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id)")

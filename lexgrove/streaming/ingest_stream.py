@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexgrove.operators.embedding import Embedder
+from lexgrove.operators.observed import Counts, rows as passing
 from lexgrove.plans.ingest import parse_messages, process_versions
 from lexgrove.session import cut_lineage
 from lexgrove.sources.sinks import BUCKETS, exists, replace_versions
 
 
+REQUESTS = "requests"
+COUNTS = "scanned long, skipped long, inserted long, sections long, failed long"
+
+
 def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
     """JSON messages, one per line, with the time they were created (their arrival where missing)."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
@@ -29,8 +34,12 @@ def start_ingest_stream(
     ``versions`` or by an earlier micro-batch, keeps its sections, references and embeddings and only gets its
     current pointer again; any other is processed, and every write replaces the rows of just those versions.
     Requests for unknown versions go to the ``unknown`` table, bad messages to dead letters of their own stream.
+
+    What each micro-batch did is counted as it runs and stands in ``counts``; listeners get the number of messages
+    under the name ``requests``.
     """
     good, _ = parse_messages(read_messages(spark, messages, max_files))
+    good = good.observe(REQUESTS, passing().alias("messages"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         wanted = cut_lineage(batch.groupBy("policy_version_id").agg(F.max("created_at").alias("requested_at")))
@@ -42,7 +51,9 @@ def start_ingest_stream(
             done = spark.read.parquet(f"{out}/status").where(F.col("policy_version_id").isNotNull() & (F.col("parse_status") == "ready") & (F.col("batch_id") < batch_id))
             ready = done.select("policy_version_id", F.lit(True).alias("_ready"))
             mine = mine.join(ready, "policy_version_id", "left").withColumn("parse_status", F.when(F.col("_ready"), "ready").otherwise(F.col("parse_status"))).drop("_ready")
-        mine = cut_lineage(mine)
+        counts = Counts()
+        ready_now = F.col("parse_status") == "ready"
+        mine = cut_lineage(counts.at(mine, scanned=passing(), skipped=F.count_if(ready_now), inserted=F.count_if(~ready_now)))
         todo = cut_lineage(mine.where(F.col("parse_status") != "ready").select("policy_version_id"))
         result = process_versions(mine, texts, policies, embedder, model)
         unknown = wanted.join(versions, "policy_version_id", "left_anti").withColumn("batch_id", F.lit(batch_id))
@@ -56,7 +67,13 @@ def start_ingest_stream(
                     rows = rows.withColumnRenamed("source_policy_version_id", "policy_version_id")
                 if name == "status":
                     rows = rows.join(todo, "policy_version_id", "left_semi").withColumn("batch_id", F.lit(batch_id))
+                    rows = counts.at(rows, failed=F.count_if(F.col("parse_status") == "failed"))
+                if name == "sections":
+                    rows = counts.at(rows, sections=passing())
                 replace_versions(rows, todo, f"{out}/{name}", buckets)
+        seen = counts.get()
+        row = spark.createDataFrame([tuple(seen[c.split()[0]] for c in COUNTS.split(", "))], COUNTS).withColumn("batch_id", F.lit(batch_id))
+        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/counts")
 
     writer = good.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

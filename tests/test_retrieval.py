@@ -11,7 +11,7 @@ from lexgrove.operators import fulltext, ranking, vectors
 from lexgrove.operators.answers import REFUSAL_PHRASE, answer, has_citation, prompts
 from lexgrove.operators.fusion import HybridConfig, fuse, merge_sources
 from lexgrove.plans import corpus
-from lexgrove.plans.ask import ask
+from lexgrove.plans.ask import ask, retrieve
 
 FOUND = "question_id string, section_id string, policy_version_id string, policy_id string, score double, rank int"
 FACTS = "question_id string, section_id string, authority_level int, effective_date date, is_current boolean, department_scope string"
@@ -241,3 +241,28 @@ def test_plans_keep_pushdown_and_have_no_cross_join(spark, sf):
     f = fulltext.fts_topk(corpus.questions(spark, sf), corpus.sections(spark, sf).where(F.col("parse_status") == "ready"))
     plan = f._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
+
+
+def test_store_mode_raises_named_sections_and_keeps_the_order_of_others(spark):
+    sections = spark.createDataFrame(
+        [(f"s{i}", "p", "t", f"AC-{i}", i, None, None if i == 3 else f"text {i}", "all", 1, None, i != 1, "general") for i in range(5)],
+        "section_id string, policy_name string, title string, section_path string, section_index int, public_url string, text string, department_scope string, "
+        "authority_level int, effective_date date, is_current boolean, policy_type string",
+    )
+    vectors_ = spark.createDataFrame(
+        [(f"s{i}", f"v{i}", "p0", "a", i != 1, "general", [1.0, i / 10]) for i in range(5)] + [("s9", "v9", "p0", "b", True, "general", [1.0, 0.0])],
+        "section_id string, policy_version_id string, policy_id string, tenant_id string, is_current boolean, policy_type string, embedding array<float>",
+    )
+    questions = spark.createDataFrame(
+        [("named", "a", "what says ac-04?", "claims_ops", True, [1.0, 0.0]), ("plain", "a", "what is it?", "claims_ops", True, [1.0, 0.0]), ("blank", "a", "  ", None, True, [1.0, 0.0])],
+        "question_id string, tenant_id string, question string, department string, only_current boolean, vector array<double>",
+    )
+    found = retrieve(questions, sections, vectors_, "store")
+    order = {q: [r.section_id for r in found.where(F.col("question_id") == q).orderBy("rank").collect()] for q in ("named", "plain", "blank")}
+    # The section without a text goes; the one that is not current stays, as does its place.
+    assert order == {"named": ["s0", "s1", "s4", "s2"], "plain": ["s0", "s1", "s2", "s4"], "blank": []}
+    scores = {r.section_id: r.score for r in found.where("question_id = 'named'").collect()}
+    assert scores["s4"] == pytest.approx(0.99) and scores["s0"] == pytest.approx(1.0)
+    assert retrieve(questions, sections, None, "store").count() == 0
+    answer = {r.question_id: r for r in ask(questions, sections, vectors_, "store").collect()}
+    assert answer["plain"].answer.startswith("text 0") and answer["blank"].refusal_reason == "insufficient_evidence"

@@ -90,7 +90,10 @@ def test_vectors_below_zero_keep_their_order(spark):
     assert [(r.section_id, r.score) for r in vectors.vector_topk(q, v, 1).collect()] == [("b", 0.0)]
     found = spark.createDataFrame([("q", "see AC-2", "s1", "AC-1", 0.6, 1), ("q", "see AC-2", "s2", "AC-2", 0.5, 2)], "question_id string, question string, section_id string, section_path string, score double, rank int")
     assert {r.section_id: r["rank"] for r in vectors.boost_exact(found).collect()} == {"s1": 2, "s2": 1}
-    assert spark.range(1).select(vectors.vector_literal(F.array(F.lit(0.5), F.lit(-1.0)))).first()[0] == "[0.500000000000,-1.000000000000]"
+    numbers = [0.5, -1.0, 0.1, 1e-7, 1e20, 1e-9, 1e-13, -0.0, 0.0, 123456789012.4, 1234567890123.0, 0.0001, 0.00001234567890125, 0.1983642578125, 1 / 3, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(0, numbers), (1, None), (2, [])], "id int, v array<double>")
+    got = {r.id: r.t for r in rows.select("id", vectors.vector_literal(F.col("v")).alias("t")).collect()}
+    assert got == {0: "[" + ",".join(f"{x:.12g}" for x in numbers) + "]", 1: None, 2: "[]"}
 
 
 def test_repeated_writes(spark, tmp_path):
