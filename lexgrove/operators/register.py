@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from lexgrove.session import cut_lineage
 ID_SPACE = "6f1c3c0e-58a3-5b0d-9c43-0f6a3f1d2b7e"
 CONTENT_KEY = ["policy_id", "content_sha256", "metadata_sha256"]
 LABEL_KEY = ["policy_id", "version_label"]
+# Rows of one policy that are settled in one task, of some 200 bytes each.
+FOLD_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -81,14 +86,39 @@ def _drop_claimed(rows: DataFrame, used: DataFrame, labelled: bool, hot_rows: in
     return rows
 
 
-def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one policy in arrival order: each one whose keys are still free is accepted and takes them."""
+    rows = rows.sort_values("arrival_seq", kind="stable")
+    contents, labels, keep = set(), set(), []
+    for content, meta, label in zip(rows["content_sha256"], rows["metadata_sha256"], rows["version_label"]):
+        wins = (content, meta) not in contents and (label is None or label not in labels)
+        if wins:
+            contents.add((content, meta))
+            labels.add(label)
+        keep.append(wins)
+    return rows[np.array(keep, dtype=bool)]
+
+
+def _first_stretch(open_rows: DataFrame, fold_rows: int, hot_rows: int) -> DataFrame:
+    """``open_rows`` with ``now``: whether a row belongs to the first (some ``fold_rows``) rows of its policy."""
+    halves = [1 / 2**k for k in range(41)]
+    edges = F.percentile_approx("arrival_seq", halves, 10_000).alias("edges")
+    sizes = open_rows.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n"), F.max("arrival_seq").alias("last"), edges)
+    halvings = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / fold_rows))).cast("int"))
+    sizes = sizes.select("policy_id", "n", F.when(F.col("n") <= fold_rows, F.col("last")).otherwise(F.get("edges", halvings)).alias("edge"))
+    return salted_lookup(open_rows, sizes, ["policy_id"], "arrival_seq", "n", hot_rows).withColumn("now", F.col("arrival_seq") <= F.col("edge")).drop("n", "edge")
+
+
+def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Accept rows in arrival order so that no content key and no label is used twice per policy.
 
     ``keys``: arrival_seq, policy_id, content_sha256, metadata_sha256, version_label.
     ``taken``: the same keys of existing versions.
-    Without labels the first row of every free content key wins. With labels each round accepts
-    every open row that comes first for both of its keys and refuses the rows it blocks; rows
-    blocked by a refused row become first in a later round.
+    Without labels the first row of every free content key wins. With labels, rows that come first for both of their keys
+    are accepted at once, and the rows they block are refused. What is left hangs together in chains, where each row
+    waits for the one before: the first ``fold_rows`` of each policy are settled one after the other in one task, keys
+    they took are dropped from the rest, and so on. So the number of jobs follows from the size of the largest policy's
+    rest over ``fold_rows``, not from the length of a chain.
     """
     open_rows = keys
     labelled = not keys.where(F.col("version_label").isNotNull()).isEmpty()
@@ -99,7 +129,7 @@ def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
         first = F.min("arrival_seq").alias("arrival_seq")
         none = F.lit(None).cast("string").alias("version_label")
         return cut_lineage(open_rows.groupBy(*CONTENT_KEY).agg(first).select("arrival_seq", *CONTENT_KEY, none))
-    accepted = None
+    accepted = []
     while True:
         content = _first(open_rows, CONTENT_KEY, "first_content")
         label = _first(open_rows.where(F.col("version_label").isNotNull()), LABEL_KEY, "first_label")
@@ -110,10 +140,20 @@ def settle(keys: DataFrame, taken: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
         )
         ranked = cut_lineage(ranked.select(*keys.columns, wins.alias("wins")))
         new = ranked.where("wins").select(*keys.columns)
-        accepted = new if accepted is None else accepted.unionByName(new)
-        open_rows = cut_lineage(_drop_claimed(ranked.where(~F.col("wins")).select(*keys.columns), new, labelled, hot_rows))
-        if open_rows.isEmpty():
-            return accepted
+        accepted.append(new)
+        waiting = _drop_claimed(ranked.where(~F.col("wins")).select(*keys.columns), new, labelled, hot_rows)
+        waiting = cut_lineage(_first_stretch(waiting, fold_rows, hot_rows))
+        if waiting.isEmpty():
+            break
+        now = waiting.where("now").select(*keys.columns)
+        # At most some ``fold_rows`` rows of a policy meet in a task.
+        settled = cut_lineage(now.groupBy("policy_id").applyInPandas(_fold, now.schema))
+        accepted.append(settled)
+        later = waiting.where(~F.col("now")).select(*keys.columns)
+        if later.isEmpty():
+            break
+        open_rows = cut_lineage(_drop_claimed(later, settled, labelled, hot_rows))
+    return reduce(DataFrame.unionByName, accepted)
 
 
 def register(

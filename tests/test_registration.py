@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,49 @@ def test_progress_counts(spark):
     assert rows(status.batch_progress(items), "registered", "processing", "ready", "failed", "active", "is_complete") == [(3, 1, 1, 1, 1, False)]
     shapes = spark.createDataFrame([('{"counts":{"ready":3},"summary":{"ready":1,"failed":2}}',)], "p string")
     assert tuple(shapes.select(status.counts_of_payload(F.col("p")).alias("c")).first().c) == (0, 0, 1, 2)  # the last shape wins
+
+
+KEYS = "arrival_seq long, policy_id string, content_sha256 string, metadata_sha256 string, version_label string"
+
+
+def one_by_one(rows, taken=()):
+    contents, labels, out = {(r[1], r[2], r[3]) for r in taken}, {(r[1], r[4]) for r in taken if r[4] is not None}, []
+    for r in sorted(rows):
+        if (r[1], r[2], r[3]) in contents or (r[4] is not None and (r[1], r[4]) in labels):
+            continue
+        contents.add((r[1], r[2], r[3]))
+        labels.add((r[1], r[4]))
+        out.append(r[0])
+    return out
+
+
+def jobs_of(spark, run):
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "settle")
+    try:
+        got = run()
+        return got, len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_long_chain_of_clashes_takes_few_jobs(spark):
+    """Each row waits for the one before it: 10,000 deep."""
+    chain = [(i, "p", f"c{(i + 1) // 2}", "m", f"l{i // 2}") for i in range(10_000)]
+    frame = spark.createDataFrame(chain, KEYS)
+    run = lambda n: jobs_of(spark, lambda: sorted(r.arrival_seq for r in register.settle(frame.limit(n), frame.limit(0)).collect()))
+    few, jobs_of_few = run(1000)
+    many, jobs_of_many = run(10_000)
+    assert few == one_by_one(chain[:1000]) and many == one_by_one(chain)
+    # A round for every link would take thousands.
+    assert jobs_of_many <= jobs_of_few + 10 <= 100
+
+
+@pytest.mark.parametrize("fold_rows", [5, 10**6])
+def test_settling_equals_one_by_one(spark, fold_rows):
+    rng = random.Random(fold_rows)
+    rows = [(i, rng.choice("pq"), rng.choice("abcdefghij"), rng.choice("mn"), rng.choice([None, *"uvwxyz"])) for i in rng.sample(range(1000), 150)]
+    taken = [(0, "p", "a", "m", "u"), (0, "q", "z", "m", None)]
+    frame, used = spark.createDataFrame(rows, KEYS), spark.createDataFrame(taken, KEYS)
+    assert sorted(r.arrival_seq for r in register.settle(frame, used, fold_rows=fold_rows).collect()) == one_by_one(rows, taken)
+    assert register.settle(frame.limit(0), used, fold_rows=fold_rows).count() == 0
