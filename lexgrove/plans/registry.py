@@ -18,7 +18,7 @@ from lexgrove.operators.observed import Counts
 from lexgrove.plans import ask, corpus, ingest
 from lexgrove.scale import dimension_join, spread
 from lexgrove.session import cut_lineage, shared_dir
-from lexgrove.sources import sinks
+from lexgrove.sources import commits, sinks
 from lexgrove.streaming import ingest_stream, keyed, progress
 
 # No two vectors of the given table reach the default floor of 0.65 unless they are the same.
@@ -622,6 +622,24 @@ def nested_versions(spark, sf):
     return catalog.explode_versions(docs).select("policy_id", "policy_version_id", "version_number", "parse_status")
 
 
+def sink_commits(spark, sf):
+    """Sections in batches: one dies before its commit and runs again, twice; a third of the versions is replaced, some by nothing; then a new base."""
+    path = run_folder(spark, "commits")
+    s = corpus.raw_sections(spark, sf).select("policy_version_id", "section_id", F.length("text").cast("long").alias("n_chars"))
+    s = s.withColumn("n", F.substring("policy_version_id", 2, 20).cast("long"))
+    even, third = F.col("n") % 2 == 0, F.col("n") % 3 == 0
+    commits.replace(s.where(even), s.where(even), path, "even")
+    commits.write_batch(s.where(~even), s.where(~even), path)  # and no record
+    for _ in range(2):
+        commits.replace(s.where(~even), s.where(~even), path, "odd")
+    longer = s.where(third & (F.col("n") % 5 != 0)).withColumn("n_chars", F.col("n_chars") * 2)
+    commits.replace(longer, s.where(third), path, "again")
+    before = commits.read(spark, path).count()
+    commits.compact(spark, path)
+    out = commits.read(spark, path).groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_chars").alias("n_chars"))
+    return out.withColumn("before", F.lit(before).cast("long")).withColumn("left_over", F.lit(len(commits.obsolete(spark, path))).cast("long"))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -698,8 +716,8 @@ def stream_ingest(spark, sf):
     t = d.select(vid.alias("policy_version_id"), F.col("text"), F.lit(None).cast("string").alias("error"))
     message = F.concat(F.lit('{"type":"policy.process.requested","data":{"policy_version_id":"'), vid, F.lit('"},"created_at":"2024-01-01T00:00:00Z"}'))
     d.select(message.alias("value")).union(d.select(message.alias("value"))).write.text(f"{home}/messages")
-    ingest_stream.start_ingest_stream(spark, f"{home}/messages", v, t, p, f"{home}/out", f"{home}/state", max_files=1000, buckets=16).awaitTermination()
-    s = sinks.read_table(spark, f"{home}/out/sections", spark.read.parquet(f"{home}/out/sections"))
+    ingest_stream.start_ingest_stream(spark, f"{home}/messages", v, t, p, f"{home}/out", f"{home}/state", max_files=1000).awaitTermination()
+    s = commits.read(spark, f"{home}/out/sections")
     return s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
 
 
@@ -718,7 +736,7 @@ def _redelivered(spark, sf) -> str:
         # Upper-case ids, as some senders write them.
         message = F.concat(F.lit('{"type":"policy.process.requested","data":{"policy_version_id":"'), F.upper(vid), F.lit('"},"created_at":"'), created, F.lit('Z"}'))
         rows.select(message.alias("value"), F.xxhash64("doc_id").alias("h")).repartition(6, "h").select("value").write.mode("append").text(f"{home}/messages")
-        ingest_stream.start_ingest_stream(spark, f"{home}/messages", v, t, p, f"{home}/out", f"{home}/state", max_files=3, buckets=16).awaitTermination()
+        ingest_stream.start_ingest_stream(spark, f"{home}/messages", v, t, p, f"{home}/out", f"{home}/state", max_files=3).awaitTermination()
 
     send(d, "2024-01-01")
     send(d.where(F.col("doc_id") % 3 == 0), "2024-02-01")
@@ -734,9 +752,9 @@ def stream_counts(spark, sf):
 def stream_redelivery(spark, sf):
     """The state after requests came again."""
     home = _redelivered(spark, sf)
-    s = sinks.read_table(spark, f"{home}/out/sections", spark.read.parquet(f"{home}/out/sections"))
+    s = commits.read(spark, f"{home}/out/sections")
     s = s.groupBy("policy_version_id").agg(F.count(F.lit(1)).alias("n_sections"), F.max("end_offset").cast("long").alias("n_chars"))
-    done = spark.read.parquet(f"{home}/out/status").where(F.col("policy_version_id").isNotNull()).select("policy_version_id", "parse_status")
+    done = commits.read(spark, f"{home}/out/status").select("policy_version_id", "parse_status")
     current = ingest_stream.current_pointers(spark, f"{home}/out").select(F.col("current_version_id").alias("policy_version_id"), F.lit(True).alias("is_current"))
     out = done.join(s, "policy_version_id", "left").join(current, "policy_version_id", "left")
     return out.select("policy_version_id", F.coalesce("n_sections", F.lit(0).cast("long")).alias("n_sections"), "n_chars", "parse_status", F.coalesce("is_current", F.lit(False)).alias("is_current"))
@@ -807,7 +825,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dept_ranked, secondary_all, secondary_evidence, prompts, answer_card, evidence_packet, model_answers, audit_append, audit_replay, eval_report,
         eval_outcomes, refs_extracted, refs_resolved, refs_inbound, name_similarity, reference_backfill, page_text, page_links, link_manifest,
         link_expansion, page_documents, download_status, download_index, resume_report, slug_join, url_checks, metadata_hash, message_guard,
-        catalog_sections, catalog_policies, nested_versions, stream_progress, stream_throughput, stream_sliding,
+        catalog_sections, catalog_policies, nested_versions, sink_commits, stream_progress, stream_throughput, stream_sliding,
         stream_batch_status, stream_sessions, stream_ingest, stream_redelivery, stream_counts, process_current, process_items, registration_rejects,
         file_plan, request_fields,
     )

@@ -338,6 +338,8 @@ SELECT {uuid5(CATALOG_SPACE, "'section/'||upper(source)||'/'||cid")} section_id,
     "nested_versions": ctes(FACTS, NUMBERED) + "SELECT policy_id, policy_version_id, version_number, parse_status FROM numbered",
     "stream_ingest": ctes(DOCS, SECTIONS) + f"SELECT {uuid5(ID_SPACE, chr(39) + 'doc/' + chr(39) + '||doc_id')} policy_version_id, count(*) n_sections, max(end_offset) n_chars FROM sections GROUP BY doc_id",
     "embed_backfill": ctes(*BASE) + "SELECT policy_id, count(*) inserted, 1.0::DOUBLE avg_norm FROM corpus WHERE section_id NOT IN (SELECT 'v'||vec_id||':0' FROM embeddings) GROUP BY policy_id",
+    "sink_commits": ctes(DOCS, SECTIONS) + """SELECT policy_version_id, count(*) n_sections, CAST(sum(length(text)) * (CASE WHEN doc_id%3=0 THEN 2 ELSE 1 END) AS BIGINT) AS n_chars,
+  CAST(sum(count(*)) OVER () AS BIGINT) AS before, 4::BIGINT AS left_over FROM sections WHERE doc_id%15<>0 GROUP BY policy_version_id, doc_id""",
     "stream_counts": ctes(DOCS, SECTIONS) + """SELECT count(*) + count(*) FILTER (doc_id%3=0) scanned, count(*) FILTER (doc_id%3=0) skipped, count(*) inserted,
   (SELECT count(*) FROM sections) sections, 0::BIGINT failed FROM documents""",
     "backfill_counts": ctes(*BASE, REFS) + """SELECT 'embeddings' job, 'scanned' AS name, count(*) n FROM corpus

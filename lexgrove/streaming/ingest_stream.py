@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +10,7 @@ from lexgrove.operators.embedding import Embedder
 from lexgrove.operators.observed import Counts, rows as passing
 from lexgrove.plans.ingest import parse_messages, process_versions
 from lexgrove.session import cut_lineage
-from lexgrove.sources.sinks import BUCKETS, exists, replace_versions
+from lexgrove.sources import commits
 
 
 REQUESTS = "requests"
@@ -24,15 +24,25 @@ def read_messages(spark: SparkSession, path: str, max_files: int = 8) -> DataFra
     return lines.withColumn("created_at", F.coalesce(created, F.current_timestamp()))
 
 
+def _commit(rows: DataFrame, keys: DataFrame, path: str, batch: str, counted: dict[str, Column]) -> dict[str, int]:
+    """Commit ``rows`` and count them on the way; where the commit is already there, after a crash, they are counted alone."""
+    counts = Counts()
+    if commits.replace(counts.at(rows, **counted) if counted else rows, keys, path, batch):
+        return counts.get()
+    return rows.agg(*(c.alias(n) for n, c in counted.items())).first().asDict() if counted else {}
+
+
 def start_ingest_stream(
     spark: SparkSession, messages: str, versions: DataFrame, texts: DataFrame, policies: DataFrame, out: str, checkpoint: str,
-    embedder: Embedder | None = None, model: str = "default", max_files: int = 8, buckets: int = BUCKETS,
+    embedder: Embedder | None = None, model: str = "default", max_files: int = 8,
 ) -> StreamingQuery:
     """Process requested versions per micro-batch.
 
     No request is dropped for its age: what is done is read from the stored status. A version that is ready, in
     ``versions`` or by an earlier micro-batch, keeps its sections, references and embeddings and only gets its
-    current pointer again; any other is processed, and every write replaces the rows of just those versions.
+    current pointer again; any other is processed, and every write replaces the rows of just those versions, as
+    one commit of the micro-batch (see ``sources.commits``): a stream that dies between two tables runs its micro-batch
+    again and skips what was committed.
     Requests for unknown versions go to the ``unknown`` table, bad messages to dead letters of their own stream.
 
     What each micro-batch did is counted as it runs and stands in ``counts``; listeners get the number of messages
@@ -46,32 +56,36 @@ def start_ingest_stream(
         if wanted.isEmpty():
             return
         mine = versions.join(wanted, "policy_version_id")
-        if exists(spark, f"{out}/status"):
+        stored = commits.read(spark, f"{out}/status")
+        if stored is not None:
             # A repeated micro-batch does its own versions again.
-            done = spark.read.parquet(f"{out}/status").where(F.col("policy_version_id").isNotNull() & (F.col("parse_status") == "ready") & (F.col("batch_id") < batch_id))
+            done = stored.where((F.col("parse_status") == "ready") & (F.col("batch_id") < batch_id))
             ready = done.select("policy_version_id", F.lit(True).alias("_ready"))
             mine = mine.join(ready, "policy_version_id", "left").withColumn("parse_status", F.when(F.col("_ready"), "ready").otherwise(F.col("parse_status"))).drop("_ready")
         counts = Counts()
         ready_now = F.col("parse_status") == "ready"
         mine = cut_lineage(counts.at(mine, scanned=passing(), skipped=F.count_if(ready_now), inserted=F.count_if(~ready_now)))
+        seen = {"sections": 0, "failed": 0, **counts.get()}
+        # Numbers start again with another checkpoint, ids of queries do not.
+        commit = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         todo = cut_lineage(mine.where(F.col("parse_status") != "ready").select("policy_version_id"))
         result = process_versions(mine, texts, policies, embedder, model)
         unknown = wanted.join(versions, "policy_version_id", "left_anti").withColumn("batch_id", F.lit(batch_id))
-        replace_versions(unknown, unknown, f"{out}/unknown", buckets)
+        commits.replace(unknown, unknown, f"{out}/unknown", commit)
         pointers = result["current"].withColumn("batch_id", F.lit(batch_id))
         pointers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/current")
         for name in ("sections", "references", "embeddings", "status"):
             if result[name] is not None:
                 rows = result[name]
+                counted = {}
                 if name == "references":
                     rows = rows.withColumnRenamed("source_policy_version_id", "policy_version_id")
                 if name == "status":
                     rows = rows.join(todo, "policy_version_id", "left_semi").withColumn("batch_id", F.lit(batch_id))
-                    rows = counts.at(rows, failed=F.count_if(F.col("parse_status") == "failed"))
+                    counted = {"failed": F.count_if(F.col("parse_status") == "failed")}
                 if name == "sections":
-                    rows = counts.at(rows, sections=passing())
-                replace_versions(rows, todo, f"{out}/{name}", buckets)
-        seen = counts.get()
+                    counted = {"sections": passing()}
+                seen.update(_commit(rows, todo, f"{out}/{name}", commit, counted))
         row = spark.createDataFrame([tuple(seen[c.split()[0]] for c in COUNTS.split(", "))], COUNTS).withColumn("batch_id", F.lit(batch_id))
         row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/counts")
 

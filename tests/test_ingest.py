@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from lexgrove.operators import audit, catalog, downloads, embedding, evaluation, pages, register
 from lexgrove.plans import ingest
-from lexgrove.sources import files, sinks
+from lexgrove.sources import commits, files, sinks
 from lexgrove.streaming import ingest_stream
 
 VID = ["%08d-0000-4000-8000-000000000000" % i for i in range(6)]
@@ -47,9 +47,8 @@ def test_stream_is_idempotent_and_keeps_going_after_bad_messages(spark, tmp_path
     (box / "a.txt").write_text("\n".join([message(1), message(1), "garbage", message(3)]))
 
     def go(state):
-        ingest_stream.start_ingest_stream(spark, str(box), v, t, p, str(tmp_path / "out"), str(tmp_path / state), buckets=4).awaitTermination()
-        table = spark.read.parquet(str(tmp_path / "out/sections"))
-        return rows(sinks.read_table(spark, str(tmp_path / "out/sections"), table), "section_id")
+        ingest_stream.start_ingest_stream(spark, str(box), v, t, p, str(tmp_path / "out"), str(tmp_path / state)).awaitTermination()
+        return rows(commits.read(spark, str(tmp_path / "out/sections")), "section_id")
 
     want = rows(ingest.process_versions(v.where(F.col("policy_version_id").isin(VID[1], VID[3])), t, p)["sections"], "section_id")
     assert go("s1") == want
@@ -67,6 +66,29 @@ def test_replace_versions_removes_rows_of_emptied_versions(spark, tmp_path):
     assert rows(sinks.read_table(spark, path, spark.read.parquet(path)), "policy_version_id", "x") == [("b", 3)]
 
 
+def test_commits(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "policy_version_id string, x int"
+    table = lambda *data: spark.createDataFrame(list(data), schema)
+    now = lambda: sorted(map(tuple, commits.read(spark, path).collect()), key=str)
+    assert commits.read(spark, path) is None and commits.live(spark, path) == [] and commits.obsolete(spark, path) == []
+    assert commits.replace(table(("a", 1), ("a", 2), ("b", 3), (None, 9)), table(("a", 0), ("b", 0), (None, 0)), path, "first")
+    assert now() == [("a", 1), ("a", 2), ("b", 3)]
+    commits.write_batch(table(("a", 7)), table(("a", 7)), path)  # dies before its record
+    assert now() == [("a", 1), ("a", 2), ("b", 3)] and len(commits.obsolete(spark, path)) == 1
+    held = commits.read(spark, path)
+    assert commits.replace(table(("a", 7)), table(("a", 0)), path, "second") and not commits.replace(table(("a", 8)), table(("a", 0)), path, "second")
+    assert commits.replace(table(), table(("b", 0), ("c", 0)), path, "third")
+    assert now() == [("a", 7)] and held.count() == 3
+    wider = table(("d", 1)).withColumn("y", F.lit("new"))
+    assert commits.replace(wider, wider, path, "fourth", compact_after=3)
+    # The fourth made a new base; what came before is still there by number.
+    assert [c.kind for c in commits.live(spark, path)] == ["base"] and now() == [("a", 7, None), ("d", 1, "new")]
+    assert sorted(map(tuple, commits.as_of(spark, path, 1).collect())) == [("a", 7), ("b", 3)]
+    assert commits.replace(table(("a", 5)), table(("a", 0)), path, "fifth") and now() == [("a", 5, None), ("d", 1, "new")]
+    written = sum(spark.read.parquet(str(d / "rows")).count() for d in (tmp_path / "t/batches").iterdir())
+    assert written == 3 + 1 + 1 + 0 + 1 + 2 + 1  # each batch once, the base once
+
+
 def test_append_new_ignores_known_keys(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, x int")

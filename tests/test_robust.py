@@ -12,7 +12,7 @@ from lexgrove.functions import ids
 from lexgrove.operators import audit, fusion, status, vectors
 from lexgrove.operators.references import backfill_counts
 from lexgrove.plans import registry
-from lexgrove.sources import files, sinks
+from lexgrove.sources import commits, files, sinks
 from lexgrove.streaming import ingest_stream, progress
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -32,14 +32,14 @@ def test_stream_keeps_late_requests_and_ready_versions(spark, tmp_path):
     messages.mkdir()
 
     def run():
-        ingest_stream.start_ingest_stream(spark, str(messages), v, t, p, out, str(tmp_path / "state"), max_files=1, buckets=4).awaitTermination()
+        ingest_stream.start_ingest_stream(spark, str(messages), v, t, p, out, str(tmp_path / "state"), max_files=1).awaitTermination()
 
     for n, pair in enumerate([(0, "10:00"), (1, "12:30"), (2, "09:00")]):
         (messages / f"{n}.json").write_text(requests(pair))
         run()
     (messages / "again.json").write_text(requests((0, "13:00"), (3, "13:01"), (4, "13:02")).replace(VERSIONS[0], VERSIONS[0].upper()))
     run()
-    read = lambda name: spark.read.parquet(f"{out}/{name}").where("policy_version_id is not null")
+    read = lambda name: commits.read(spark, f"{out}/{name}")
     assert sorted(r.policy_version_id for r in read("sections").collect()) == VERSIONS[:3]
     assert {r.policy_version_id: r.parse_status for r in read("status").collect()} == {**dict.fromkeys(VERSIONS[:3], "ready"), VERSIONS[3]: "failed"}
     assert [r.policy_version_id for r in read("unknown").collect()] == [VERSIONS[4]]
