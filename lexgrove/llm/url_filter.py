@@ -77,6 +77,8 @@ class DigestFile:
         self.offsets = data[16 + 8 * n : 24 + 16 * n].view("<u8")
         self.kinds = data[24 + 16 * n : 24 + 17 * n]
         self.strings = data[24 + 17 * n :]
+        #: Bytes of the longest key; no longer string needs to be looked up.
+        self.longest = int(np.diff(self.offsets).max()) if n else 0
 
     def probe(self, digests: np.ndarray, keys: list[bytes]) -> np.ndarray:
         """Kind of each key, -1 where it is not listed: LISTED, or the strictest rule of equal keys."""
@@ -137,17 +139,17 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def probes(host: str, path: str) -> list[str]:
-    """Every host suffix with every path prefix that ends with ``/``."""
-    names, at = [host], host.find(".")
-    while at >= 0:
+def probes(host: str, path: str, most: int) -> list[str]:
+    """Every host suffix with every path prefix that ends with ``/``, as far as a key of at most ``most`` bytes can be equal to it."""
+    names, at = [host] if len(host) <= most else [], host.rfind(".")
+    while at >= 0 and len(host) - at - 1 <= most:
         names.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    heads, at = [], path.find("/")
+        at = host.rfind(".", 0, at)
+    heads, at = [], path.find("/", 0, most)
     while at >= 0:
         heads.append(path[: at + 1])
-        at = path.find("/", at + 1)
-    return [n + h for n in names for h in heads]
+        at = path.find("/", at + 1, most)
+    return [n + h for n in names for h in heads if len(n) + len(h) <= most]
 
 
 def judge_urls(pages: DataFrame, files: list[str], url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -155,12 +157,13 @@ def judge_urls(pages: DataFrame, files: list[str], url: str = "url", keep: tuple
     python_batches(pages.sparkSession, 10_000)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = max((_opened(f).longest for f in files), default=0)
         for pdf in batches:
             parts = [split_url(u) for u in pdf["_url"]]
             tried: list[str] = []
             owner: list[int] = []
             for i, (host, path) in enumerate(parts):
-                own = probes(host, path)
+                own = probes(host, path, most)
                 tried += own
                 owner += [i] * len(own)
             raw = [t.encode() for t in tried]
