@@ -286,7 +286,13 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, pair_limi
 
 
 def near_dedup(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with the first document of each group only; columns as given. Fully repeated rows are one document."""
+    """``docs`` with the first document of each group only; columns as given. Of rows that share id and text one stays."""
     gone = similar_groups(docs, size, least).where("not keep").select("id", "row")
     keyed = docs.select(F.struct(*docs.columns).alias("whole"), id_key().alias("id"), F.xxhash64(utf8()).alias("row"))
-    return keyed.join(gone, ["id", "row"], "left_anti").select("whole.*")
+    kept = keyed.join(gone, ["id", "row"], "left_anti")
+    # Texts of such rows alone are brought together, reduced before the shuffle.
+    again = stored(keyed.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "row"), "repeated-rows")
+    if again.isEmpty():
+        return kept.select("whole.*")
+    one = kept.join(again, ["id", "row"], "left_semi").groupBy("id", "row").agg(F.min_by("whole", F.xxhash64(F.to_json("whole"))).alias("whole"))
+    return kept.join(again, ["id", "row"], "left_anti").select("whole.*").union(one.select("whole.*"))
