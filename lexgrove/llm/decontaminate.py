@@ -80,12 +80,8 @@ def _bent(start: Column, step: int) -> Column:
     return best - 1 if step > 0 else best
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, at, n_words, n_equal, similarity): the best place of each item in each contaminated document.
-
-    ``at`` is the word position in the document at which the item would begin (below 0 when its head is cut off),
-    ``n_equal`` the equal words over the whole item at this distance and ``similarity`` the share of equal words in the best window.
-    """
+def _places(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc, row, item, at, n_words, n_equal, similarity): all places; ``row`` tells texts under one id apart."""
     items = benchmark.select(id_key("item_id").alias("item"), words().alias("w")).where((F.size("w") >= SPAN) & (F.get("w", F.lit(0)) != "")).distinct()
     run = F.get(F.array(*[F.lit(m) for m in RUNS]), F.least(F.size("w"), F.lit(WINDOW)) - SPAN)
     items = stored(items.select("item", "w", F.xxhash64("item", "w").alias("key"), run.alias("run")), "items")
@@ -105,19 +101,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal = lambda shift: F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.coalesce(F.get("c", j + shift + 2) == F.get("v", j), F.lit(False)).cast("int"))
     # ``inline`` keeps what was computed; filters beyond it do not compute it again.
     once = lambda **c: F.inline(F.array(F.struct(*[x.alias(name) for name, x in c.items()])))
-    both = both.select("doc", "item", "hit", F.size("v").alias("n_words"), wide.alias("wide"), "v", once(c=reach))
+    both = both.select("doc", "row", "item", "hit", F.size("v").alias("n_words"), wide.alias("wide"), "v", once(c=reach))
     # Words equal at any of the five distances: where they are too few, no window can reach LEAST.
     some = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda j: F.coalesce(F.array_contains(F.slice("c", j + 1, 5), F.get("v", j)), F.lit(False)).cast("int"))
     both = both.where(_total(some) >= F.col("wide") * LEAST - 1e-9)
-    both = both.select("doc", "item", "hit", "n_words", "wide", once(**{f"e{k + 2}": equal(k) for k in range(-2, 3)}))
+    both = both.select("doc", "row", "item", "hit", "n_words", "wide", once(**{f"e{k + 2}": equal(k) for k in range(-2, 3)}))
     # The hit may lie right of an added or dropped word, so its neighbours are looked at as left sides as well.
     sides = F.array(*[F.struct((F.col("hit") + k - 2).alias("at"), F.col(f"e{k - 1}").alias("before"), F.col(f"e{k}").alias("eq"), F.col(f"e{k + 1}").alias("after")) for k in (1, 2, 3)])
-    both = both.select("doc", "item", "n_words", "wide", F.inline(sides))
+    both = both.select("doc", "row", "item", "n_words", "wide", F.inline(sides))
     window = lambda s: F.greatest(_total(F.slice("eq", s, F.col("wide"))), _bent(s - 1, 1), _bent(s - 1, -1))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_words") - F.col("wide") + 1), window))
-    scored = both.select("doc", "item", "at", "n_words", _total(F.col("eq")).alias("n_equal"), (best / F.col("wide")).alias("similarity"))
-    found = scored.where(F.col("similarity") >= LEAST)
-    top = found.groupBy("doc", "item").agg(F.max(F.struct("similarity", "n_equal", (-F.col("at")).alias("back"), "n_words")).alias("t"))
+    scored = both.select("doc", "row", "item", "at", "n_words", _total(F.col("eq")).alias("n_equal"), (best / F.col("wide")).alias("similarity"))
+    return scored.where(F.col("similarity") >= LEAST)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, at, n_words, n_equal, similarity): the best place of each item in each contaminated document.
+
+    ``at`` is the word position in the document at which the item would begin (below 0 when its head is cut off),
+    ``n_equal`` the equal words over the whole item at this distance and ``similarity`` the share of equal words in the best window.
+    """
+    top = _places(docs, benchmark).groupBy("doc", "item").agg(F.max(F.struct("similarity", "n_equal", (-F.col("at")).alias("back"), "n_words")).alias("t"))
     return top.select(
         id_back("doc").alias("doc_id"), id_back("item").alias("item_id"), (-F.col("t.back")).cast("long").alias("at"), F.col("t.n_words").cast("long").alias("n_words"),
         F.col("t.n_equal").cast("long").alias("n_equal"), F.col("t.similarity").alias("similarity"),
@@ -125,7 +129,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns as given."""
-    found = stored(overlaps(docs, benchmark).select(id_key().alias("id")).distinct(), "contaminated")
-    keyed = docs.select(F.struct(*docs.columns).alias("whole"), id_key().alias("id"))
-    return keyed.join(_bounded(found, MAX_DOCS), "id", "left_anti").select("whole.*")
+    """``docs`` without the documents that hold a benchmark item; columns as given.
+
+    Rows go by id and text, so a clean text under a missing or repeated id stays.
+    """
+    found = stored(_places(docs, benchmark).select(F.col("doc").alias("id"), "row").distinct(), "contaminated")
+    keyed = docs.select(F.struct(*docs.columns).alias("whole"), id_key().alias("id"), F.xxhash64("text").alias("row"))
+    return keyed.join(_bounded(found, MAX_DOCS), ["id", "row"], "left_anti").select("whole.*")

@@ -747,3 +747,31 @@ def test_collocation_counts_and_paths(spark):
     counts, total = collocations.phrase_counts(frame, 4)
     assert {(r.lang, r.phrase): r.f for r in counts.collect()} == {p: c for p, c in counted.items() if c >= 4}
     assert counts.count() == counts.select("lang", "phrase").distinct().count()
+
+
+# --- rows that share an id, very long URLs ---------------------------------------------------
+
+
+def test_of_fully_repeated_rows_one_stays(spark):
+    text, other = words(60, "abcdefgh"), words(60, "ijklmnop")
+    rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, text, "de", "s", 1), (None, other, "en", "s", 1), (None, other, "en", "s", 1), (None, words(60, "qrstuvw"), "en", "s", 1), (7, None, "en", "s", 1)]
+    got = simhash.near_dedup(clashing(spark.createDataFrame(rows, DOCS)))
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == [(5, text), (7, None)]
+    assert got.where("doc_id is null").count() == 2
+
+
+def test_clean_texts_under_a_contaminated_id_stay(spark):
+    item, clean = words(20, "abcdefgh"), words(40, "ijklmnop")
+    rows = [(None, f"x {item} y"), (None, clean), (3, item), (3, clean), (4, clean)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, clean), (3, clean), (4, clean)], key=str)
+
+
+def test_very_long_urls(spark):
+    keys = spark.createDataFrame([("com/", url_filter.BLOCK), ("a.b.com/x/", url_filter.ALLOW)], "key string, kind int")
+    urls = {"http://a.b.com/x/" + "y/" * 200_000: "allow", "http://" + "a." * 200_000 + "com/" + "z/" * 100_000: "block", "http://a.b.com/xx/": "block", "http://" + "a/" * 100_000: "allow"}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, url_filter.build_digests(keys)).select("page_id", "verdict").collect()}
+    assert [got[i] for i in range(4)] == list(urls.values())
+    assert url_filter.probes("a.b.com", "/x/y/", 10) == ["a.b.com/", "a.b.com/x/", "com/", "com/x/", "com/x/y/", "b.com/", "b.com/x/", "b.com/x/y/"]
