@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "version_lineage", "current_versions", "section_chunks", "clean_lines", "extracted_documents", "batch_status", "batch_progress", "vector_topk",
     "id_boost", "refs_extracted", "name_similarity", "page_links", "page_documents", "download_index", "url_checks", "message_guard", "request_fields",
-    "stream_throughput",
+    "stream_throughput", "stream_sliding", "stream_sessions", "backfill_counts", "vector_literals", "answers_by_id", "sink_commits",
 ]
 
 
