@@ -1,12 +1,14 @@
-"""Benchmark decontamination by seeds that no accepted copy lacks; DataFrame functions only.
+"""Benchmark decontamination by spaced seeds that no accepted copy lacks; DataFrame functions only.
 
 Texts are lower-cased and cut at white space. A document is contaminated by an item when, in some window of ``WINDOW``
 item words (the whole item, if shorter), at least ``LEAST`` of the words are equal at the same distance, or at two
 neighbouring distances, one left and one right of a single added or dropped word, which counts as an unequal one.
 
-Such a window of n words has at most m unequal ones, so some run of ceil((n - m) / (m + 1)) words is equal: ``MASKS``
-by length. Runs of that length of documents and items are hashed and joined; every hit fixes a distance, on which (and
-beside which) the words of document and item are compared one by one.
+Seeds are spaced: a mask names the word positions that are hashed, the positions between them may hold any word. Each
+item length has one mask (``SEED_OF``) that fits somewhere on the equal words of every accepted pattern of substitutions,
+and wholly left or right of an added or dropped word. Lengths of which an accepted copy may be left with two pairs of
+words (5), or with nothing changed (4 and fewer), take the words without a space. Hashes of documents and items are
+joined; every hit fixes a distance, on which (and beside which) the words of document and item are compared one by one.
 
 Null or empty texts on either side match nothing; repeated rows are compared alike and reported once; rows with a null
 doc_id or item_id take part and are reported with null. Items of one to four words match as a whole only.
@@ -14,7 +16,6 @@ doc_id or item_id take part and are reported with null. Items of one to four wor
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,9 @@ from lexgrove.scale import fits
 
 # Fewest words of an item.
 SPAN = 1
-MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+# Hashed positions of each mask, and the mask of items of 1, 2, ... WINDOW words; a test enumerates all accepted patterns.
+MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 1, 3), (0, 1, 3, 4))
+SEED_OF = (0, 1, 2, 3, 1, 4, 4, 5, 5, 5, 5, 6, 6)
 WINDOW = 13
 LEAST = 0.8
 # Broadcast bounds: seeds of 16 bytes, document keys of 16 bytes.
@@ -37,24 +40,14 @@ def words(text: str = "text") -> Column:
     return F.split(F.btrim(F.lower(F.col(text)), F.lit(" \t\n\r\f\u000b")), "\\s+")
 
 
-def run_length(n: int) -> int:
-    """Words of the longest equal run that every accepted copy of an item of ``n`` words holds."""
-    wide = min(n, WINDOW)
-    least = math.ceil(LEAST * wide - 1e-9)
-    return -(-least // (wide - least + 1))
-
-
-RUNS = tuple(run_length(n) for n in range(SPAN, WINDOW + 1))
-
-
-def _windows(rows: DataFrame, keys: list[str], runs: list[int]) -> DataFrame:
-    """One row per run of each of ``runs`` lengths: its length m, its position and its hash."""
+def _windows(rows: DataFrame, keys: list[str], masks: list[int]) -> DataFrame:
+    """One row per place of each of ``masks``: the mask's number m, the place and the hash of the words under it."""
     each = []
-    for m in runs:
-        n = F.size("w") - m + 1
-        parts = [F.slice("w", o + 1, n).alias(f"w{o}") for o in MASKS[m - 1]]
-        names = [f"w{o}" for o in MASKS[m - 1]]
-        opened = rows.where(F.size("w") >= m).select(*keys, F.inline(F.arrays_zip(*parts, F.sequence(F.lit(0), n - 1).alias("at"))).alias(*names, "at"))
+    for m in masks:
+        n = F.size("w") - MASKS[m][-1]
+        names = [f"w{o}" for o in MASKS[m]]
+        parts = [F.slice("w", o + 1, n).alias(name) for o, name in zip(MASKS[m], names)]
+        opened = rows.where(n >= 1).select(*keys, F.inline(F.arrays_zip(*parts, F.sequence(F.lit(0), n - 1).alias("at"))).alias(*names, "at"))
         each.append(opened.select(*keys, "at", F.lit(m).alias("m"), F.xxhash64(*names).alias("h")))
     return reduce(DataFrame.union, each)
 
@@ -83,16 +76,16 @@ def _bent(start: Column, step: int) -> Column:
 def _places(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc, row, item, at, n_words, n_equal, similarity): all places; ``row`` tells texts under one id apart."""
     items = benchmark.select(id_key("item_id").alias("item"), words().alias("w")).where((F.size("w") >= SPAN) & (F.get("w", F.lit(0)) != "")).distinct()
-    run = F.get(F.array(*[F.lit(m) for m in RUNS]), F.least(F.size("w"), F.lit(WINDOW)) - SPAN)
-    items = stored(items.select("item", "w", F.xxhash64("item", "w").alias("key"), run.alias("run")), "items")
-    runs = sorted(r.run for r in items.select("run").distinct().collect()) or [1]
-    seeds = stored(_windows(items, ["item", "key", "run"], runs).where("m = run").drop("run").distinct(), "seeds")
+    mask = F.get(F.array(*[F.lit(m) for m in SEED_OF]), F.least(F.size("w"), F.lit(WINDOW)) - 1)
+    items = stored(items.select("item", "w", F.xxhash64("item", "w").alias("key"), mask.alias("mask")), "items")
+    masks = sorted(r.mask for r in items.select("mask").distinct().collect()) or [0]
+    seeds = stored(_windows(items, ["item", "key", "mask"], masks).where("m = mask").drop("mask").distinct(), "seeds")
     rows = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("row"), F.col("text").alias("text"))
     marks = _bounded(seeds.select("m", "h").distinct(), MAX_SEEDS)
     # First pass: which documents share any seed. Only their texts are looked at again.
-    touched = stored(_windows(rows.select("doc", "row", words().alias("w")), ["doc", "row"], runs).join(marks, ["m", "h"], "left_semi").select("doc", "row").distinct(), "touched")
+    touched = stored(_windows(rows.select("doc", "row", words().alias("w")), ["doc", "row"], masks).join(marks, ["m", "h"], "left_semi").select("doc", "row").distinct(), "touched")
     again = stored(rows.join(_bounded(touched, MAX_DOCS), ["doc", "row"], "left_semi").select("doc", "row", words().alias("w")).dropDuplicates(["doc", "row"]), "touched-texts")
-    hits = _windows(again, ["doc", "row"], runs).join(_bounded(seeds.select("m", "h", "item", "key", F.col("at").alias("j")), MAX_SEEDS), ["m", "h"])
+    hits = _windows(again, ["doc", "row"], masks).join(_bounded(seeds.select("m", "h", "item", "key", F.col("at").alias("j")), MAX_SEEDS), ["m", "h"])
     places = hits.select("doc", "row", "item", "key", (F.col("at") - F.col("j")).alias("hit")).distinct()
     both = places.join(again, ["doc", "row"]).join(_bounded(items.select("item", "key", F.col("w").alias("v")), MAX_SEEDS // 10), ["item", "key"])
     wide = F.least(F.size("v"), F.lit(WINDOW))

@@ -421,10 +421,6 @@ def test_decontamination_equals_brute_force(spark, none):
         rows.append((k, " ".join(text).upper() if k % 3 else "\n".join(text)))
     rows += [(60, None), (61, ""), (None, items[1][1]), (62, items[1][1] + " " + items[1][1])]
 
-    def seeded(w, v, d):
-        at = range(max(0, -d), min(len(v), len(w) - d) - decontaminate.SPAN + 1)
-        return any(all(w[d + j + o] == v[j + o] for o in m) for j in at for m in decontaminate.MASKS)
-
     want = {}
     for i, t in rows:
         w = (t or "").lower().split()
@@ -436,7 +432,7 @@ def test_decontamination_equals_brute_force(spark, none):
             for d in range(-len(v), len(w)):
                 eq = [0 <= d + j < len(w) and w[d + j] == v[j] for j in range(len(v))]
                 best = max(sum(eq[s0 : s0 + wide]) for s0 in range(len(v) - wide + 1)) / wide
-                if best >= decontaminate.LEAST and seeded(w, v, d):
+                if best >= decontaminate.LEAST:
                     want[i, k] = max(want.get((i, k), (0,)), (best, sum(eq), -d, len(v)))
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string")).unionByName(clashing(spark.createDataFrame(rows[:9], "doc_id long, text string")))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
@@ -448,6 +444,22 @@ def test_decontamination_equals_brute_force(spark, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_every_accepted_pattern_holds_a_spaced_seed():
+    for n in range(1, decontaminate.WINDOW + 1):
+        need = -(-8 * n // 10)
+        mask = decontaminate.MASKS[decontaminate.SEED_OF[n - 1]]
+        sides = [(range(n),)] + [(range(c), range(c + 1, n)) for c in range(n)] + [(range(c), range(c, n)) for c in range(n + 1)]
+        for parts in sides:
+            # A dropped word is unequal as it is, an added one costs one more equal word.
+            words_ = [j for part in parts for j in part]
+            least = need + (len(parts) == 2 and len(words_) == n)
+            for lost in range(max(-1, len(words_) - least) + 1):
+                for other in combinations(words_, lost):
+                    equal = [{j for j in part if j not in other} for part in parts]
+                    assert any(all(s0 + o in e for o in mask) for e in equal for s0 in range(n)), (n, parts, other)
+    assert sum(decontaminate.MASKS[decontaminate.SEED_OF[n - 1]][-1] >= len(decontaminate.MASKS[decontaminate.SEED_OF[n - 1]]) for n in range(6, 14)) == 8
+
+
 def test_decontamination_of_quotes_gaps_and_short_items(spark):
     items = {k: [f"i{k}x{j}" for j in range(n)] for k, n in enumerate((39, 59, 15, 17, 25, 7, 6, 5, 4, 3, 2, 1))}
     around = lambda w: " ".join([*words(30).split(), *w, *words(30).split()])
