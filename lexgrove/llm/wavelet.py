@@ -10,8 +10,8 @@ Encoding is by the tokenizers library. White space ends every token of this toke
 the ids of each piece are kept in a bounded memory of the worker; plain words go to the library's BPE model directly,
 everything else through its whole pipeline.
 
-Nulls: a null text is empty and holds the end id only; a null doc_id sorts first. Rows of equal doc_id keep
-an order within one shard sequence and count one after the other. An empty table gives no shards and no rows.
+Nulls: a null text is empty and holds the end id only; a null doc_id sorts first. Rows of equal doc_id come
+in the order of their texts' hashes and count one after the other. An empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -279,7 +279,9 @@ def encoder_of(path: str) -> Encoder:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards (part, seq, first_id, n_docs, n_tokens, shard) below ``folder``."""
     python_batches(docs.sparkSession)
-    rows = docs.select(id_key().alias("id"), utf8().alias("t")).repartitionByRange("id").sortWithinPartitions("id")
+    keyed = docs.select(id_key().alias("id"), utf8().alias("t"), F.xxhash64(utf8()).alias("h"))
+    # Texts of one id are ordered among themselves, so one id may fill several ranges.
+    rows = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
@@ -322,7 +324,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
     sizes = shards.select("part", "seq", "first_id", "n_tokens")
     parts = sizes.groupBy("part").agg(F.min("first_id").alias("first"), F.sum("n_tokens").alias("all"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # one row per task that wrote
+    before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task that wrote
     parts = parts.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("shard_start")).join(parts, "part")

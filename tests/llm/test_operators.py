@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from itertools import combinations, repeat
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexgrove.llm import bag_ranking, collocations, components, crf, decontaminate, language_crf, line_spread, personal_data, piece_codec, queries, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
+from lexgrove.llm import bag_ranking, collocations, components, crf, decontaminate, language_crf, line_spread, personal_data, piece_codec, queries, queries_sql, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -142,6 +143,15 @@ def test_corpus_ids(spark, docs, none):
     assert wavelet.corpus_ids(none, WORD_FILE).count() == 0
 
 
+def test_texts_of_one_id_have_an_order(spark):
+    rows = [(None if k % 2 else 7, words(1 + k % 30)) for k in range(200)]
+    one, other = (spark.createDataFrame(r, "doc_id long, text string").repartition(n) for r, n in ((rows, 3), (rows[::-1], 7)))
+    got = [table(wavelet.corpus_ids(d, WORD_FILE, shard_tokens=200), "doc_id", "start", "n_tokens", "ids_crc32") for d in (one, other)]
+    assert got[0] == got[1] and len(got[0]) == 200
+    starts = sorted((s, n) for _, s, n, _ in got[0])
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:]))
+
+
 # --- pieces ----------------------------------------------------------------------------------
 
 
@@ -526,13 +536,21 @@ def test_vector_topk_equals_brute_force(spark):
 
 def test_vector_topk_of_repeated_rows(spark):
     r = np.random.default_rng(6)
-    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
-    once = vector_topk.scaled(df)
-    many = vector_topk.scaled(df.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("vec_id") % 3 == 0, 6).otherwise(2)))))
-    want = table(vector_topk.top_k(once, once.where("vec_id % 50 = 0")), "query_id", "rank", "vec_id", "score")
+    vectors = r.normal(size=(300, 8))
+    copies = [(6 if i % 3 == 0 else 2) for i in range(300)]
+    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(300) for _ in range(copies[i])], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * vectors).astype(np.int64)
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(300) if i != q for _ in range(copies[i]))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    scaled = vector_topk.scaled(df)
     for rows in (10**6, 50):
-        got = vector_topk.top_k(many, many.where("vec_id % 50 = 0"), slice_rows=rows)
-        assert len(want) == 30 and table(got, "query_id", "rank", "vec_id", "score") == want
+        got = vector_topk.top_k(scaled, scaled.where("vec_id % 50 = 0"), slice_rows=rows)
+        assert table(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    with duckdb.connect() as db:
+        db.register("embeddings", df.toPandas())
+        assert sorted(db.sql(queries_sql.ORACLE["op9_vector_topk"]).project("query_id, rank, vec_id, score").fetchall(), key=str) == sorted(want, key=str)
 
 
 def test_vector_topk_of_large_components(spark):
@@ -550,6 +568,15 @@ def test_approximation_prunes_most_vectors():
     q, i, s = vector_topk.scan_slice(np.arange(2000), vectors, np.array([-1]), vectors[:1], 3)
     assert s.tolist() == sorted((vectors @ vectors[0]).tolist(), reverse=True)[:3] and i[0] == 0
 
+    # The kth score is carried along: at 64 components few exact vectors are read.
+    many, reads = (r.normal(size=(40_000, 64)) * 300).astype(np.int64), []
+    q, i, s = vector_topk.scan_slice(np.arange(40_000), many, np.arange(20), many[:20], 5, reads=reads)
+    for k in range(20):
+        exact = many @ many[k]
+        exact[k] = np.iinfo(np.int64).min
+        assert s[q == k].tolist() == sorted(exact.tolist(), reverse=True)[:5]
+    assert reads[0] < 0.1 * 20 * 40_000
+
 
 # --- lines -----------------------------------------------------------------------------------
 
