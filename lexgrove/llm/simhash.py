@@ -19,6 +19,7 @@ they are named by null and never name a group that has another id. Repeated rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -46,6 +47,8 @@ LOOSE = 0.6
 BLOCKS = 8
 # Members of one component under one shingle are kept in so many lists.
 CELLS = 16
+# Shingles whose counts order the prefixes: the most frequent ones, 8 bytes each; any order gives the same pairs.
+FREQUENT = 100_000
 # Texts named by a broadcast, 24 bytes each.
 MAX_NODES = 1_000_000
 ORDERS = [2 * xxhash.xxh32_intdigest(f"order {i}") + 1 for i in range(2 * BLOCKS)]
@@ -213,24 +216,45 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return counted.where(F.col("common") / (F.col("n") - F.col("common")) >= least).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
+    """(node, root, n, rest, h): the first n - ceil(least * n) + 1 shingles of each set, those of ``frequent`` last.
+
+    ``rest`` is how many shingles of the set come no earlier than ``h``.
+    """
+    by_value = np.argsort(frequent, kind="stable")
+    values = frequent[by_value]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, rests, cut = [], [], []
+            for h in (x.values.to_numpy() for x in b.column(2)):
+                place = np.full(len(h), -1, np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                    place = np.where(values[at] == h, by_value[at], -1)
+                first = np.lexsort((h, place))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
+                cut.append(h[first])
+                rests.append(np.arange(len(h), len(h) - len(first), -1))
+                sizes.append(np.full(len(first), len(h)))
+            opened = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+            columns = [b.column(0).take(pa.array(opened)), b.column(1).take(pa.array(opened)), flat(sizes), flat(rests), flat(cut)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "n", "rest", "h"])
+
+    return sets.select("node", "root", "h").mapInArrow(work, "node long, root long, n long, rest long, h long")
+
+
 def _crowd_pairs(sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b) in different components of ``roots`` (node, root) that may reach ``least`` among ``sets``; none is missed.
 
     Prefix filter: with all shingles in one order, two texts that reach ``least`` share one of the first
-    n - ceil(least * n) + 1 of each. The order is by number of texts, rarest first, so a passage that many texts
-    hold comes last. Members of a component meet its other members nowhere. At their first common shingle
-    the rest of the shorter list must still be long enough.
+    n - ceil(least * n) + 1 of each. The order puts the ``FREQUENT`` most frequent shingles last, the most frequent at
+    the very end, so that passages of many texts are seldom among the first. Members of a component meet its other
+    members nowhere. At a common shingle the rest of the shorter list must still be long enough.
     """
-    opened = sets.select("node", F.size("h").alias("n"), F.explode("h").alias("h"))
-    often = stored(opened.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "crowd-shingles")
-    held = salted_lookup(opened, often, ["h"], "node", "m", hot_rows=HOT_ROWS, how="inner")
-    lists = held.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "h"))).alias("o"))
-    # Shingles of one text only come first in the order, and meet nothing.
-    alone = (F.col("n") - F.size("o")).alias("alone")
-    prefix = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
-    lists = lists.select("node", "n", "o", alone, prefix.alias("p")).where("alone < p")
-    keys = lists.select("node", "n", "alone", F.posexplode(F.slice("o", 1, F.col("p") - F.col("alone"))).alias("i", "x"))
-    keys = keys.join(roots, "node").select(F.col("x.h").alias("h"), "root", F.struct("node", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "n").alias("t"))
+    counts = sets.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    often = counts.orderBy(F.col("m").desc(), "h").limit(FREQUENT).select("h").toArrow().column(0).to_numpy()
+    keys = _prefixes(sets.join(roots, "node"), often[::-1].copy(), least).select("h", "root", F.struct("node", "rest", "n").alias("t"))
     cells = stored(keys.groupBy("h", "root", F.pmod(F.xxhash64("t.node"), F.lit(CELLS)).alias("cell")).agg(F.collect_list("t").alias("x")), "crowd-cells")
     mixed = cells.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     cells = cells.join(mixed, "h", "left_semi").select("h", "root", "x")
