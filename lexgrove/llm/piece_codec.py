@@ -3,7 +3,8 @@
 A merge-type encoding is the only sequence of tokens in which every two neighbours are compatible: merging their
 joined text again gives the same two tokens. Each unit (a word with the space marks before it) is encoded by
 trying the longest token at each place, found by one Aho-Corasick pass, and shorter ones where a neighbour is not
-compatible; a bitfield marks places from which no encoding goes on. Characters outside the vocabulary end a stretch
+compatible; a bitfield marks places from which no encoding goes on. Where the longest matches, one after another, cover
+the unit and are all compatible, they are its encoding and nothing has to be taken back. Characters outside the vocabulary end a stretch
 and become byte tokens. Runs of several space marks, whose merges have equal scores, are merged one by one.
 
 Nulls: a null or empty text has no tokens and decodes to the empty text. Malformed UTF-8 is read with U+FFFD in place
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from lexgrove.llm.common import python_batches, utf8, worker_held
 
 MARK = "▁"
-# Units and token pairs whose result a worker keeps; beyond that the memory starts anew.
+# Units and token pairs whose result a worker keeps, in two generations: what is asked for again outlives the older one.
 MEMO_ENTRIES = 300_000
-MEMO_PAIRS = 100_000
+MEMO_PAIRS = 400_000
 TEXTS_AT_ONCE = 500
 # Longer units are not kept.
 MEMO_BYTES = 64
@@ -52,7 +54,9 @@ class PieceCodec(dict):
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("pieces that go on after a space mark need whole texts")
         self.chars = {p for p in self.id if len(p) == 1}
-        self.merged: dict[tuple[int, int], bool] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.merged: dict[int, bool] = {}
+        self.merged_before: dict[int, bool] = {}
         whole = [i for p, i in self.id.items() if self.merge(p) == [i]]
         self.length = [len(t) for t in self.text]
         self.tokens = ahocorasick.Automaton()
@@ -96,40 +100,70 @@ class PieceCodec(dict):
         return [self.id[p] for p in parts if p is not None]
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.merged.get((a, b))
+        pair = a << 32 | b
+        found = self.merged.get(pair)
         if found is None:
-            if len(self.merged) >= MEMO_PAIRS:
-                self.merged.clear()
-            found = self.merged[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
+            found = self.merged_before.get(pair)
+            if found is None:
+                found = self.merge(self.text[a] + self.text[b]) == [a, b]
+            if len(self.merged) >= MEMO_PAIRS // 2:
+                self.merged_before, self.merged = self.merged, {}
+            self.merged[pair] = found
         return found
 
+    def straight(self, text: str) -> list[int] | None:
+        """The longest matches from left to right where they cover ``text`` and all neighbours are compatible."""
+        out: list[int] = []
+        at, last, length, known = 0, None, self.length, self.merged.get
+        for end, i in self.tokens.iter_long(text):
+            if end + 1 - length[i] != at:
+                return None
+            if last is not None:
+                fits = known(last << 32 | i)
+                if not (self.compatible(last, i) if fits is None else fits):
+                    return None
+            out.append(i)
+            at, last = end + 1, i
+        return out if at == len(text) else None
+
     def backtrack(self, text: str) -> list[int]:
         """Ids of a stretch of known characters without runs of space marks."""
-        n = len(text)
+        found = self.straight(text)
+        if found is not None:
+            return found
+        n, length, shorter = len(text), self.length, self.shorter
         longest: list[int | None] = [None] * n
         for end, i in self.tokens.iter(text):
-            longest[end + 1 - self.length[i]] = i  # matches come by their ends: the last is the longest
+            longest[end + 1 - length[i]] = i  # matches come by their ends: the last is the longest
         open_ = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while True:
-            end = at + self.length[token]
-            if open_[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = longest[at]
-                continue
-            token = self.shorter[token]
+            end = at + length[token]
+            if open_[end]:
+                fits = True
+                if out:
+                    fits = self.merged.get(out[-1] << 32 | token)
+                    if fits is None:
+                        fits = self.compatible(out[-1], token)
+                if fits:
+                    out.append(token)
+                    at = end
+                    if at == n:
+                        return out
+                    token = longest[at]
+                    continue
+            token = shorter[token]
             while token is None:
                 open_[at] = 0
                 last = out.pop()
-                at -= self.length[last]
-                token = self.shorter[last]
+                at -= length[last]
+                token = shorter[last]
 
     def unit(self, text: str) -> list[int]:
         """Ids of one unit, space marks included."""
+        if text[1:2] != MARK and self.chars.issuperset(text):
+            return self.backtrack(text)
         out: list[int] = []
         merge = self.merge if text.startswith(MARK * 2) else None
         stretch = ""
@@ -146,10 +180,17 @@ class PieceCodec(dict):
 
     # -- texts
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def __missing__(self, unit: bytes) -> bytes:
-        out = np.array(self.unit(MARK + unit.decode().replace(" ", MARK)), "<u2").tobytes()
+        out = self.older.get(unit)
+        if out is None:
+            out = self.packed(self.unit(MARK + unit.decode().replace(" ", MARK)))
         if len(unit) <= MEMO_BYTES:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= MEMO_ENTRIES // 2:
+                self.older = dict(self)
                 self.clear()
             self[unit] = out
         return out
