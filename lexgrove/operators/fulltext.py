@@ -72,17 +72,36 @@ def section_words(sections: DataFrame, stem: Callable[[Column], Column] | None =
 
 
 def section_tokens(sections: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Section words with their positions; positions count stop words, stop words have no rows."""
-    out = sections.select("section_id", *SCOPE, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    out = out.where(~stop_word(F.col("token")))
-    return out.withColumn("token", stem(F.col("token"))) if stem else out
+    """One row per section with its words and their positions (from 1) in ``words``; positions count stop words, which have no entry.
+
+    Rows of one section are put together as texts, before there is a row or an entry for every word.
+    """
+    numbered = lambda text: F.transform(tokens(text), lambda t, i: F.struct(t.alias("token"), (i + 1).cast("int").alias("pos")))
+    worded = lambda text: F.filter(numbered(text), lambda w: ~stop_word(w["token"]))
+    words = F.flatten(F.transform("texts", worded))
+    if stem:
+        words = F.transform(words, lambda w: F.struct(stem(w["token"]).alias("token"), w["pos"].alias("pos")))
+    texts = sections.groupBy("section_id", *SCOPE).agg(F.collect_list("text").alias("texts"))
+    return texts.select("section_id", *SCOPE, words.alias("words"))
 
 
 def build_postings(words: DataFrame) -> DataFrame:
-    """Posting table: one row per section and word, with sorted positions (from 1)."""
-    return words.groupBy("section_id", "token", *SCOPE).agg(
-        F.array_sort(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions")
-    )
+    """Posting table: one row per section and word, with sorted positions (from 1).
+
+    Words are grouped inside their section's row: a sort brings equal words together, and each run of them is one entry.
+    """
+
+    def runs(ws: Column) -> Column:
+        begins = lambda i: (i == 0) | ~F.get(ws, i)["token"].eqNullSafe(F.get(ws, i - 1)["token"])
+        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(ws))
+        entry = lambda starts, i, j: F.struct(
+            F.get(ws, i)["token"].alias("token"), F.transform(F.slice(ws, i + 1, end(starts, j) - i), lambda w: w["pos"]).alias("positions")
+        )
+        starts = F.filter(F.transform(ws, lambda _, i: i), begins)
+        return let(starts, lambda at: F.transform(at, lambda i, j: entry(at, i, j)))
+
+    found = words.select("section_id", *SCOPE, F.explode(let(F.sort_array("words"), runs)).alias("w"))
+    return found.select("section_id", "w.token", *SCOPE, "w.positions")
 
 
 def save_postings(postings: DataFrame, table: str, buckets: int = 1024) -> None:

@@ -228,6 +228,16 @@ def test_stored_postings_and_salted_terms_give_the_same(spark, monkeypatch):
     assert rows(fulltext.fts_topk(q, s), "question_id", "section_id", "score") == want
 
 
+def test_postings_are_built_inside_one_row_per_section(spark):
+    s = sections(spark, ["Cat x cat, the dog", "the", "", "dog"])
+    twice = s.unionByName(s.where("section_id = 's3'"))
+    words = fulltext.section_tokens(twice)
+    assert words.count() == s.count()
+    got = [(r.section_id, r.token, list(r.positions)) for r in fulltext.build_postings(words).orderBy("section_id", "token").collect()]
+    first, last = sorted(r.section_id for r in s.collect())[:4:3]
+    assert got == [(first, "cat", [1, 3]), (first, "dog", [5]), (first, "x", [2]), (last, "dog", [1, 1])]
+
+
 def test_ask_modes_and_blank_question(spark, sf):
     s, e = corpus.sections(spark, sf).where(F.col("parse_status") == "ready"), corpus.embeddings(spark, sf)
     q = corpus.questions(spark, sf).limit(3)
