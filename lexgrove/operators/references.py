@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,28 +46,24 @@ REFERENCE = T.ArrayType(
 )
 
 
-@F.pandas_udf(REFERENCE)
-def find_references(text: pd.Series) -> pd.Series:
-    """All matches with their offsets; built-in functions give no offsets beyond the first match."""
-    compiled = [(kind, re.compile(p), g, conf) for kind, p, g, conf in PATTERNS]
-
-    def one(value):
-        if not value:
-            return []
-        found = {}
-        for kind, pattern, group, conf in compiled:
-            for m in pattern.finditer(value):
-                matched, uri, label, path = m.group(group).strip() if group else m.group(0), None, None, None
-                if kind == "internal_section":
-                    path = m.group(1)
-                elif kind == "external_authority":
-                    if matched.startswith("http"):
-                        matched = uri = matched.rstrip(".,;")
-                    label = matched
-                found.setdefault((m.start(group), kind, matched), (kind, matched, m.start(group), path, uri, label, conf))
-        return [found[key] for key in sorted(found, key=lambda k: k[:2])]
-
-    return text.map(one, na_action=None)
+@F.udf(REFERENCE, useArrow=False)
+def find_references(text: str | None) -> list[tuple]:
+    """All matches with their offsets; built-in functions give no offsets beyond the first match.
+
+    Plain rows, of which a worker holds a hundred at a time: an Arrow batch holds thousands of whole texts and their matches.
+    """
+    found = {}
+    for kind, pattern, group, conf in PATTERNS:
+        for m in re.finditer(pattern, text or ""):  # compiled patterns are kept by ``re``
+            matched, uri, label, path = m.group(group).strip() if group else m.group(0), None, None, None
+            if kind == "internal_section":
+                path = m.group(1)
+            elif kind == "external_authority":
+                if matched.startswith("http"):
+                    matched = uri = matched.rstrip(".,;")
+                label = matched
+            found.setdefault((m.start(group), kind, matched), (kind, matched, m.start(group), path, uri, label, conf))
+    return [found[key] for key in sorted(found, key=lambda k: k[:2])]
 
 
 def extract_refs(sections: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def found(spark, text):
     return [(r.reference_type[:3], r.matched_text, r.match_offset, r.parsed_section_path) for r in df.collect()]
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    plan = R.extract_refs(sec(spark, [("s", 0, "chunk-1", "Section 1")]))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert found(spark, None) == [] and found(spark, "") == []
+
+
 def test_patterns(spark):
     assert found(spark, "see §3.2") == [("int", "§3.2", 4, "3.2")]
     assert found(spark, "Section 4.1.2 and Subsection 5") == [("int", "Section 4.1.2", 0, "4.1.2"), ("int", "Subsection 5", 18, "5")]
