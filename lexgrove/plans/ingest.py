@@ -9,8 +9,12 @@ from lexgrove.functions.ids import extracted_path, is_uuid, sha256_hex
 from lexgrove.functions.text import chunks, clean_text, strip_nul
 from lexgrove.operators.embedding import Embedder, embed
 from lexgrove.operators.references import reference_edges
+from lexgrove.scale import fits
+from lexgrove.session import stored
 
 REQUESTED = "policy.process.requested"
+# Up to this many requested ids are sent to the scan of the texts; more are shuffled together with them.
+SENT_IDS = 100_000
 
 
 def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,8 +59,12 @@ def process_versions(
     document), references, embeddings (None without embedder) and ``current``: of each policy the last version that is ready now.
     """
     todo = versions.where(F.col("parse_status") != "ready")
-    t = todo.join(texts.select("policy_version_id", "text", "error"), "policy_version_id", "left")
-    failed = F.col("error").isNotNull() | F.col("text").isNull()
+    asked = todo.select("policy_version_id").distinct()
+    if fits(asked, SENT_IDS):
+        texts = texts.join(F.broadcast(asked), "policy_version_id", "left_semi")
+    # Whether a text is there is found out before the join, so that only the sections shuffle texts. The slim side is hashed, so they need no sort.
+    t = todo.join(texts.select("policy_version_id", F.col("text").isNull().alias("_no_text"), "error"), "policy_version_id", "left")
+    failed = F.col("error").isNotNull() | F.coalesce("_no_text", F.lit(True))
     status = t.select(
         "policy_version_id", "policy_id", F.when(failed, "failed").otherwise("ready").alias("parse_status"),
         F.when(failed, "extraction_failed").alias("error_code"), F.when(failed, F.coalesce("error", F.lit("source not found"))).alias("error_message"),
@@ -65,10 +73,12 @@ def process_versions(
     again = versions.where(F.col("parse_status") == "ready").select("policy_version_id", "policy_id", "parse_status")
     status = status.unionByName(again, allowMissingColumns=True)
     order = F.col("requested_at") if "requested_at" in versions.columns else F.lit(None).cast("timestamp")
-    asked = versions.select("policy_version_id", order.alias("requested_at"))
+    times = versions.select("policy_version_id", order.alias("requested_at"))
     last = F.max(F.struct("requested_at", F.col("policy_version_id").alias("current_version_id"))).alias("t")
-    current = status.where(F.col("parse_status") == "ready").join(asked, "policy_version_id").groupBy("policy_id").agg(last).select("policy_id", "t.*")
-    sections = to_sections(t.where(~failed))
+    current = status.where(F.col("parse_status") == "ready").join(times, "policy_version_id").groupBy("policy_id").agg(last).select("policy_id", "t.*")
+    readable = texts.where(F.col("error").isNull() & F.col("text").isNotNull()).select("policy_version_id", "text")
+    # Texts are joined, cleaned and cut once for all outputs.
+    sections = stored(to_sections(readable.join(todo.hint("shuffle_hash"), "policy_version_id")), "sections")
     vectors = None
     if embedder is not None:
         facts = policies.select("tenant_id", "policy_id", "policy_type", "department_scope", "authority_level")

@@ -40,6 +40,21 @@ def test_process_versions(spark):
     assert out["embeddings"].count() == 3
 
 
+def test_process_versions_cuts_texts_once(spark, monkeypatch):
+    v, t, p = corpus(spark)
+    outs = [ingest.process_versions(v, t, p)]
+    monkeypatch.setattr(ingest, "SENT_IDS", 0)
+    outs.append(ingest.process_versions(v, t, p))
+    for name in ("sections", "status", "references", "current"):
+        assert rows(outs[0][name], *outs[0][name].columns) == rows(outs[1][name], *outs[0][name].columns)
+    # The sections were written, and whatever needs them reads them; the status takes no text through a join.
+    assert "FileScan parquet" in outs[1]["sections"]._jdf.queryExecution().executedPlan().toString()
+    for line in outs[1]["status"]._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        assert "Join" not in line or " text#" not in line
+    nothing = ingest.process_versions(v.where("parse_status = 'ready'"), t, p)
+    assert nothing["sections"].count() == 0 and rows(nothing["status"], "parse_status") == [("ready",)]
+
+
 def test_stream_is_idempotent_and_keeps_going_after_bad_messages(spark, tmp_path):
     v, t, p = corpus(spark)
     box = tmp_path / "messages"
