@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions.text import blank, let, tokens
-from lexgrove.scale import fits, top_per_group
+from lexgrove.scale import fine_parts, fits, top_per_group
 from lexgrove.session import cut_lineage
 
 # English stop words of the Snowball project.
@@ -189,6 +189,13 @@ def word_positions(text: Column, words: Column, stem: Callable[[Column], Column]
     return let(found, lambda ts: F.transform(words, lambda w: at(ts, w)))
 
 
+def of_versions(sections: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """Sections of the versions in ``found``. A few versions are sent to the scan, below the cleaning of texts; else all sections."""
+    if not few or "policy_version_id" not in sections.columns:
+        return sections
+    return sections.join(F.broadcast(found.select("policy_version_id").distinct()), "policy_version_id", "left_semi")
+
+
 def fts_topk(
     questions: DataFrame,
     sections: DataFrame,
@@ -210,7 +217,8 @@ def fts_topk(
         terms = terms.withColumnRenamed("tenant_id", "q_tenant_id")
     small = fits(terms, MAX_BROADCAST_TERMS)
     if postings is None:
-        words = section_words(sections, stem)
+        # A task pairs its sections with all questions and holds the pairs, so it gets a bounded share of the sections.
+        words = section_words(fine_parts(sections.select("section_id", *SCOPE, "text"), "policy_version_id"), stem)
         if small:
             words = words.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
         counted = words.groupBy("section_id", "token", *SCOPE).agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -236,8 +244,9 @@ def fts_topk(
     if not several.isEmpty():
         asked = terms.where("in_and").groupBy("question_id").agg(F.array_sort(F.collect_list("token")).alias("words"))
         wanted = several.join(asked, "question_id")
-        wanted = F.broadcast(wanted) if fits(several, MAX_BROADCAST_PAIRS) else wanted
-        near = sections.select("section_id", "text").join(wanted, "section_id")
+        few = fits(several, MAX_BROADCAST_PAIRS)
+        wanted = F.broadcast(wanted) if few else wanted
+        near = of_versions(sections, several, few).select("section_id", "text").join(wanted, "section_id")
         rank = let(word_positions(F.col("text"), F.col("words"), stem), closeness_rank)
         ranked = ranked.unionByName(near.select(*FOUND, F.round(rank, digits).alias("score")))
     return top_per_group(ranked, ["question_id"], order, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions.text import blank
 from lexgrove.operators.answers import MIN_SCORE, SECONDARY_RATIO, answer
-from lexgrove.operators.fulltext import fts_topk
+from lexgrove.operators.fulltext import fts_topk, of_versions
 from lexgrove.operators.fusion import HybridConfig, fuse, merge_sources
 from lexgrove.operators.ranking import assign_buckets, rank_evidence
 from lexgrove.operators.vectors import BLOCK_QUESTIONS, FOUND, boost_exact, vector_topk
@@ -32,7 +32,7 @@ def hydrate(found: DataFrame, sections: DataFrame, bounded: bool) -> DataFrame:
     """
     ids = found.select("question_id", "section_id")
     ids = F.broadcast(ids) if bounded else ids
-    return sections.select(*FACTS).join(ids, "section_id")
+    return of_versions(sections, found, bounded).select(*FACTS).join(ids, "section_id")
 
 
 def retrieve(

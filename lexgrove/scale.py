@@ -1,6 +1,7 @@
 """Building blocks that keep hot keys and unbounded sides out of single tasks.
 
 ``fits``           size check in front of every explicit broadcast
+``fine_parts``     parts of bounded size for work that holds its rows in memory
 ``spread``         all cores for heavy per-row work on few input splits
 ``dimension_join`` small side by broadcast when its size was checked, by salt otherwise
 ``salted_lookup``  join back to a per-key aggregate when one key may hold a third of the rows
@@ -23,6 +24,9 @@ SALTS = 64
 # Dimensions up to this many rows are broadcast (some hundred bytes each).
 MAX_DIM_ROWS = 100_000
 DIM_SALTS = 16
+# Stored bytes per task of work whose memory grows with the rows of a task.
+TASK_BYTES = 4_000_000
+UNKNOWN_BYTES = 2**60
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -39,6 +43,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def fine_parts(df: DataFrame, key: str, size: int = TASK_BYTES) -> DataFrame:
+    """Shuffle by ``key`` into parts that do not grow with the input: one for every ``size`` bytes of the largest table below.
+
+    Where Spark has no size of the input, it stays as it is.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    largest = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if largest >= UNKNOWN_BYTES:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-largest // size)), key)
+
+
 def dimension_join(rows: DataFrame, dim: DataFrame, keys: Sequence[str], row_id: str, how: str = "inner") -> DataFrame:
     """Join a dimension whose keys may be very uneven on the row side.
 
