@@ -17,7 +17,7 @@ from lexgrove.operators.fusion import HybridConfig
 from lexgrove.operators.observed import Counts
 from lexgrove.plans import ask, corpus, ingest
 from lexgrove.scale import dimension_join, spread
-from lexgrove.session import cut_lineage, shared_dir
+from lexgrove.session import cut_lineage, shared_dir, stored
 from lexgrove.sources import commits, sinks
 from lexgrove.streaming import ingest_stream, keyed, progress
 
@@ -371,10 +371,12 @@ def _conversation_audit(spark, sf):
 
 def audit_replay(spark, sf):
     """Ask all recorded questions again from their audit rows and compare."""
-    s, e = ready_sections(spark, sf), corpus.embeddings(spark, sf)
+    # Both runs search the same sections, cleaned and cut once.
+    s, e = stored(ready_sections(spark, sf), "sections"), corpus.embeddings(spark, sf)
     vector = corpus.questions(spark, sf).select("question_id", "vector")
-    run = lambda q: ask.ask(q.join(vector, "question_id", "left"), s, e, cfg=HYBRID, min_score=MIN_SCORE)
-    first = cut_lineage(audit.audit_rows(_answers(spark, sf), "first"))
+    ask_all = lambda q: ask.ask(q, s, e, cfg=HYBRID, min_score=MIN_SCORE)
+    run = lambda q: ask_all(q.join(vector, "question_id", "left"))
+    first = cut_lineage(audit.audit_rows(ask_all(corpus.questions(spark, sf)), "first"))
     d = audit.replay_diff(first, audit.replay(first, run, "again"))
     return d.select("question_id", "same", F.round("old_confidence", 6).alias("old_confidence"), F.round("new_confidence", 6).alias("new_confidence"))
 

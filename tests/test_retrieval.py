@@ -10,8 +10,9 @@ from conftest import rows
 from lexgrove.operators import fulltext, ranking, vectors
 from lexgrove.operators.answers import REFUSAL_PHRASE, answer, has_citation, prompts
 from lexgrove.operators.fusion import HybridConfig, fuse, merge_sources
-from lexgrove.plans import corpus
+from lexgrove.plans import corpus, registry
 from lexgrove.plans.ask import ask, retrieve
+from lexgrove.scale import fine_parts
 
 FOUND = "question_id string, section_id string, policy_version_id string, policy_id string, score double, rank int"
 FACTS = "question_id string, section_id string, authority_level int, effective_date date, is_current boolean, department_scope string"
@@ -238,6 +239,32 @@ def test_postings_are_built_inside_one_row_per_section(spark):
     assert got == [(first, "cat", [1, 3]), (first, "dog", [5]), (first, "x", [2]), (last, "dog", [1, 1])]
 
 
+def test_a_search_task_gets_a_bounded_share_of_the_sections(spark, sf, monkeypatch):
+    docs = corpus.table(spark, sf, "documents")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert fine_parts(docs, "doc_id", size // 40).rdd.getNumPartitions() >= 40
+    made = spark.createDataFrame([(1,), (2,)], "doc_id long").repartition(3)
+    assert fine_parts(made, "doc_id").rdd.getNumPartitions() == 3
+    asked = []
+    monkeypatch.setattr(fulltext, "fine_parts", lambda df, key: asked.append(key) or fine_parts(df, key, size // 40))
+    s = corpus.sections(spark, sf).where(F.col("parse_status") == "ready")
+    fulltext.fts_topk(corpus.questions(spark, sf).limit(1), s)
+    assert asked == ["policy_version_id"]
+
+
+def test_replay_cuts_the_sections_once_for_both_runs(spark, sf, monkeypatch):
+    class Searched(Exception):
+        pass
+
+    def searched(questions, sections, vectors, **_):
+        assert "Generate" not in sections._jdf.queryExecution().optimizedPlan().toString()
+        raise Searched
+
+    monkeypatch.setattr(registry.ask, "ask", searched)
+    with pytest.raises(Searched):
+        registry.audit_replay(spark, sf)
+
+
 def test_ask_modes_and_blank_question(spark, sf):
     s, e = corpus.sections(spark, sf).where(F.col("parse_status") == "ready"), corpus.embeddings(spark, sf)
     q = corpus.questions(spark, sf).limit(3)
