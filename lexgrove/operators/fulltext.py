@@ -190,7 +190,7 @@ def word_positions(text: Column, words: Column, stem: Callable[[Column], Column]
 
 
 def of_versions(sections: DataFrame, found: DataFrame, few: bool) -> DataFrame:
-    """Sections of the versions in ``found``. A few versions are sent to the scan, below the cleaning of texts; else all sections."""
+    """Sections of the versions in ``found``. A few versions are sent to the tasks, before texts are shuffled; else all sections."""
     if not few or "policy_version_id" not in sections.columns:
         return sections
     return sections.join(F.broadcast(found.select("policy_version_id").distinct()), "policy_version_id", "left_semi")
