@@ -49,11 +49,11 @@ def build_shard(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits:
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     blocks = [squeeze(doc_ids.astype("<i8").tobytes()), squeeze(counts.astype("<u4").tobytes())]
     for k in range(bits - 1, -1, -1):
-        ones = (now >> k & 1).astype(bool)
+        ones = (now & (1 << k)) != 0
         plane = np.packbits(ones, bitorder="little")
         blocks += [squeeze(plane.tobytes()), squeeze(_rank_table(plane).tobytes())]
         if k:
-            now = now[np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])]
+            now = np.concatenate([now[~ones], now[ones]])
     head = MAGIC + struct.pack("<QQII", len(ids), len(doc_ids), bits, len(blocks))
     return head + struct.pack(f"<{len(blocks)}Q", *map(len, blocks)) + b"".join(blocks)
 
@@ -94,9 +94,10 @@ class WaveletShard:
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             zeros = self.zeros[self.bits - 1 - k]
             # A one takes the next value after the zeros, a zero the next before.
-            rank = np.cumsum(ones, dtype=np.int32)
-            at = np.where(ones, rank + (zeros - 1), np.arange(self.n, dtype=np.int32) - rank)
-            now = now[at] | (ones.astype(now.dtype) << now.dtype.type(k))
+            before = np.empty_like(now)
+            before[ones] = now[zeros:] | now.dtype.type(1 << k)
+            before[~ones] = now[:zeros]
+            now = before
         return now
 
     def _ones(self, level: int, i: int) -> int:
@@ -158,7 +159,8 @@ class WaveletShard:
 
 # --- encoder ---------------------------------------------------------------------------------
 
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# A line that holds a word with ASCII punctuation after it, which the tokenizer cuts off as one unit, or anything else.
+_LINE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -185,12 +187,13 @@ class Encoder(dict):
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {"": b"", **{m: self._whole([m])[0] for m in ".,"}}
         self._restart()
 
     def _restart(self) -> None:
         self.clear()
-        self.words: dict[str, bytes] = {}
+        # Odd pieces have the empty word.
+        self.words: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
         self.new: list[bytes] = []
         self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u2")
 
@@ -205,28 +208,23 @@ class Encoder(dict):
 
     def _learn(self) -> None:
         """Encode the pieces met since the last call."""
-        found: list[tuple[str, str] | None] = []
-        odd: list[str] = []
-        fresh: dict[str, None] = {}
-        for piece in self.new:
-            text = piece.decode("utf-8", "replace")
-            match = _WORD.fullmatch(text)
-            if match:
-                word = match[1].lower()
-                if word not in self.words:
-                    fresh[word] = None
-                found.append((word, match[2]))
-            else:
-                odd.append(text)
-                found.append(None)
+        # Pieces hold no line ends, so all are read at once.
+        found = _LINE.findall(b"\n".join(self.new).decode("utf-8", "replace"))
+        lower = "\n".join([word for word, _, _ in found]).lower().split("\n")
+        fresh = [w for w in dict.fromkeys(lower) if w not in self.words]
         if fresh:
-            line = " ".join(w if w.isascii() else w.translate(self.spelled) for w in fresh)
+            line = " ".join([w if w.isascii() else w.translate(self.spelled) for w in fresh])
             ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u2")
-            cut = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            cut = [0, *(2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()]
             data = ids.tobytes()
-            self.words.update((w, data[2 * a : 2 * b]) for w, a, b in zip(fresh, cut, cut[1:], strict=False))
-        whole = iter(self._whole(odd) if odd else [])
-        own = [next(whole) if f is None else self.words[f[0]] + self.marks[f[1]] for f in found]
+            self.words.update(zip(fresh, [data[a:b] for a, b in zip(cut, cut[1:])], strict=True))
+        tails = [t for t in {tail for _, tail, _ in found} if t not in self.marks]
+        odd = [other for _, _, other in found if other]
+        whole = self._whole(tails + odd) if tails or odd else []
+        self.marks.update(zip(tails, whole))
+        others = iter(whole[len(tails) :])
+        words, marks = self.words, self.marks
+        own = [next(others) if other else words[word] + marks[tail] for word, (_, tail, other) in zip(lower, found, strict=True)]
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -235,7 +233,7 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their counts; ``end_id`` follows every text."""
-        if len(self) >= MEMO_ENTRIES or len(self.words) >= MEMO_ENTRIES:
+        if max(len(self), len(self.words), len(self.marks)) >= MEMO_ENTRIES:
             self._restart()
         if end_id is not None and _END not in self:
             self._set_end(end_id)

@@ -131,6 +131,19 @@ def test_encoder_equals_library():
         assert own.tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
 
 
+def test_encoder_reads_punctuated_words_as_plain_ones(monkeypatch):
+    """Words go to the model directly whatever ASCII punctuation follows; each such ending goes through the whole pipeline once."""
+    encoder, library = wavelet.Encoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    seen, whole = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda pieces: seen.extend(pieces) or whole(pieces))
+    texts = ["One.### two$$$ ÉTÉ!! don't x' 's l'été a<|b|> a|> <|endoftext|> It's.", "three.### four' five's", "a\u0301.## \u00a0b.. \x1cc,, ß$ İ!"]
+    raw = [t.encode() for t in texts] + [b"b\xff.# c\xe4\xb8 d"]
+    ids, counts = encoder.encode(raw, 2)
+    for t, own in zip(raw, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == [*library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2], t
+    assert seen.count(".###") == 1 and not {"One.###", "two$$$", "ÉTÉ!!", "three.###"} & set(seen)
+
+
 def test_corpus_ids(spark, docs, none):
     library = Tokenizer.from_file(WORD_FILE)
     expected, start = [], 0
