@@ -4,7 +4,8 @@ A merge-type encoding is the only sequence of tokens in which every two neighbou
 joined text again gives the same two tokens. Each unit (a word with the space marks before it) is encoded by
 trying the longest token at each place, found by one Aho-Corasick pass, and shorter ones where a neighbour is not
 compatible; a bitfield marks places from which no encoding goes on. Where the longest matches, one after another, cover
-the unit and are all compatible, they are its encoding and nothing has to be taken back. Characters outside the vocabulary end a stretch
+the unit and are all compatible, they are its encoding and nothing has to be taken back. Two tokens are compatible if
+no merge over their border comes before the merges that made them, which are taken back from the last one. Characters outside the vocabulary end a stretch
 and become byte tokens. Runs of several space marks, whose merges have equal scores, are merged one by one.
 
 Nulls: a null or empty text has no tokens and decodes to the empty text. Malformed UTF-8 is read with U+FFFD in place
@@ -17,6 +18,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -45,7 +47,7 @@ class PieceCodec(dict):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.vocab_size()
+        n = self.size = sp.vocab_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         special = {i for i in range(n) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
@@ -57,7 +59,26 @@ class PieceCodec(dict):
         self.older: dict[bytes, bytes] = {}
         self.merged: dict[int, bool] = {}
         self.merged_before: dict[int, bool] = {}
-        whole = [i for p, i in self.id.items() if self.merge(p) == [i]]
+        # The place of a token's last merge among all merges (0: a single character), and what it merged.
+        self.order, self.left, self.right = [0] * n, [0] * n, [0] * n
+        whole: list[int] = []
+        for p, i in self.id.items():
+            last: list[str] = []
+            if self.merge(p, last) == [i]:
+                whole.append(i)
+                if last:
+                    self.left[i], self.right[i] = self.id[last[0]], self.id[last[1]]
+        # Equal scores, and parts merged after their whole, have no such order: these tokens are compared by merging.
+        place = {score: k for k, score in enumerate(sorted(set(self.score.values()), reverse=True), 1)}
+        shared = Counter(self.score[self.text[i]] for i in whole if self.left[i])
+        self.place = {p: place[score] for p, score in self.score.items() if len(p) > 1}
+        self.unordered: set[int] = set()
+        for i in sorted(whole, key=lambda i: len(self.text[i])):
+            if len(self.text[i]) > 1:
+                a, b = self.left[i], self.right[i]
+                self.order[i] = self.place[self.text[i]]
+                if shared[self.score[self.text[i]]] > 1 or max(self.order[a], self.order[b]) >= self.order[i] or a in self.unordered or b in self.unordered:
+                    self.unordered.add(i)
         self.length = [len(t) for t in self.text]
         self.tokens = ahocorasick.Automaton()
         for i in whole:
@@ -73,8 +94,8 @@ class PieceCodec(dict):
 
     # -- merging
 
-    def merge(self, text: str) -> list[int]:
-        """Ids of ``text`` by merging: best score first, then leftmost. All characters are in the vocabulary."""
+    def merge(self, text: str, last: list[str] | None = None) -> list[int]:
+        """Ids of ``text`` by merging: best score first, then leftmost. All characters are in the vocabulary. ``last`` gets the parts of the last merge."""
         parts: list[str | None] = list(text)
         left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -91,6 +112,8 @@ class PieceCodec(dict):
             _, a, b, joined = heapq.heappop(heap)
             if parts[a] is None or b >= len(parts) or parts[b] is None or right[a] != b or parts[a] + parts[b] != joined:
                 continue
+            if last is not None:
+                last[:] = parts[a], parts[b]
             parts[a], parts[b] = joined, None
             right[a] = right[b]
             if right[a] < len(parts):
@@ -100,50 +123,61 @@ class PieceCodec(dict):
         return [self.id[p] for p in parts if p is not None]
 
     def compatible(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
+        pair = a * self.size + b
         found = self.merged.get(pair)
         if found is None:
             found = self.merged_before.get(pair)
             if found is None:
-                found = self.merge(self.text[a] + self.text[b]) == [a, b]
+                found = self.uncrossed(a, b)
             if len(self.merged) >= MEMO_PAIRS // 2:
                 self.merged_before, self.merged = self.merged, {}
             self.merged[pair] = found
         return found
 
-    def straight(self, text: str) -> list[int] | None:
-        """The longest matches from left to right where they cover ``text`` and all neighbours are compatible."""
+    def uncrossed(self, a: int, b: int) -> bool:
+        """Whether the merges of ``a`` and ``b`` all come before any over their border; equal merges go from left to right."""
+        if a in self.unordered or b in self.unordered:
+            return self.merge(self.text[a] + self.text[b]) == [a, b]
+        text, order, place = self.text, self.order, self.place
+        latest = len(text) + 1
+        while True:
+            crossing = place.get(text[a] + text[b])
+            if crossing is not None and crossing < latest:
+                return False
+            if order[a] > order[b]:
+                latest, a = order[a], self.right[a]
+            elif order[b]:
+                latest, b = order[b] + 1, self.left[b]
+            else:
+                return True
+
+    def backtrack(self, text: str) -> list[int]:
+        """Ids of a stretch of known characters without runs of space marks."""
+        n, size, length, shorter, known = len(text), self.size, self.length, self.shorter, self.merged.get
         out: list[int] = []
-        at, last, length, known = 0, None, self.length, self.merged.get
+        at = 0
+        # The longest matches from left to right, as far as neighbours are compatible: often the whole text.
         for end, i in self.tokens.iter_long(text):
             if end + 1 - length[i] != at:
-                return None
-            if last is not None:
-                fits = known(last << 32 | i)
-                if not (self.compatible(last, i) if fits is None else fits):
-                    return None
+                break
+            if out:
+                fits = known(out[-1] * size + i)
+                if not (self.compatible(out[-1], i) if fits is None else fits):
+                    break
             out.append(i)
-            at, last = end + 1, i
-        return out if at == len(text) else None
-
-    def backtrack(self, text: str) -> list[int]:
-        """Ids of a stretch of known characters without runs of space marks."""
-        found = self.straight(text)
-        if found is not None:
-            return found
-        n, length, shorter = len(text), self.length, self.shorter
-        longest: list[int | None] = [None] * n
-        for end, i in self.tokens.iter(text):
-            longest[end + 1 - length[i]] = i  # matches come by their ends: the last is the longest
+            at = end + 1
+        if at == n:
+            return out
+        # Matches come by their ends: the last one of a place is the longest.
+        longest = {end + 1 - length[i]: i for end, i in self.tokens.iter(text)}
         open_ = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
+        token = longest[at]
         while True:
             end = at + length[token]
             if open_[end]:
                 fits = True
                 if out:
-                    fits = self.merged.get(out[-1] << 32 | token)
+                    fits = self.merged.get(out[-1] * size + token)
                     if fits is None:
                         fits = self.compatible(out[-1], token)
                 if fits:
