@@ -17,10 +17,10 @@ import numpy as np
 from lexgrove.llm.common import worker_held
 
 FEATURES = 1 << 16
-# Words whose scores a worker keeps; beyond that the memory starts anew.
-MEMO_WORDS = 700_000
+# Words whose scores a worker keeps, in two generations: what is asked for again outlives the older one.
+MEMO_WORDS = 400_000
 # Words of texts, and new words, that are worked on at once.
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 200_000
 WORDS_SCORED = 10_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#-–—_/\\«»¿¡…“”‘’&%$@+=~^`§"
 
@@ -125,6 +125,8 @@ class WordScores(dict):
         super().__init__()
         self.crf, self.new = crf, []
         self.scores, self.letters = np.empty((0, crf.labels), np.float32), np.empty(0, bool)
+        self.older: dict[bytes, int] = {}
+        self.older_scores, self.older_letters = self.scores, self.letters
 
     def __missing__(self, piece: bytes) -> int:
         number = self[piece] = len(self)
@@ -137,15 +139,27 @@ class WordScores(dict):
     def learn(self) -> None:
         if not self.new:
             return
-        words = [bare(p) for p in self.new]
-        self.scores = np.concatenate([self.scores, self.crf.score(words).astype(np.float32)])
-        self.letters = np.concatenate([self.letters, np.array([has_letter(w) for w in words], bool)])
-        self.new = []
+        n, before = len(self.new), len(self.scores)
+        known = np.fromiter((self.older.get(p, -1) for p in self.new), np.int64, n)
+        was = known >= 0
+        # Pieces that differ in case or punctuation are one word.
+        number: dict[str, int] = {}
+        place = np.fromiter((number.setdefault(bare(self.new[i]), len(number)) for i in np.flatnonzero(~was)), np.int64, n - int(was.sum()))
+        scores, letters = np.empty((before + n, self.crf.labels), np.float32), np.empty(before + n, bool)
+        scores[:before], letters[:before] = self.scores, self.letters
+        new_scores, new_letters = scores[before:], letters[before:]
+        new_scores[was], new_letters[was] = self.older_scores[known[was]], self.older_letters[known[was]]
+        if number:
+            words = list(number)
+            new_scores[~was] = self.crf.score(words).astype(np.float32)[place]
+            new_letters[~was] = np.array([has_letter(w) for w in words], bool)[place]
+        self.scores, self.letters, self.new = scores, letters, []
 
     def restart_if_full(self) -> None:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_WORDS // 2:
+            self.older, self.older_scores, self.older_letters = dict(self), self.scores, self.letters
             self.clear()
-            self.scores, self.letters = self.scores[:0], self.letters[:0]
+            self.scores, self.letters = self.scores[:0].copy(), self.letters[:0].copy()
 
 
 class Crf:
@@ -220,21 +234,31 @@ def marginals(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.nd
     numbers = [table.numbers(t.split()) for t in texts]
     table.learn()
     sizes = np.array([len(x) for x in numbers], np.int64)
-    gammas, letters = [np.empty((0, crf.labels), np.float32)], [np.empty(0, bool)]
-    first = held = 0
-    for i, own in enumerate([*numbers, None]):
-        # Stretches of texts of a bounded number of words, or one longer text, are worked on at once.
-        if own is None or held + len(own) > WORDS_AT_ONCE and held:
-            every = np.concatenate(numbers[first:i]) if i > first else np.empty(0, np.int64)
-            gammas.append(forward_backward(table.scores[every], sizes[first:i], crf.start, crf.trans)[0])
-            letters.append(table.letters[every])
-            first, held = i, 0
-        held += 0 if own is None else len(own)
-    return np.concatenate(gammas), np.concatenate(letters), sizes
+    ends = np.cumsum(sizes)
+    gamma, letters = np.empty((int(sizes.sum()), crf.labels), np.float32), np.empty(int(sizes.sum()), bool)
+    # A bounded number of words, or one longer text, is worked on at once, longest texts first: each step costs by its longest text.
+    group: list[int] = []
+    held = 0
+    for i in [*np.argsort(-sizes, kind="stable").tolist(), None]:
+        if group and (i is None or held + sizes[i] > WORDS_AT_ONCE):
+            group.sort()
+            every = np.concatenate([numbers[k] for k in group])
+            found, marks = forward_backward(table.scores[every], sizes[group], crf.start, crf.trans)[0], table.letters[every]
+            at = 0
+            for k in group:
+                own = slice(ends[k] - sizes[k], ends[k])
+                gamma[own], letters[own] = found[at : at + sizes[k]], marks[at : at + sizes[k]]
+                at += sizes[k]
+            group, held = [], 0
+        if i is not None:
+            group.append(i)
+            held += sizes[i]
+    return gamma, letters, sizes
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum of the rows of each text."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     ends = np.cumsum(sizes)
     return total[ends] - total[ends - sizes]

@@ -206,6 +206,25 @@ def test_round_trip(docs, none):
 # --- conditional random field -----------------------------------------------------------------
 
 
+def test_word_memory_scores_a_word_once(monkeypatch):
+    """Pieces of one word are scored once, also after the memory is full, and marginals do not depend on how texts are dealt."""
+    model = crf.Crf(3, {})
+    for x in (model.weights, model.trans, model.start):
+        x[:] = np.random.default_rng(5).normal(size=x.shape)
+    texts = [b"one two, three", b"", b"Two four one. (one)", b"five six seven eight nine ten one", b"ten"] * 3
+    gamma, letters, sizes = crf.marginals(model, "wide", texts)
+    asked, held, score, run = [], [], crf.Crf.score, crf.forward_backward
+    monkeypatch.setattr(crf, "MEMO_WORDS", 8)
+    monkeypatch.setattr(crf, "WORDS_AT_ONCE", 5)
+    monkeypatch.setattr(crf.Crf, "score", lambda self, words: asked.extend(words) or score(self, words))
+    monkeypatch.setattr(crf, "forward_backward", lambda scores, sizes, *rest: held.append((len(scores), len(sizes))) or run(scores, sizes, *rest))
+    for _ in range(3):
+        got = crf.marginals(model, "narrow", texts)
+        assert np.allclose(got[0], gamma, atol=1e-6) and (got[1] == letters).all() and (got[2] == sizes).all()
+    assert len(asked) == len(set(asked)) == 10
+    assert all(n <= 5 or texts == 1 for n, texts in held)
+
+
 def test_forward_backward_equals_enumeration():
     r = np.random.default_rng(2)
     sizes, labels = [3, 0, 1, 4], 3
