@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +34,12 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 # Documents encoded at once.
 STEP = 250
+# Ranges of ids that go to one task, if that leaves each core enough tasks.
+RANGES_PER_TASK = 8
+TASKS_PER_CORE = 4
 RANK_BITS = 512
-# Pieces and words whose ids a worker keeps; beyond that the memory starts anew.
-MEMO_ENTRIES = 1_000_000
+# Pieces, and words, whose ids a worker keeps; beyond that the memory of either starts anew.
+MEMO_ENTRIES = 600_000
 
 
 # --- shard file ------------------------------------------------------------------------------
@@ -187,19 +189,22 @@ class Encoder(dict):
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self._forget_words()
         self._restart()
 
-    def _restart(self) -> None:
-        self.clear()
+    def _forget_words(self) -> None:
         # Odd pieces have the empty word.
         self.words: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {"": b""}
+
+    def _restart(self) -> None:
+        self.clear()
         self.new: list[bytes] = []
         self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u2")
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         """Pieces through the library's whole pipeline."""
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
 
     def __missing__(self, piece: bytes) -> int:
         number = self[piece] = len(self)
@@ -233,8 +238,10 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their counts; ``end_id`` follows every text."""
-        if max(len(self), len(self.words), len(self.marks)) >= MEMO_ENTRIES:
+        if len(self) >= MEMO_ENTRIES:
             self._restart()
+        if max(len(self.words), len(self.marks)) >= MEMO_ENTRIES:
+            self._forget_words()
         if end_id is not None and _END not in self:
             self._set_end(end_id)
         numbers: list[np.ndarray] = []
@@ -275,15 +282,21 @@ def encoder_of(path: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> None:
-    """Encode ``docs`` (doc_id, text) and write the shards (part, seq, first_id, n_docs, n_tokens, shard) below ``folder``."""
-    python_batches(docs.sparkSession)
+    """Encode ``docs`` (doc_id, text) and write the shards (part, seq, first_id, n_docs, n_tokens, shard) below ``folder``.
+
+    A part is one range of ids. Several ranges go to one task and its file, as every file costs its executor processes that
+    are charged with all its memory while they start; a shard never crosses ranges, which need not be neighbours.
+    """
+    spark = docs.sparkSession
+    python_batches(spark)
     keyed = docs.select(id_key().alias("id"), utf8().alias("t"), F.xxhash64(utf8()).alias("h"))
     # Texts of one id are ordered among themselves, so one id may fill several ranges.
-    rows = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "t").select("id", "t")
+    ranges = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "t").select("id", "t", F.spark_partition_id().alias("part"))
+    rows = ranges.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // RANGES_PER_TASK))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq = -1, 0
         doc_ids: list[int] = []
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -297,12 +310,18 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int
             )
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(keys), STEP):
-                got, sizes = encoder.encode(texts[i : i + STEP], end_id)
+            keys, texts, parts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(keys)]
+            steps = [(i, min(i + STEP, z)) for a, z in zip(cuts, cuts[1:]) for i in range(a, z, STEP)]
+            for i, z in steps:
+                if parts[i] != part:
+                    if doc_ids:
+                        yield shard()
+                    part, seq, held, doc_ids, ids, counts = int(parts[i]), 0, 0, [], [], []
+                got, sizes = encoder.encode(texts[i:z], end_id)
                 ids.append(got)
                 counts.append(sizes)
-                doc_ids += keys[i : i + STEP]
+                doc_ids += keys[i:z]
                 held += len(got)
                 if held >= shard_tokens:
                     yield shard()
@@ -322,7 +341,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
     sizes = shards.select("part", "seq", "first_id", "n_tokens")
     parts = sizes.groupBy("part").agg(F.min("first_id").alias("first"), F.sum("n_tokens").alias("all"))
-    before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task that wrote
+    before = Window.orderBy("first", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of ids
     parts = parts.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("shard_start")).join(parts, "part")

@@ -165,6 +165,25 @@ def test_texts_of_one_id_have_an_order(spark):
     assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:]))
 
 
+def test_many_ranges_share_shard_files(spark, tmp_path):
+    """Few files however many ranges there are, and the same rows as from one range; one id fills several ranges."""
+    rows = [(k // 40, words(1 + k % 9)) for k in range(900)] + [(11, words(3)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    got = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(table(wavelet.corpus_ids(df, WORD_FILE, f"{tmp_path}/{n}", shard_tokens=300), "doc_id", "start", "n_tokens", "ids_crc32"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files, tasks = len(list((tmp_path / "150").glob("*.parquet"))), max(wavelet.TASKS_PER_CORE * spark.sparkContext.defaultParallelism, 150 // wavelet.RANGES_PER_TASK)
+    assert got[0] == got[1] and len(got[0]) == 1100
+    assert 0 < files <= tasks < spark.read.parquet(f"{tmp_path}/150").select("part").distinct().count()
+
+
 # --- pieces ----------------------------------------------------------------------------------
 
 
