@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -34,11 +36,25 @@ _HELD: dict[tuple[str, str], Any] = {}
 def worker_held(kind: str, key: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task: one model with its memory. Another one frees it, as workers serve all stages."""
     if (kind, key) not in _HELD:
-        _HELD.clear()
+        drop_held()
         _HELD[kind, key] = make()
     return _HELD[kind, key]
 
 
+def drop_held() -> None:
+    """For tasks without a model: free what a worker still keeps from an earlier stage."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; glibc keeps it otherwise, and the next model's comes on top of it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -18,8 +18,9 @@ from lexgrove.llm.common import worker_held
 
 FEATURES = 1 << 16
 # Words whose scores a worker keeps, in two generations: what is asked for again outlives the older one.
-MEMO_WORDS = 400_000
-# Words of texts, and new words, that are worked on at once.
+MEMO_WORDS = 360_000
+# Words of texts that are looked up, and worked on, at once, and new words that are scored at once.
+WORDS_ASKED = 250_000
 WORDS_AT_ONCE = 200_000
 WORDS_SCORED = 10_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#-–—_/\\«»¿¡…“”‘’&%$@+=~^`§"
@@ -228,26 +229,41 @@ def table_of(crf: Crf, key: str) -> WordScores:
     return table
 
 
+def asked(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores of every piece, letter mark of every piece, pieces per text); the worker's memory is kept short after every ``WORDS_ASKED``."""
+    scores, letters, sizes = [np.empty((0, crf.labels), np.float32)], [np.empty(0, bool)], np.empty(len(texts), np.int64)
+    numbers: list[np.ndarray] = []
+    held = 0
+    table = table_of(crf, key)
+    for i, text in enumerate(texts):
+        numbers.append(table.numbers(text.split()))
+        sizes[i] = len(numbers[-1])
+        held += len(numbers[-1])
+        if held >= WORDS_ASKED or i == len(texts) - 1:
+            table.learn()
+            every = np.concatenate(numbers)
+            scores.append(table.scores[every])
+            letters.append(table.letters[every])
+            numbers, held = [], 0
+            table = table_of(crf, key)
+    return np.concatenate(scores), np.concatenate(letters), sizes
+
+
 def marginals(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(marginal of every piece, letter mark of every piece, pieces per text) of whole texts laid end to end."""
-    table = table_of(crf, key)
-    numbers = [table.numbers(t.split()) for t in texts]
-    table.learn()
-    sizes = np.array([len(x) for x in numbers], np.int64)
+    gamma, letters, sizes = asked(crf, key, texts)
     ends = np.cumsum(sizes)
-    gamma, letters = np.empty((int(sizes.sum()), crf.labels), np.float32), np.empty(int(sizes.sum()), bool)
     # A bounded number of words, or one longer text, is worked on at once, longest texts first: each step costs by its longest text.
     group: list[int] = []
     held = 0
     for i in [*np.argsort(-sizes, kind="stable").tolist(), None]:
         if group and (i is None or held + sizes[i] > WORDS_AT_ONCE):
             group.sort()
-            every = np.concatenate([numbers[k] for k in group])
-            found, marks = forward_backward(table.scores[every], sizes[group], crf.start, crf.trans)[0], table.letters[every]
+            # The marginals take the place of the scores.
+            found = forward_backward(np.concatenate([gamma[ends[k] - sizes[k] : ends[k]] for k in group]), sizes[group], crf.start, crf.trans)[0]
             at = 0
             for k in group:
-                own = slice(ends[k] - sizes[k], ends[k])
-                gamma[own], letters[own] = found[at : at + sizes[k]], marks[at : at + sizes[k]]
+                gamma[ends[k] - sizes[k] : ends[k]] = found[at : at + sizes[k]]
                 at += sizes[k]
             group, held = [], 0
         if i is not None:
@@ -257,8 +273,10 @@ def marginals(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.nd
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sum of the rows of each text."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    """Sum of the rows of each text, one column at a time."""
+    total, ends = np.zeros(len(values) + 1), np.cumsum(sizes)
+    out = np.empty((len(sizes), values.shape[1]))
+    for k in range(values.shape[1]):
+        np.cumsum(values[:, k], dtype=np.float64, out=total[1:])
+        out[:, k] = total[ends] - total[ends - sizes]
+    return out

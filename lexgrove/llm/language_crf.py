@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import held_out, python_batches, utf8
+from lexgrove.llm.common import give_back, held_out, python_batches, utf8
 from lexgrove.llm.crf import Crf, bare, has_letter, marginals, sums
 
 UNKNOWN = "und"
@@ -90,7 +90,9 @@ def predict_languages(docs: DataFrame, crf: Crf, names: list[str], keep: list[Co
             lang, score = [], []
             if names:
                 gamma, letters, sizes = marginals(crf, key, b.column(len(columns)).to_pylist())
-                mass = sums(gamma * letters[:, None], sizes)
+                gamma *= letters[:, None]
+                mass = sums(gamma, sizes)
+                del gamma
                 whole = mass.sum(axis=1)
                 best = mass.argmax(axis=1)
                 lang = [names[i] if w > 0 else UNKNOWN for i, w in zip(best, whole)]
@@ -98,6 +100,8 @@ def predict_languages(docs: DataFrame, crf: Crf, names: list[str], keep: list[Co
             else:
                 lang, score = [UNKNOWN] * len(b), np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+        # An idle worker lies beside the stages that follow.
+        give_back()
 
     return base.mapInArrow(work, f"{kept}, lang_pred string, score double")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import NO_ID, id_back, id_key, python_batches, stored, utf8
+from lexgrove.llm.common import NO_ID, drop_held, id_back, id_key, python_batches, stored, utf8
 from lexgrove.llm.components import components
 from lexgrove.scale import fits, salted_lookup
 
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     python_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             fps = [simhash64(shingle_hashes(t.as_py(), size)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
@@ -172,6 +173,7 @@ def shingle_sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     schema = "id long, row long, same binary, fp long, sketch binary, keys array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             out = []
             for value in b.column(2):
@@ -188,6 +190,7 @@ def shingle_sketches(docs: DataFrame, size: int = 5) -> DataFrame:
 
 def _verified(pairs: DataFrame, least: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             keep = [sketch_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -200,6 +203,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     python_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
@@ -225,6 +229,7 @@ def _prefixes(sets: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
     values = frequent[by_value]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
             sizes, rests, cut = [], [], []
             for h in (x.values.to_numpy() for x in b.column(2)):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexgrove.llm import bag_ranking, collocations, components, crf, decontaminate, language_crf, line_spread, personal_data, piece_codec, queries, queries_sql, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
+from lexgrove.llm import bag_ranking, collocations, common, components, crf, decontaminate, language_crf, line_spread, personal_data, piece_codec, queries, queries_sql, simhash, suffix_dedup, toxicity, url_filter, vector_topk, wavelet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -244,6 +244,35 @@ def test_word_memory_scores_a_word_once(monkeypatch):
     assert all(n <= 5 or texts == 1 for n, texts in held)
 
 
+def test_word_memory_is_short_inside_a_batch(monkeypatch):
+    """One batch of many new words does not outgrow the word memory, and its marginals are the same."""
+    model = crf.Crf(3, {})
+    for x in (model.weights, model.trans, model.start):
+        x[:] = np.random.default_rng(6).normal(size=x.shape)
+    texts = [b"", *(words(20, "abcdefghij").encode() for _ in range(60)), b"", words(300).encode()]
+    gamma, letters, sizes = crf.marginals(model, "whole", texts)
+    most, learn = [], crf.WordScores.learn
+    monkeypatch.setattr(crf, "MEMO_WORDS", 200)
+    monkeypatch.setattr(crf, "WORDS_ASKED", 50)
+    monkeypatch.setattr(crf.WordScores, "learn", lambda self: (learn(self), most.append(len(self) + len(self.older)))[0])
+    got = crf.marginals(model, "parts", texts)
+    assert np.allclose(got[0], gamma, atol=1e-6) and (got[1] == letters).all() and (got[2] == sizes).all()
+    # A slice, here at most of 50 words and one text, may come on top of each half.
+    assert max(most[:-1]) <= 200 + 2 * 70 < len({w for t in texts for w in t.split()})
+    assert crf.marginals(model, "none", [])[0].shape == (0, 3)
+
+
+def test_another_model_gives_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_HELD", {})
+    monkeypatch.setattr(common, "give_back", lambda: given.append(len(common._HELD)))
+    held = [common.worker_held("kind", key, lambda: [key]) for key in "aab"]
+    assert held == [["a"], ["a"], ["b"]] and held[0] is held[1] and given == [0] and list(common._HELD) == [("kind", "b")]
+    common.drop_held()
+    common.drop_held()
+    assert given == [0, 0] and not common._HELD
+
+
 def test_forward_backward_equals_enumeration():
     r = np.random.default_rng(2)
     sizes, labels = [3, 0, 1, 4], 3
