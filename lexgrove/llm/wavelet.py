@@ -33,7 +33,7 @@ MAGIC = b"WAVSHRD1"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 # Documents encoded at once.
-STEP = 250
+STEP = 500
 # Ranges of ids that go to one task, if that leaves each core enough tasks.
 RANGES_PER_TASK = 8
 TASKS_PER_CORE = 4
