@@ -6,9 +6,9 @@ stably by the bits before, with counts of ones at every 512 bits. Planes are com
 answers token access, counts (rank), the place of the kth occurrence (select) and ranges from the file alone.
 Shards are stored as binary rows of a table in the shared folder, so Spark's writer commits each exactly once.
 
-Encoding is by the tokenizers library. White space ends every token of this tokenizer, so texts are cut at ASCII blanks and
-the ids of each piece are kept in a bounded memory of the worker; plain words go to the library's BPE model directly,
-everything else through its whole pipeline.
+Encoding is by the tokenizers library. White space ends every token of this tokenizer, and so does the end of a word before
+punctuation; texts are cut there and the ids of each piece are kept in a bounded memory of the worker. Plain words go to the
+library's BPE model directly, everything else through its whole pipeline.
 
 Nulls: a null text is empty and holds the end id only; a null doc_id sorts first. Rows of equal doc_id come
 in the order of their texts' hashes and count one after the other. An empty table gives no shards and no rows.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,16 @@ from lexgrove.llm.common import id_back, id_key, python_batches, scratch, utf8,
 MAGIC = b"WAVSHRD1"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-# Documents encoded at once.
-STEP = 500
+# Bytes of text encoded at once, as whole documents; a longer document goes alone.
+STEP_BYTES = 3_000_000
 # Ranges of ids that go to one task, if that leaves each core enough tasks.
 RANGES_PER_TASK = 8
 TASKS_PER_CORE = 4
 RANK_BITS = 512
-# Pieces, and words, whose ids a worker keeps; beyond that the memory of either starts anew.
+# Ids of a plane moved at once.
+STRETCH = 1 << 15
+# Pieces whose ids a worker keeps, in two halves: when the later is full, it becomes the earlier one, and pieces that come again
+# move to the new one.
 MEMO_ENTRIES = 600_000
 
 
@@ -55,11 +59,37 @@ def build_shard(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits:
         plane = np.packbits(ones, bitorder="little")
         blocks += [squeeze(plane.tobytes()), squeeze(_rank_table(plane).tobytes())]
         if k:
-            now = np.concatenate([now[~ones], now[ones]])
+            now = _parted(now, ones)
     head = MAGIC + struct.pack("<QQII", len(ids), len(doc_ids), bits, len(blocks))
     return head + struct.pack(f"<{len(blocks)}Q", *map(len, blocks)) + b"".join(blocks)
 
 
+def _parted(now: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``now`` where ``ones`` is false, then where it is true. By stretches, so that temporary arrays stay in the cache."""
+    out = np.empty_like(now)
+    low, high = 0, len(now) - np.count_nonzero(ones)
+    for i in range(0, len(now), STRETCH):
+        part, mask = now[i : i + STRETCH], ones[i : i + STRETCH]
+        for_high, for_low = part.compress(mask), part.compress(~mask)
+        out[low : low + len(for_low)] = for_low
+        out[high : high + len(for_high)] = for_high
+        low, high = low + len(for_low), high + len(for_high)
+    return out
+
+
+def _joined(now: np.ndarray, ones: np.ndarray, zeros: int) -> np.ndarray:
+    """What ``_parted`` made ``now`` of, with ``zeros`` values where ``ones`` is false."""
+    out = np.empty_like(now)
+    low, high = 0, zeros
+    for i in range(0, len(now), STRETCH):
+        part, mask = out[i : i + STRETCH], ones[i : i + STRETCH]
+        to_high, to_low = np.flatnonzero(mask), np.flatnonzero(~mask)
+        part[to_high] = now[high : high + len(to_high)]
+        part[to_low] = now[low : low + len(to_low)]
+        low, high = low + len(to_low), high + len(to_high)
+    return out
+
+
 def _rank_table(plane: np.ndarray) -> np.ndarray:
     """Ones before each stretch of ``RANK_BITS`` bits."""
     step = RANK_BITS // 8
@@ -96,10 +126,8 @@ class WaveletShard:
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             zeros = self.zeros[self.bits - 1 - k]
             # A one takes the next value after the zeros, a zero the next before.
-            before = np.empty_like(now)
-            before[ones] = now[zeros:] | now.dtype.type(1 << k)
-            before[~ones] = now[:zeros]
-            now = before
+            now[zeros:] |= now.dtype.type(1 << k)
+            now = _joined(now, ones, zeros)
         return now
 
     def _ones(self, level: int, i: int) -> int:
@@ -161,8 +189,21 @@ class WaveletShard:
 
 # --- encoder ---------------------------------------------------------------------------------
 
-# A line that holds a word with ASCII punctuation after it, which the tokenizer cuts off as one unit, or anything else.
-_LINE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE)
+# Words of the letters A to Z and À to ÿ (without × and ÷), as UTF-8, and the same bytes in lower case.
+_WORD = re.compile(rb"(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+_LETTER, _MARK, _BLANK, _LEAD, _TRAIL = 1, 2, 3, 4, 5
+
+
+def _byte_kind(b: int) -> int:
+    """ASCII letter, punctuation or blank, first and second byte of the letters À to ÿ (without × and ÷)."""
+    one = bytes([b])
+    if b < 128:
+        return _LETTER if one.isalpha() else _BLANK if one.isspace() else _MARK if b > 32 and b != 127 and not one.isdigit() else 0
+    return _LEAD if b == 0xC3 else _TRAIL if b < 0xC0 and b not in (0x97, 0xB7) else 0
+
+
+_KINDS = bytes(map(_byte_kind, range(256)))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -172,11 +213,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Encodes batches of texts. As a dict: piece between ASCII blanks (bytes) -> its number; pieces met first are encoded together."""
+def _listed(values: pa.Array) -> list[bytes]:
+    """``to_pylist``, which makes an object of Arrow's for each value on the way and takes ten times as long."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class Encoder:
+    """Encodes batches of texts and remembers the ids of their pieces; the pieces that are new in a batch are encoded together."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -184,94 +229,79 @@ class Encoder(dict):
         if size > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         letters = _byte_letters()
-        self.spelled = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        # Bytes of words that the byte-level alphabet does not write as the character of their own number.
+        self.spelled = [(chr(b), letters[b]) for b in [0xC3, *range(0x9F, 0xC0)] if letters[b] != chr(b)]
         # The same model over words that are already lower-cased and spelled in the byte-level alphabet.
         self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self._forget_words()
-        self._restart()
-
-    def _forget_words(self) -> None:
-        # Odd pieces have the empty word.
-        self.words: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _restart(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u2")
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)")
+        self.memory: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         """Pieces through the library's whole pipeline."""
         return [struct.pack(f"<{len(ids)}H", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))]
 
-    def __missing__(self, piece: bytes) -> int:
-        number = self[piece] = len(self)
-        self.new.append(piece)
-        return number
-
-    def _learn(self) -> None:
-        """Encode the pieces met since the last call."""
-        # Pieces hold no line ends, so all are read at once.
-        found = _LINE.findall(b"\n".join(self.new).decode("utf-8", "replace"))
-        lower = "\n".join([word for word, _, _ in found]).lower().split("\n")
-        fresh = [w for w in dict.fromkeys(lower) if w not in self.words]
-        if fresh:
-            line = " ".join([w if w.isascii() else w.translate(self.spelled) for w in fresh])
-            ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u2")
-            cut = [0, *(2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()]
-            data = ids.tobytes()
-            self.words.update(zip(fresh, [data[a:b] for a, b in zip(cut, cut[1:])], strict=True))
-        tails = [t for t in {tail for _, tail, _ in found} if t not in self.marks]
-        odd = [other for _, _, other in found if other]
-        whole = self._whole(tails + odd) if tails or odd else []
-        self.marks.update(zip(tails, whole))
-        others = iter(whole[len(tails) :])
-        words, marks = self.words, self.marks
-        own = [next(others) if other else words[word] + marks[tail] for word, (_, tail, other) in zip(lower, found, strict=True)]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 2
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(own), "<u2")])
-        self.new = []
+    def _lower(self, text: bytes) -> bytes:
+        """``text`` with A-Z lower-cased, unless that may change ids: by combining marks (U+0300 to U+036F) or by making a special token."""
+        lower = text.lower()
+        return text if b"\xcc" in text or b"\xcd" in text or self.special.search(lower) else lower
+
+    def _pieces(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Pieces of all texts with the blanks after them, and where each text begins and the last one ends among them.
+
+        A piece ends before a blank, and after a word before ASCII punctuation, but not inside special tokens.
+        """
+        data = b"\n".join([*map(self._lower, texts), b""])
+        kind = np.frombuffer(data.translate(_KINDS), np.uint8)
+        blank, word = kind == _BLANK, kind == _LETTER
+        word[1:] |= (kind[:-1] == _LEAD) & (kind[1:] == _TRAIL)
+        begins = np.ones(len(data), bool)
+        begins[1:] = blank[:-1] & ~blank[1:] | word[:-1] & (kind[1:] == _MARK)
+        for inside in self.special.finditer(data):
+            begins[inside.start() + 1 : inside.end()] = False
+        at = np.append(np.flatnonzero(begins), len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        # The first piece may hold the blanks before it alone; it counts with the first text.
+        cuts = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        return pieces.dictionary_encode(), cuts
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode new pieces."""
+        words, odd = [], []
+        for piece in fresh:
+            (words if piece.isalpha() or _WORD.fullmatch(piece) else odd).append(piece)
+        if words:
+            line = b" ".join(words).translate(_LOWER).decode("latin-1")
+            for byte, letter in self.spelled:
+                line = line.replace(byte, letter)
+            ids = np.array(array("H", self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids), "<u2")
+            cut = np.append(0, 2 * np.flatnonzero(self.ends_word[ids]) + 2)
+            self.memory.update(zip(words, _listed(pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(ids)])), strict=True))
+        if odd:
+            self.memory.update(zip(odd, self._whole([piece.decode("utf-8", "replace") for piece in odd]), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their counts; ``end_id`` follows every text."""
-        if len(self) >= MEMO_ENTRIES:
-            self._restart()
-        if max(len(self.words), len(self.marks)) >= MEMO_ENTRIES:
-            self._forget_words()
-        if end_id is not None and _END not in self:
-            self._set_end(end_id)
-        numbers: list[np.ndarray] = []
-        for text in texts:
-            pieces = text.split()
-            if end_id is not None:
-                pieces.append(_END)
-            numbers.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
-        if self.new:
-            self._learn()
-        if not numbers:
+        if len(self.memory) >= MEMO_ENTRIES // 2:
+            self.earlier, self.memory = self.memory, {}
+        if not texts:
             return np.empty(0, "<u2"), np.empty(0, np.int64)
-        every = np.concatenate(numbers)
-        sizes = self.sizes[every]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[every] - ends + sizes, sizes)]
-        upto = np.cumsum([len(x) for x in numbers])
-        total = np.concatenate([[0], ends])[upto]
-        return out, np.diff(total, prepend=0)
-
-    def _set_end(self, end_id: int) -> None:
-        """A piece no text can hold, as it has blanks in it, stands for the end id."""
-        if self.new:
-            self._learn()
-        self[_END] = len(self)
-        self.starts, self.sizes = np.append(self.starts, len(self.flat)), np.append(self.sizes, 1)
-        self.flat = np.append(self.flat, np.uint16(end_id))
-
-
-_END = b" end "
+        pieces, cuts = self._pieces(texts)
+        distinct = list(map(bytes.strip, _listed(pieces.dictionary)))
+        fresh = set(distinct).difference(self.memory)
+        again = [piece for piece in fresh if piece in self.earlier]
+        self.memory.update(zip(again, map(self.earlier.__getitem__, again)))
+        self._learn(list(fresh.difference(again)))
+        ids = pa.array(list(map(self.memory.__getitem__, distinct)), pa.large_binary()).take(pieces.indices)
+        _, places, flat = ids.buffers()
+        cuts = np.frombuffer(places, np.int64)[cuts] // 2
+        out = np.frombuffer(flat or b"", "<u2", cuts[-1])
+        if end_id is None:
+            return out, np.diff(cuts)
+        return np.insert(out, cuts[1:], end_id), np.diff(cuts) + 1
 
 
 def encoder_of(path: str) -> Encoder:
@@ -281,6 +311,18 @@ def encoder_of(path: str) -> Encoder:
 # --- Spark -----------------------------------------------------------------------------------
 
 
+def _steps(parts: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of one part each, of up to ``STEP_BYTES`` bytes or one row."""
+    first = held = 0
+    for i, (part, size) in enumerate(zip(parts, sizes, strict=True)):
+        if i > first and (part != parts[first] or held + size > STEP_BYTES):
+            yield first, i
+            first, held = i, 0
+        held += size
+    if parts:
+        yield first, len(parts)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards (part, seq, first_id, n_docs, n_tokens, shard) below ``folder``.
 
@@ -311,21 +353,24 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_tokens: int
 
         for b in batches:
             keys, texts, parts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(keys)]
-            steps = [(i, min(i + STEP, z)) for a, z in zip(cuts, cuts[1:]) for i in range(a, z, STEP)]
-            for i, z in steps:
+            for i, z in _steps(parts.tolist(), list(map(len, texts))):
                 if parts[i] != part:
                     if doc_ids:
                         yield shard()
                     part, seq, held, doc_ids, ids, counts = int(parts[i]), 0, 0, [], [], []
                 got, sizes = encoder.encode(texts[i:z], end_id)
-                ids.append(got)
-                counts.append(sizes)
-                doc_ids += keys[i:z]
-                held += len(got)
-                if held >= shard_tokens:
-                    yield shard()
-                    seq, held, doc_ids, ids, counts = seq + 1, 0, [], [], []
+                ends, at = np.cumsum(sizes), 0
+                while i < z:
+                    # A shard ends with the document that fills it.
+                    n = min(int(np.searchsorted(ends, at + shard_tokens - held)) + 1, len(ends))
+                    ids.append(got[at : ends[n - 1]])
+                    counts.append(sizes[:n])
+                    doc_ids += keys[i : i + n]
+                    held += int(ends[n - 1]) - at
+                    at, i, sizes, ends = int(ends[n - 1]), i + n, sizes[n:], ends[n:]
+                    if held >= shard_tokens:
+                        yield shard()
+                        seq, held, doc_ids, ids, counts = seq + 1, 0, [], [], []
         if doc_ids:
             yield shard()
 
@@ -353,7 +398,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 shard = WaveletShard(data.as_py())
                 ids, counts = shard.ids(), shard.counts.astype(np.int64)
                 at = np.cumsum(counts) - counts
-                crcs = [zlib.crc32(ids[a : a + c].astype("<u4")) for a, c in zip(at.tolist(), counts.tolist())]
+                wide = ids.astype("<u4")
+                crcs = [zlib.crc32(wide[a : a + c]) for a, c in zip(at.tolist(), counts.tolist())]
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seq.as_py(), np.int32)), pa.array(shard.doc_ids), pa.array(at), pa.array(counts), pa.array(crcs, pa.int64())],

@@ -144,6 +144,50 @@ def test_encoder_reads_punctuated_words_as_plain_ones(monkeypatch):
     assert seen.count(".###") == 1 and not {"One.###", "two$$$", "ÉTÉ!!", "three.###"} & set(seen)
 
 
+def test_encoder_keeps_words_that_come_again(monkeypatch):
+    """A word goes to the library once, whatever case it has, whatever follows it and however many other words were met since."""
+    monkeypatch.setattr(wavelet, "MEMO_ENTRIES", 40)
+    encoder, library = wavelet.Encoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    plain, seen = encoder.plain, []
+
+    class Counting:
+        def encode_batch_fast(self, lines, **options):
+            seen.extend(lines[0].split())
+            return plain.encode_batch_fast(lines, **options)
+
+    encoder.plain = Counting()
+    for k in range(30):
+        texts = [f"Often, often; OFTEN été été.## {words(8, 'klmnopqr')}", "", f"<|startoftext|> often<|endoftext|>.{k}"]
+        ids, counts = encoder.encode([t.encode() for t in texts], 2)
+        for t, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+    assert seen.count("often") == 1 and sum(w.startswith("Ã") for w in seen) == 1
+
+
+def test_encoder_cuts_where_tokens_end():
+    """Cut words, lower case and special tokens give the ids of the whole text: marks that compose with small letters only, names of special tokens in capitals."""
+    encoder, library = wavelet.Encoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    parts = ["H\u0331", "h", "J\u030c.", "A\u030a", "<|endoftext|>", "<|EndOfText|>", "<|startoftext", "|>", "<", "it's", "IT'S", "L'ÉTÉ", "x'll.", "é.", "É", "ß,", "×.", "÷", "İ", "K", "ÿ!?", "a_b", "7.5", "\x1c", "\x7f", "\u0345", " ", " ", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3000)]
+    for batch in (texts[:1000], texts[1000:1001], texts[1001:]):
+        ids, counts = encoder.encode([t.encode() for t in batch], 2)
+        bare, fewer = encoder.encode([t.encode() for t in batch])
+        assert (counts - 1).tolist() == fewer.tolist() and (ids[ids != 2] == bare[bare != 2]).all()
+        for t, own in zip(batch, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+    for batch in ([], [b""], [b" \n", b""], [b"", b" a"]):
+        ids, counts = encoder.encode(batch)
+        assert len(counts) == len(batch) and ids.tolist() == [i for t in batch for i in library.encode(t.decode(), add_special_tokens=False).ids]
+
+
+def test_shards_end_with_the_document_that_fills_them(spark, tmp_path):
+    df = spark.createDataFrame([(k, words(1 + k % 30)) for k in range(400)], "doc_id long, text string")
+    got = wavelet.corpus_ids(df, WORD_FILE, str(tmp_path / "shards"), shard_tokens=500)
+    longest, shards = max(r.n_tokens for r in got.collect()), spark.read.parquet(str(tmp_path / "shards")).collect()
+    last = {p: max(s.seq for s in shards if s.part == p) for p in {s.part for s in shards}}
+    assert all(s.n_tokens < 500 + longest and (s.n_tokens >= 500 or s.seq == last[s.part]) for s in shards) and sum(s.n_docs for s in shards) == 400
+
+
 def test_corpus_ids(spark, docs, none):
     library = Tokenizer.from_file(WORD_FILE)
     expected, start = [], 0
