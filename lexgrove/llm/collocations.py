@@ -16,6 +16,9 @@
 A piece lies between the marks ``.,;:!?`` and line ends, a word between blanks and tabs; A-Z are lower-cased. A null text is
 empty, a null language ``und``. Repeated rows count each time; ties go by count, then by phrase in byte order. Other columns
 and ids are not read; an empty table gives an empty one.
+
+Joins are hinted to merge: Spark goes by the size of compressed files, also behind an explode, and would broadcast tables that
+a driver cannot hold.
 """
 
 from __future__ import annotations
@@ -171,16 +174,19 @@ def unary_paths(table: DataFrame, at: DataFrame, least: int = LEAST) -> DataFram
     heavy = table.where((F.col("k") == WIDEST) & (F.col("n") >= least)).select("lang", "phrase", "n")
     through = at.where(F.col("passes") & (F.col("n") >= least)).select("lang", F.col("phrase").alias("node"))
     # The edge before each edge, where there is exactly one and nothing else goes through the node.
-    before = heavy.select("lang", tail(F.col("phrase"), k).alias("node"), F.col("phrase").alias("up")).join(through, ["lang", "node"])
-    chain = stored(heavy.withColumn("node", head(F.col("phrase"), k)).join(before, ["lang", "node"], "left").select("lang", "phrase", "n", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("far")), "chain")
-    while chain.where(F.col("up").isNotNull()).limit(1).count():
-        # ``up`` is an edge further ahead in the same chain, ``root`` the first of the chain once it is known.
-        further = chain.select("lang", F.col("phrase").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), *([F.col("root").alias("root2")] if "root" in chain.columns else []))
-        known = F.coalesce("root", "root2") if "root" in chain.columns else F.lit(None).cast("string")
-        known = F.coalesce(known, F.when(F.col("up").isNotNull() & F.col("up2").isNull(), F.col("up")))
-        step = chain.join(further, ["lang", "up"], "left")
-        chain = stored(step.select("lang", "phrase", "n", F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), known.alias("root")), "chain")
-    root = F.coalesce("root", "phrase") if "root" in chain.columns else F.col("phrase")
+    before = heavy.select("lang", tail(F.col("phrase"), k).alias("node"), F.col("phrase").alias("up")).join(through.hint("merge"), ["lang", "node"])
+    chain = heavy.withColumn("node", head(F.col("phrase"), k)).join(before.hint("merge"), ["lang", "node"], "left")
+    chain = stored(chain.select("lang", "phrase", "n", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("far"), F.lit(None).cast("string").alias("root")), "chain")
+    still = F.col("up").isNotNull()
+    while chain.where(still).limit(1).count():
+        # ``up`` is an edge further ahead in the same chain, ``root`` the first of the chain once it is known. Edges that have
+        # arrived are not joined: without ``up`` they would all meet in one task.
+        further = chain.select("lang", F.col("phrase").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("root").alias("root2"))
+        step = chain.where(still).join(further.hint("merge"), ["lang", "up"])
+        known = F.coalesce("root", "root2", F.when(F.col("up2").isNull(), F.col("up")))
+        moved = step.select("lang", "phrase", "n", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), known.alias("root"))
+        chain = stored(moved.union(chain.where(~still)), "chain")
+    root = F.coalesce("root", "phrase")
     last = F.substring_index("phrase", " ", -1)
     parts = chain.groupBy("lang", root.alias("root")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("far", last.alias("last")))).alias("on"))
     rest = F.transform(F.slice("on", F.lit(2), F.size("on")), lambda s: s["last"])
@@ -203,7 +209,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = LINK_BITS) ->
     inner = opened.where(F.size("w") > WIDEST).select("lang", F.explode(slide(WIDEST - 1, 1)).alias("phrase"), F.lit(WIDEST - 1).alias("k"), F.col("n").alias("f"))
     counts.append(inner)
     heavy = lambda df, k: df.where(F.col("n") >= least).select("lang", "phrase", F.lit(k).alias("k"), F.col("n").alias("f"))
-    counts.append(heavy(at.join(inner.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), WIDEST - 1))
+    counts.append(heavy(at.join(inner.select("lang", "phrase").hint("merge"), ["lang", "phrase"], "left_anti"), WIDEST - 1))
     level = at.select("lang", "phrase", "n")
     for k in range(WIDEST - 2, 0, -1):
         level = stored(shorter(level, table, k), f"level-{k}")
@@ -227,7 +233,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, explained:
     parts = [found.where(F.col("k") > k).select("lang", F.explode(inside(k)).alias("phrase"), F.col("a").alias("around")) for k in range(2, WIDEST)]
     around = reduce(DataFrame.union, parts).groupBy("lang", "phrase").agg(F.max("around").alias("around"))
     share = lambda c, by: F.coalesce(wide(c), F.lit(0)) * F.lit(by).cast("decimal(3,0)")
-    kept = scored.join(around, ["lang", "phrase"], "left").where(share("around", 100) < share("a", explained))
+    kept = scored.join(around.hint("merge"), ["lang", "phrase"], "left").where(share("around", 100) < share("a", explained))
     ranked = top_per_group(kept, ["lang"], [F.desc("c.score"), F.desc("a"), F.asc("phrase")], top)
     # One row per language.
     n = total.select("lang", "n")

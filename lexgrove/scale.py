@@ -21,17 +21,23 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 HOT_ROWS = 1_000_000
 SALTS = 64
-# Dimensions up to this many rows are broadcast (some hundred bytes each).
+# Dimensions up to this many rows with this many bytes of text are broadcast.
 MAX_DIM_ROWS = 100_000
+MAX_DIM_BYTES = 32_000_000
 DIM_SALTS = 16
 # Stored bytes per task of work whose memory grows with the rows of a task.
 TASK_BYTES = 4_000_000
 UNKNOWN_BYTES = 2**60
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows, and ``max_bytes`` in its texts if given; reads no further than one row beyond."""
+    if max_bytes is None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    texts = (F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary"))
+    size = reduce(lambda a, b: a + b, texts, F.lit(0).cast("long"))
+    n, held = df.select(size.alias("size")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
+    return n <= max_rows and (held or 0) <= max_bytes
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -62,11 +68,12 @@ def dimension_join(rows: DataFrame, dim: DataFrame, keys: Sequence[str], row_id:
     the rows of one key are spread over as many tasks.
     """
     keys = list(keys)
-    if fits(dim, MAX_DIM_ROWS):
+    if fits(dim, MAX_DIM_ROWS, MAX_DIM_BYTES):
         return rows.join(F.broadcast(dim), keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(DIM_SALTS)).cast("int"))
     each = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(DIM_SALTS - 1))))
-    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+    # Spark sizes all copies like the stored, compressed dimension alone, and would broadcast them.
+    return salted.join(each.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def salted_lookup(

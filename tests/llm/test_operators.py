@@ -927,6 +927,21 @@ def test_collocation_counts_and_paths(spark):
     assert counts.count() == counts.select("lang", "phrase").distinct().count()
 
 
+def test_collocations_broadcast_no_table_of_unknown_size(spark, monkeypatch):
+    """Small files that an explode makes large stay below Spark's threshold; only the totals, one row a language, may be broadcast."""
+    rows = phrase_rows()
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(collocations, "stored", lambda df, name: plans.append(plan(df)) or common.stored(df, name))
+    monkeypatch.setattr("lexgrove.scale.MAX_DIM_ROWS", 3)
+    found = collocations.collocations(frame, 4)
+    assert sum("Generate" in p for p in plans) and sum("SortMergeJoin" in p for p in plans) > 3
+    assert not [p for p in plans if "Broadcast" in p]
+    assert plan(found).count("BroadcastExchange") <= 1 and plan(found).count("SortMergeJoin") >= 3
+    assert sorted(map(tuple, found.collect()), key=str) == mined(rows, 4, 2000)
+
+
 # --- rows that share an id, very long URLs ---------------------------------------------------
 
 

@@ -125,6 +125,24 @@ def test_salted_lookup_and_dimension_join_equal_plain_join(spark, monkeypatch):
     assert rows(dimension_join(df, agg, ["k"], "id"), "id", "first") == want
 
 
+def test_dimension_join_broadcasts_only_what_was_measured(spark, monkeypatch):
+    df = spark.range(500).select("id", (F.col("id") % 50).cast("string").alias("k"))
+    dim = spark.createDataFrame([(str(k), "é" * 100) for k in range(40)], "k string, text string")
+    plan = lambda how="inner": dimension_join(df, dim, ["k"], "id", how)._jdf.queryExecution().executedPlan().toString()
+    want = {how: rows(df.join(dim, "k", how), "id", "text") for how in ("inner", "left")}
+    assert "BroadcastHashJoin" in plan()
+    # Too many rows; few rows of long texts: 40 of 200 bytes and 70 of keys.
+    for limit, most in (("MAX_DIM_ROWS", 39), ("MAX_DIM_BYTES", 8069)):
+        with monkeypatch.context() as m:
+            m.setattr(f"lexgrove.scale.{limit}", most)
+            for how in want:
+                assert "Broadcast" not in plan(how) and "SortMergeJoin" in plan(how)
+                assert rows(dimension_join(df, dim, ["k"], "id", how), "id", "text") == want[how]
+    monkeypatch.setattr("lexgrove.scale.MAX_DIM_BYTES", 8070)
+    assert "BroadcastHashJoin" in plan()
+    assert dimension_join(df, dim.limit(0), ["k"], "id").count() == 0
+
+
 EVENTS = "batch_id string, item_id string, ts timestamp, seq long, status string"
 
 
